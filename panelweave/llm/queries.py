@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, pii, quality, sharding, token_counts
+from . import bpe, dedup, packing, pii, quality, sharding, token_counts, toxicity, warc
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": lambda s, d: pii.report(documents(s, d)),
+        "op2_bpe": lambda s, d: bpe.report(documents(s, d), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
         "op3_token_counts": token_counts.report,
         "op4_quality": lambda s, d: quality.report(documents(s, d)),
         "op5_sharding": lambda s, d: sharding.assign(documents(s, d)),
+        "op6_toxicity": lambda s, d: toxicity.report(documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op7_exact_dedup": lambda s, d: dedup.report(documents(s, d)),
+        "op8_warc": lambda s, d: warc.report(s.read.parquet(f"{d}/pages.parquet")),
+        "op10_packing": lambda s, d: packing.pack(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
     }
 
 
