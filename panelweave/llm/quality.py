@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BLANKS, WORD, let, staged
+from .common import WORD, let, staged
 
 WINDOW = 5
 BUCKET = 10  # per mille in a bucket
@@ -135,7 +135,7 @@ def judge(stats: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def assess(df: DataFrame, min_rows: int = 200) -> DataFrame:
     """df with the statistics, base_failed and kept. What df carries is written once, so that no text is read or counted twice."""
-    table = staged(with_stats(df), "quality")
+    table = staged(with_stats(df.drop("kept")), "quality")
     bounds = staged(limits(sketches(table), min_rows), "quality_limits")
     return judge(table, bounds)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, packing, pii, quality, sharding, token_counts, toxicity, warc
+from . import bpe, dedup, ngram_join, packing, pii, quality, sharding, token_counts, toxicity, warc
 from .common import documents
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": lambda s, d: toxicity.report(documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op7_exact_dedup": lambda s, d: dedup.report(documents(s, d)),
         "op8_warc": lambda s, d: warc.report(s.read.parquet(f"{d}/pages.parquet")),
+        "op9_ngram_join": lambda s, d: ngram_join.with_components(documents(s, d), 4, 85),
         "op10_packing": lambda s, d: packing.pack(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
     }
 
