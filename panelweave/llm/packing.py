@@ -35,7 +35,7 @@ from .common import staged
 CAPACITY = 2048
 GROUP = 3000  # pieces that one island packs
 ISLANDS, POPULATION, BROODS = 2, 4, 6
-KEEP = 250_000
+KEEP = 500_000
 LONG = 48
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 ENDS = frozenset(",.")
@@ -107,14 +107,19 @@ class Words(dict):
 _WORDS: dict[str, Words] = {}
 
 
+def words_of(path: str) -> Words:
+    """One store in a process, whatever the number of tasks that run in it."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
+
+
 def pieces_of(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORDS:
-            _WORDS[path] = Words(path)
-        words = _WORDS[path]
+        words = words_of(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 rows = b.slice(at, 256)
