@@ -14,10 +14,13 @@ from ..functions.measures import EARTH_KM, haversine_km
 from ..functions.vectors import cosine, doubles, l2_normalised
 from .relational import top_k
 
-SRC = W.partitionBy("src")
 KM_A_DEGREE = math.pi * EARTH_KM / 180
 
 
+def by_src():
+    return W.partitionBy("src")
+
+
 def distances_within(points: DataFrame, radius_km: float, same: Column | None = None, epsilon: float = 1e-6, earth: float = EARTH_KM) -> DataFrame:
     """(src, dst, dist) of all pairs of points (id, lat, lon) within a radius: cells of at least the radius meet their neighbours by equality.
 
@@ -59,7 +62,7 @@ def knn(dist: DataFrame, k: int) -> DataFrame:
 
 
 def row_normalised(edges: DataFrame) -> DataFrame:
-    total = F.sum("weight").over(SRC)
+    total = F.sum("weight").over(by_src())
     return edges.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
 
 
@@ -68,7 +71,7 @@ def bandwidth(nearest: DataFrame, k: int, bandwidth_k: int | None) -> DataFrame:
     rows = nearest
     if bandwidth_k is not None:
         kb = min(max(bandwidth_k, 1), k)
-        rows = nearest.withColumn("_r", F.row_number().over(SRC.orderBy("dist", "dst"))).where(F.col("_r") == kb)
+        rows = nearest.withColumn("_r", F.row_number().over(by_src().orderBy("dist", "dst"))).where(F.col("_r") == kb)
     m = F.median("dist")
     return rows.agg(F.when((m <= 1e-9) | m.isNull() | F.isnan(m), 1.0).otherwise(m).alias("bw"))
 
@@ -94,7 +97,7 @@ def pre_adjacency(support: DataFrame, tau: float, beta: float, stable: bool = Tr
     """exp(-(1 - cos) / tau - beta * geo) on a support (src, dst, cos, geo). stable: less each row's maximum."""
     s = -(1 - F.col("cos")) / tau - beta * F.col("geo")
     out = support.withColumn("_s", s)
-    shift = F.max("_s").over(SRC) if stable else F.lit(0.0)
+    shift = F.max("_s").over(by_src()) if stable else F.lit(0.0)
     return out.withColumn("weight", F.exp(F.col("_s") - shift)).select("src", "dst", "weight")
 
 
@@ -140,7 +143,7 @@ def restricted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def random_neighbours(edges: DataFrame, seed: int = 0) -> DataFrame:
     """One neighbour of each src, drawn in proportion to weight: the first whose running share exceeds a number made of src and seed."""
-    run = F.sum("weight").over(SRC.orderBy("dst")) / F.sum("weight").over(SRC)
+    run = F.sum("weight").over(by_src().orderBy("dst")) / F.sum("weight").over(by_src())
     u = F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     return edges.withColumn("_run", run).where(F.col("_run") > u).groupBy("src").agg(F.min_by("dst", "_run").alias("dst"))
 

@@ -1,15 +1,14 @@
-"""The catalog of relational queries and their oracle SQL."""
+"""The catalog of queries and their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import relational, vectors  # noqa: F401  (their queries register on import)
+from .registry import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
