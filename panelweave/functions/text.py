@@ -65,7 +65,7 @@ def name_keys(county: Column, state: Column) -> Column:
     """The key 'county, state' and, where the county has a suffix, the one without it."""
     full, place = name_key(county), name_key(state)
     short = F.trim(F.regexp_replace(full, f" +({'|'.join(COUNTY_SUFFIXES)})$", ""))
-    return F.array_distinct(F.transform(F.filter(F.array(full, short), lambda x: x != ""), lambda x: F.concat_ws(", ", x, place)))
+    return F.array_distinct(F.array_compact(F.array(F.concat_ws(", ", full, place), F.when(short != "", F.concat_ws(", ", short, place)))))
 
 
 def joined_states(c: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -56,6 +58,33 @@ def vector_distances(points: DataFrame, id_: str, v: str, blocks: int = 16) -> D
     return a.join(b, ["ba", "bb"]).where("src <> dst").select("src", "dst", (1 - cosine(F.col("va"), F.col("vb"))).alias("dist"))
 
 
+def vector_knn(points: DataFrame, id_: str, v: str, k: int, block_rows: int = 512) -> DataFrame:
+    """(src, dst, dist) of the k nearest by 1 - cosine: blocks of bounded size meet pairwise, a task multiplies two of them and keeps k rows of each source.
+
+    Exact. The number of block pairs grows with the square of the number of points, as it must; memory does not.
+    """
+    blocks = max(1, -(-points.count() // block_rows))
+    unit = points.select(F.col(id_).cast("long").alias("id"), l2_normalised(F.col(v)).alias("v"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("blk"))
+    own = unit.groupBy("blk").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("m"))
+    a = own.select(F.col("ids").alias("ids_a"), F.col("m").alias("m_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+    pairs = a.join(own.hint("shuffle_hash"), "blk").select("ids_a", "m_a", "ids", "m").repartition(min(blocks * blocks, 2000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                src, dst = (np.array(b.column(c)[i].as_py(), np.int64) for c in (0, 2))
+                x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in ((1, len(src)), (3, len(dst))))
+                dist = 1 - x @ y.T
+                dist[src[:, None] == dst[None]] = np.inf
+                order = np.lexsort((np.broadcast_to(dst, dist.shape), dist), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(src)), order.shape[1])
+                near = dist[rows, order.ravel()]
+                ok = np.isfinite(near)
+                yield pa.RecordBatch.from_arrays([pa.array(src[rows][ok]), pa.array(dst[order.ravel()][ok]), pa.array(near[ok])], ["src", "dst", "dist"])
+
+    return knn(pairs.mapInArrow(run, "src long, dst long, dist double"), k)
+
+
 def knn(dist: DataFrame, k: int) -> DataFrame:
     """The k nearest of each src; equal distances by dst."""
     return top_k(dist, "src", "dist", k, "dst", largest=False)

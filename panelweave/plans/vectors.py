@@ -108,8 +108,7 @@ BW = "bw AS (SELECT CASE WHEN median(dist) <= 1e-9 THEN 1 ELSE median(dist) END
 def near(s, d):
     from ..sources.sinks import written
 
-    # all pairs of a small node set; every query reads them by way of one written table of the k nearest
-    return written(G.knn(G.vector_distances(B.table(s, d, "embeddings"), "vec_id", "embedding"), K), "near")
+    return written(G.vector_knn(B.table(s, d, "embeddings"), "vec_id", "embedding", K), "near")
 
 
 def weighted(s, d):
