@@ -149,3 +149,35 @@ def assess_stats(df: DataFrame) -> DataFrame:
     """As assess, but the written table carries no text."""
     table = staged(with_stats(df.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
     return judge(table, staged(limits(sketches(table)), "quality_limits"))
+
+
+def _sql() -> str:
+    """The report in SQL, over the same rules and constants."""
+    names = [r.name for r in RULES]
+    long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rule, least({n}, 1000) // {BUCKET} AS bucket FROM s WHERE NOT base_failed" for n in names)
+    least = " ".join(f"WHEN '{r.name}' THEN {r.least}" for r in RULES)
+
+    def level(keys: str) -> str:
+        on = "".join(f"{k}, " for k in keys.split())
+        return f"""(SELECT {on}max(total) AS n, greatest({BUCKET} * (min(b) FILTER (cum >= total * 0.5) + 4 * (min(b) FILTER (cum >= total * 0.75) - min(b) FILTER (cum >= total * 0.5))), {BUCKET} * min(b) FILTER (cum >= total * 0.5) + CASE rule {least} END) AS l
+ FROM (SELECT {on}bucket AS b, sum(count(*)) OVER (PARTITION BY {on[:-2]} ORDER BY bucket) AS cum, sum(count(*)) OVER (PARTITION BY {on[:-2]}) AS total FROM h GROUP BY {on}bucket) GROUP BY {on[:-2]})"""
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM c WHERE c > 1) GROUP BY doc_id),
+a AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS shout, len(regexp_extract_all(t, '[A-Z]')) AS upper FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+s AS (SELECT *, CAST(coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS BIGINT) AS symbol_pm, CAST(coalesce(shout * 1000 // nullif(word_chars, 0), 0) AS BIGINT) AS shout_pm, CAST(coalesce(upper * 1000 // nullif(word_chars, 0), 0) AS BIGINT) AS upper_pm,
+ CAST(coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS BIGINT) AS dup_line_pm, CAST(coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS BIGINT) AS repeat_pm, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a),
+h AS ({long}),
+lim AS (SELECT DISTINCT h.lang, h.source, h.rule, CASE WHEN x.n >= 200 THEN x.l WHEN y.n >= 200 THEN y.l ELSE z.l END AS l FROM h JOIN {level('lang source rule')} x ON h.lang = x.lang AND h.source = x.source AND h.rule = x.rule
+ JOIN {level('lang rule')} y ON h.lang = y.lang AND h.rule = y.rule JOIN {level('rule')} z ON h.rule = z.rule),
+over AS (SELECT DISTINCT doc_id FROM ({' UNION ALL '.join(f"SELECT doc_id, s.lang, s.source, '{n}' AS rule, {n} AS v FROM s" for n in names)}) v JOIN lim ON v.lang = lim.lang AND v.source = lim.source AND v.rule = lim.rule WHERE v > l)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept, {', '.join(names)} FROM s
+"""
+
+
+SQL = _sql()

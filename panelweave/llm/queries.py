@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_counts": token_counts.SQL, "op7_exact_dedup": dedup.SQL}
+    return {"op3_token_counts": token_counts.SQL, "op4_quality": quality.SQL, "op7_exact_dedup": dedup.SQL}
