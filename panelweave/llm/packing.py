@@ -41,7 +41,8 @@ PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 ENDS = frozenset(",.")
 ODD = re.compile("[\u0130\u03a3]")  # letters whose lower case depends on the place or is not one letter
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", _group long, _island int, _bin long, offset long, _load long, _bins long, _fit double"
+#: In the grouped functions doc_id is a string: as a number next to nulls it would lose digits there.
+PACKED = PIECES.replace("doc_id long", "doc_id string") + ", _group long, _island int, _bin long, offset long, _load long, _bins long, _fit double"
 
 
 class Words(dict):
@@ -265,7 +266,7 @@ def _epoch(capacity: int, first: bool):
 def pack_round(pieces: DataFrame, n: int, name: str, capacity: int, group: int) -> DataFrame:
     """Packs pieces in groups: two epochs on every island with migration between them, then each group's best island."""
     groups = max(1, -(-n // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
     islands = dealt.withColumn("_island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     one = staged(islands.groupBy("_group", "_island").applyInPandas(_epoch(capacity, True), PACKED), f"{name}_epoch1")
     # a ring: island i also gets the elite of island i + 1
@@ -287,5 +288,5 @@ def pack(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY,
     open_pieces = first.where(~full).select("doc_id", "piece", "start", "length", "ids_crc32")
     second = pack_round(open_pieces, open_pieces.count(), "round2", capacity, group)
     number = lambda r: (F.lit(r) * F.lit(1 << 60) + F.col("_group") * F.lit(1 << 20) + F.col("_bin")).cast("long").alias("sequence_id")
-    out = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    out = [F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32"]
     return first.where(full).select(*out, number(0), "offset").unionByName(second.select(*out, number(1), "offset"))
