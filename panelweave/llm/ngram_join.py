@@ -46,7 +46,7 @@ BANDS, ROWS = 40, 3
 HOT_SHARE = 0.25
 HOT_MOST, HOT_LEAST = 300_000, 64  # n-grams set aside at most; documents that one must be in at least
 BATCH = 1 << 20  # n-grams counted together
-CHUNK, REST = 2000, 1000
+CHUNK, REST = 1000, 500
 LEAF, FAN = 16, 8
 SALTS = 32
 
@@ -181,31 +181,52 @@ def signatures(df: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, that connect what the edges of each task connect: every task joins its own and gives stars, in bounded portions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (up := of.setdefault(v, v)) != v:
+                    of[v] = v = of[up]
+                return v
+
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                of[max(x, y)] = min(x, y)
+            pairs = [(v, r) for v in of if (r := find(v)) != v]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(v, root) for the vertices of edges (a, b): alternating large and small stars until nothing changes.
+    """(v, root) for the vertices of edges (a, b): alternating large and small stars until there are only stars.
 
-    Each round is written to the shared folder. Stars are formed by minima, which combine map-side, and never hold the neighbours of a vertex.
+    Each round is written to the shared folder. Stars are formed by minima, which combine map-side, and never hold the
+    neighbours of a vertex; before each round every task contracts the edges that it has read.
     """
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
-        both = pairs if small else pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = pairs if small else pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
         met = both.join(low, both["a"] == low["_a"])
         if small:  # a > b: every smaller neighbour and a itself go to the smallest
             out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", F.col("m").alias("b")))
         else:  # larger neighbours go to the smallest
             out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return out.where("a <> b").distinct()
 
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_0")
-    before = None
+    now = staged(contracted(edges), f"{name}_0")
     for i in range(1, 60):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        # done when no vertex has two roots and no root hangs under another
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
-        before = mark
-        now = staged(star(star(now, False), True), f"{name}_{i}")
-    return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("v"), "root").union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+        now = staged(contracted(star(star(now, False), True)), f"{name}_{i}")
+    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -214,7 +235,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     low = rows.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("_m")).where("b < _m").select(F.col("key").alias("_key"), "b")
     spread = low.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(8)])))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(8)).cast("int"))
-    met = salted.join(spread, (F.col("key") == F.col("_key")) & (F.col("_salt") == F.col("_s")))
+    met = salted.join(spread.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("_salt") == F.col("_s")))
     return met.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
@@ -321,7 +342,8 @@ def connect(sets: list[np.ndarray], start: list[int], percent: int) -> Roots:
 def run_jobs(df: DataFrame, jobs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that connect the members of each job. jobs: job, rep, label (members of a job with one label are connected already)."""
     texts = df.select(F.col("doc_id").alias("rep"), text_of().alias("text"))
-    members = texts.join(jobs, "rep").select("job", "rep", "label", "text")
+    # merged by sorting at every size: the plan that holds when neither side is small
+    members = texts.join(jobs.hint("merge"), "rep").select("job", "rep", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reps, labels, sets = None, [], [], []
@@ -356,19 +378,22 @@ def linked(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     classes = staged(classes, "gram_classes")
     # keys of the representatives only
     reps = classes.where("n > 0").select(F.col("rep").alias("_rep"), F.col("digest").alias("_digest"))
-    keyed = rows.join(reps, (rows["doc_id"] == reps["_rep"]) & (rows["digest"] == reps["_digest"]), "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
+    keyed = rows.join(reps.hint("merge"), (rows["doc_id"] == reps["_rep"]) & (rows["digest"] == reps["_digest"]), "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
     edges = staged(candidate_edges(keyed), "candidates")
     clusters = staged(components(edges, "clusters"), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = clusters.join(sizes, "root").select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
+    # sizes go back to the members by salts, as one cluster may hold very many
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = clusters.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(sizes, ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
     small = placed.where(F.col("members") <= CHUNK).select(F.concat_ws(":", "cluster").alias("job"), "rep", F.col("rep").alias("label"))
     found = run_jobs(df, small, k, percent)
+    # a small cluster is one job, whose links are stars already: (member, smallest member)
+    roots = staged(found, "links").select(F.col("a").alias("rep"), F.col("b").alias("root"))
     large = placed.where(F.col("members") > CHUNK)
     if not large.isEmpty():
-        found = found.union(join_large(df, large.join(classes.select("rep", "n"), "rep"), k, percent))
-    links = staged(found, "links")
-    # small clusters give stars; large ones chains of stars
-    roots = components(links, "parts").select(F.col("v").alias("rep"), "root")
+        links = join_large(df, large.join(classes.select("rep", "n"), "rep"), k, percent)
+        roots = roots.union(components(links, "parts").where("v <> root").select("v", "root"))
+    # a repeated row stands twice in its job
+    roots = roots.groupBy("rep").agg(F.min("root").alias("root"))
     return rows, classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
 
 
@@ -405,7 +430,7 @@ def with_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     own = classes.withColumnRenamed("digest", "_digest")
     pairs = salted.select("digest", "_salt").distinct()
     spread = pairs.join(own, pairs["digest"] == own["_digest"]).select(F.col("_digest"), F.col("_salt").alias("_s"), "component_id")
-    met = salted.join(spread, (F.col("digest") == F.col("_digest")) & (F.col("_salt") == F.col("_s")), "left")
+    met = salted.join(spread.hint("merge"), (F.col("digest") == F.col("_digest")) & (F.col("_salt") == F.col("_s")), "left")
     # texts without n-grams share a digest and nothing else
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return met.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -94,6 +94,14 @@ def test_odd(odd, none):
     assert odd.where(F.col("doc_id") == 8).count() == 2
 
 
+def test_repeated_rows(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:30], "other", *words[31:]]
+    rows = [(3, " ".join(near)), (3, " ".join(near)), (2, " ".join(words)), (2, " ".join(words)), (9, "quite another text of some words")]
+    got = sorted(map(tuple, N.with_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()))
+    assert got == [(2, 57, 2), (2, 57, 2), (3, 57, 2), (3, 57, 2), (9, 3, 9)]
+
+
 def test_hashes_follow_words():
     h = N.shingles
     assert (h("A b\tc  D e", 4) == h("a B c d E", 4)).all() and len(h("a b c d e", 4)) == 2
