@@ -119,9 +119,9 @@ def evidence(text: str, scores: Scores, rate: float, k: float) -> tuple[float, i
 
 
 def labelled(docs: DataFrame, labels: DataFrame, remainder: int) -> DataFrame:
-    """text and toxic of the labelled documents of one fold; both sides are filtered before they meet by doc_id."""
+    """text and toxic of the labelled documents of one fold; both sides are filtered before they meet by doc_id, sorted, at every size."""
     marks = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) == remainder)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.where(fold(F.col("doc_id")) == remainder).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    return docs.where(fold(F.col("doc_id")) == remainder).select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "toxic")
 
 
 def learn(rows: DataFrame) -> Model:
