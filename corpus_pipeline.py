@@ -24,15 +24,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of equal texts; a row that repeats its doc_id and text goes too."""
-    found = dedup.with_classes(docs.select(*COLUMNS))
-    return found.where("kept").dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
+    return dedup.kept_rows(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group linked by five-word similarity of 0.8 or more."""
     found = ngram_join.with_components(docs, 5, 80)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

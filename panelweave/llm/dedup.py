@@ -72,6 +72,15 @@ def with_classes(df: DataFrame, text: str = "text", salts: int = SALTS) -> DataF
     return both.select(*had, "keep_id", "group_size", kept.alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
+def kept_rows(df: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
+    """df without copies: one row of each class. Rows meet the classes by digest and doc_id, so that of a hot class one row alone finds a partner; texts move once."""
+    had = df.columns
+    winners = classes(df, text, salts).select(F.col("_digest").alias("_d"), F.col("keep_id").alias("_keep"))
+    rows = df.withColumns({"_digest": F.sha2(normal(text_of(text)).cast("binary"), 256), "_doc": F.coalesce("doc_id", F.lit(TOP))})
+    met = rows.join(winners.hint("merge"), (rows["_digest"] == winners["_d"]) & (rows["_doc"] == winners["_keep"]))
+    return met.dropDuplicates(["_digest", "_doc"]).select(*had)
+
+
 def report(df: DataFrame) -> DataFrame:
     texts = df.select("doc_id", "text")
     return with_classes(texts).drop("text")

@@ -133,11 +133,14 @@ def judge(stats: DataFrame, bounds: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~F.col("base_failed") & within).select(*out, "kept")
 
 
+def bounds_of(stats: DataFrame, min_rows: int = 200) -> DataFrame:
+    return staged(limits(sketches(stats), min_rows), "quality_limits")
+
+
 def assess(df: DataFrame, min_rows: int = 200) -> DataFrame:
-    """df with the statistics, base_failed and kept. What df carries is written once, so that no text is read or counted twice."""
-    table = staged(with_stats(df.drop("kept")), "quality")
-    bounds = staged(limits(sketches(table), min_rows), "quality_limits")
-    return judge(table, bounds)
+    """df with the statistics, base_failed and kept. Texts are counted twice, for the limits and for the verdict, and neither written nor moved."""
+    df = df.drop("kept")
+    return judge(with_stats(df), bounds_of(with_stats(df.select("text", "lang", "source")), min_rows))
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -146,9 +149,9 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def assess_stats(df: DataFrame) -> DataFrame:
-    """As assess, but the written table carries no text."""
+    """As assess for the statistics alone: a written table without texts serves limits and verdict."""
     table = staged(with_stats(df.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return judge(table, staged(limits(sketches(table)), "quality_limits"))
+    return judge(table, bounds_of(table))
 
 
 def _sql() -> str:
