@@ -339,10 +339,8 @@ def connect(sets: list[np.ndarray], start: list[int], percent: int) -> Roots:
     return roots
 
 
-def run_jobs(df: DataFrame, jobs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the members of each job. jobs: job, rep, label (members of a job with one label are connected already)."""
-    texts = df.select(F.col("doc_id").alias("rep"), text_of().alias("text"))
-    # merged by sorting at every size: the plan that holds when neither side is small
+def run_jobs(texts: DataFrame, jobs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the members of each job. texts: rep, text of cluster members; jobs: job, rep, label (members of a job with one label are connected already)."""
     members = texts.join(jobs.hint("merge"), "rep").select("job", "rep", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,21 +381,24 @@ def linked(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     clusters = staged(components(edges, "clusters"), "clusters")
     # sizes go back to the members by salts, as one cluster may hold very many
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = clusters.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(sizes, ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
+    placed = clusters.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(sizes.hint("merge"), ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
     small = placed.where(F.col("members") <= CHUNK).select(F.concat_ws(":", "cluster").alias("job"), "rep", F.col("rep").alias("label"))
-    found = run_jobs(df, small, k, percent)
+    # all texts are read once, those of cluster members kept; merged by sorting at every size, as neither side need be small
+    texts = df.select(F.col("doc_id").alias("rep"), text_of().alias("text")).join(placed.select("rep").hint("merge"), "rep", "left_semi")
+    texts = staged(texts, "cluster_texts")
+    found = run_jobs(texts, small, k, percent)
     # a small cluster is one job, whose links are stars already: (member, smallest member)
     roots = staged(found, "links").select(F.col("a").alias("rep"), F.col("b").alias("root"))
     large = placed.where(F.col("members") > CHUNK)
     if not large.isEmpty():
-        links = join_large(df, large.join(classes.select("rep", "n"), "rep"), k, percent)
+        links = join_large(texts, large.join(classes.select("rep", "n"), "rep"), k, percent)
         roots = roots.union(components(links, "parts").where("v <> root").select("v", "root"))
     # a repeated row stands twice in its job
     roots = roots.groupBy("rep").agg(F.min("root").alias("root"))
     return rows, classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
 
 
-def join_large(df: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
+def join_large(texts: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
     """Links of clusters over CHUNK: neighbouring chunks first, then everything outside the largest component with every chunk."""
     # a rank by size within the cluster, from counts by size and a hash, so that no window holds a cluster
     cut = large.withColumn("_b", F.pmod(F.xxhash64("rep"), F.lit(64)))
@@ -408,7 +409,7 @@ def join_large(df: DataFrame, large: DataFrame, k: int, percent: int) -> DataFra
     # job i holds chunks i and i + 1
     job = F.concat_ws(":", F.lit("near"), "cluster", "at")
     near = chunked.withColumn("at", F.explode(F.array("chunk", F.col("chunk") - 1))).select(job.alias("job"), "rep", F.col("rep").alias("label"))
-    first = staged(run_jobs(df, near, k, percent), "near_links")
+    first = staged(run_jobs(texts, near, k, percent), "near_links")
     parts = components(first, "near_parts").select(F.col("v").alias("rep"), F.col("root").alias("part"))
     labelled = staged(chunked.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "near_labels")
     big = labelled.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
@@ -419,7 +420,7 @@ def join_large(df: DataFrame, large: DataFrame, k: int, percent: int) -> DataFra
     pairs = rest.select("cluster", "block").distinct().join(chunked.select("cluster", "chunk").distinct(), "cluster")
     name = F.concat_ws(":", F.lit("far"), "cluster", "block", "chunk").alias("job")
     far = pairs.join(rest, ["cluster", "block"]).select(name, "rep", F.col("part").alias("label")).union(pairs.join(labelled, ["cluster", "chunk"]).select(name, "rep", F.col("part").alias("label"))).distinct()
-    return first.union(run_jobs(df, far, k, percent))
+    return first.union(run_jobs(texts, far, k, percent))
 
 
 def with_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
