@@ -8,6 +8,12 @@ group is an outlier fence over its sketch; groups under ``min_rows`` documents
 take the merged sketch of their language, or of everything. The limits are
 joined to the documents; those beyond one are rejected.
 
+There are two kinds of limits. ``limits`` are those of op4_quality and its SQL;
+their least distances are wider than the grid resolves, so they act as fixed
+cutoffs. ``fences`` are those of op4_adaptive_quality and the pipeline: raw
+ratios in log-spaced buckets, so that a group in which a ratio is small has a
+limit as small, and nothing but the group's own quartiles sets it.
+
 Null text: no words, rejected by the base rule. Null lang or source: a group
 of their own (''). Repeated rows are judged one by one, each alike.
 """
@@ -26,6 +32,9 @@ WINDOW = 5
 BUCKET = 10  # per mille in a bucket
 MOST_BROADCAST = 20_000
 SALTS = 32
+STEPS = 8  # log-spaced buckets for each doubling of a ratio
+CLUSTERS = 0.9
+SMALLEST = 30  # ratios under 2^-30 share the first bucket
 
 
 @dataclass(frozen=True)
@@ -37,6 +46,7 @@ class Rule:
 
 
 RULES = (Rule("symbol_pm", 60), Rule("shout_pm", 100), Rule("upper_pm", 250), Rule("dup_line_pm", 250), Rule("repeat_pm", 150))
+LOGS = tuple(r.name.replace("_pm", "_log") for r in RULES)
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -61,8 +71,14 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, 0).otherwise(counted)
 
 
-def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the rules' ratios."""
+def log_bucket(part: str, whole: str) -> Column:
+    """0 where the part is 0, else the log-spaced bucket of part / whole, from 1."""
+    at = F.floor(STEPS * (F.log2(F.col(part) / F.col(whole)) + SMALLEST)) + 1
+    return F.when((F.col(part) > 0) & (F.col(whole) > 0), F.greatest(at, F.lit(1))).otherwise(0).cast("int")
+
+
+def with_stats(df: DataFrame, text: str = "text", logs: bool = False) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the rules' ratios; with logs also their log-spaced buckets."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
     has_word = lambda x: x.rlike(WORD)
@@ -77,7 +93,9 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
         "_upper": F.regexp_count(t, F.lit("[A-Z]")),
     })
     pm = lambda a, b: F.coalesce(F.expr(f"({a} * 1000) div nullif({b}, 0)"), F.lit(0)).cast("long")
+    buckets = zip(LOGS, (("n_symbols", "word_chars"), ("_shout", "word_chars"), ("_upper", "word_chars"), ("_lines.d", "_lines.n"), ("n_repeat_words", "n_words")), strict=True)
     return df.withColumns({
+        **({name: log_bucket(*of) for name, of in buckets} if logs else {}),
         "n_dup_lines": F.col("_lines.d").cast("long"),
         "symbol_pm": pm("n_symbols", "word_chars"), "shout_pm": pm("_shout", "word_chars"), "upper_pm": pm("_upper", "word_chars"),
         "dup_line_pm": pm("_lines.d", "_lines.n"), "repeat_pm": pm("n_repeat_words", "n_words"),
@@ -116,10 +134,62 @@ def limits(sketch: DataFrame, min_rows: int = 200, spread: int = 4) -> DataFrame
     return full.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, picked)).cast("long").alias(f"max_{r.name}") for r in RULES])
 
 
-def judge(stats: DataFrame, bounds: DataFrame) -> DataFrame:
+def log_sketches(stats: DataFrame) -> DataFrame:
+    """(lang, source, rule, bucket, n) over the log-spaced buckets; base-failed documents do not count."""
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("bucket")) for name in LOGS]))
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    return stats.where(~F.col("base_failed")).select(*key, long.alias("x")).groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def middle(bucket: Column) -> Column:
+    """The ratio that a log-spaced bucket stands for."""
+    return F.when(bucket > 0, F.pow(F.lit(2.0), (bucket - 0.5) / STEPS - SMALLEST)).otherwise(0.0)
+
+
+def split(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the bucket after which the two sides differ most (Otsu's threshold) and the share of the variance that it explains; no row where all values share a bucket."""
+    w = W.partitionBy(*keys)
+    v = middle(F.col("bucket"))
+    run = sketch.withColumns({"cn": F.sum("n").over(w.orderBy("bucket")), "cx": F.sum(F.col("n") * v).over(w.orderBy("bucket")), "cq": F.sum(F.col("n") * v * v).over(w.orderBy("bucket"))})
+    run = run.withColumns({"tn": F.max("cn").over(w), "tx": F.max("cx").over(w), "tq": F.max("cq").over(w)}).where("cn < tn")
+    gain = F.pow(F.col("cx") * F.col("tn") - F.col("tx") * F.col("cn"), 2) / (F.col("cn") * (F.col("tn") - F.col("cn")))
+    share = F.max(gain) / F.max(F.col("tn") * F.col("tq") - F.col("tx") * F.col("tx"))
+    return run.groupBy(*keys).agg(F.max_by("bucket", F.struct(gain, -F.col("bucket"))).alias("split"), share.alias("share"))
+
+
+def split_twice(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the split, or that of its lower side if that side is two clusters too (CLUSTERS of its variance lies between them): outliers of two sizes."""
+    first = split(sketch, keys).select(*keys, F.col("split").alias("first"))
+    again = split(sketch.join(first, keys).where(F.col("bucket") <= F.col("first")), keys)
+    return first.join(again, keys, "left").select(*keys, F.when(F.col("share") >= CLUSTERS, F.col("split")).otherwise(F.col("first")).alias("split"))
+
+
+def fences(sketch: DataFrame, min_rows: int = 200) -> DataFrame:
+    """(lang, source, one limit per rule, n_own) from the first sketch with min_rows documents; n_own is how many limits come from the group itself.
+
+    A limit is the greater of two buckets of that sketch: of the far-out fence
+    q75 + 3 * (q75 - q25), the distance being at least a bucket's width, and of
+    the split of the group's values. The fence serves ratios that are usual in
+    the group, the split those that most documents do not have at all.
+    """
+    levels = []
+    for keys in (["lang", "source", "rule"], ["lang", "rule"], ["rule"]):
+        merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+        q = quantile(merged, keys, (0.25, 0.75)).join(split_twice(merged, keys), keys, "left")
+        low, high = middle(F.col("q25")), middle(F.col("q75"))
+        far = high + 3 * F.greatest(high - low, high * (2 ** (1 / STEPS) - 1))
+        fence = F.when(far > 0, F.floor(STEPS * (F.log2(far) + SMALLEST)) + 1).otherwise(0)
+        levels.append(q.select(*keys, F.col("all").alias(f"n{len(keys)}"), F.greatest(fence, F.col("split")).alias(f"l{len(keys)}")))
+    full = levels[0].join(levels[1], ["lang", "rule"], "left").join(levels[2], "rule", "left")
+    own = F.col("n3") >= min_rows
+    picked = F.when(own, F.col("l3")).when(F.col("n2") >= min_rows, F.col("l2")).otherwise(F.col("l1"))
+    return full.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == name, picked)).cast("long").alias(f"max_{name}") for name in LOGS], F.count_if(own).alias("n_own"))
+
+
+def judge(stats: DataFrame, bounds: DataFrame, names: tuple[str, ...] = tuple(r.name for r in RULES), more: tuple[str, ...] = ()) -> DataFrame:
     """Joins the limits and adds kept. Few limits (their count is checked) are broadcast; more are joined salted, so that a hot source is spread."""
     out = stats.columns
-    b = bounds.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[f"max_{r.name}" for r in RULES])
+    b = bounds.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[f"max_{name}" for name in names], *more)
     on = (F.coalesce(stats["lang"].cast("string"), F.lit("")) == F.col("_l")) & (F.coalesce(stats["source"].cast("string"), F.lit("")) == F.col("_s"))
     if bounds.count() <= MOST_BROADCAST:
         both = stats.join(F.broadcast(b), on, "left")
@@ -128,19 +198,30 @@ def judge(stats: DataFrame, bounds: DataFrame) -> DataFrame:
         salted = stats.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
         both = salted.join(b, on & (F.col("_salt") == F.col("_k")), "left")
     within = F.lit(True)
-    for r in RULES:
-        within = within & (F.col(r.name) <= F.coalesce(F.col(f"max_{r.name}"), F.lit(1 << 40)))
-    return both.withColumn("kept", ~F.col("base_failed") & within).select(*out, "kept")
+    for name in names:
+        within = within & (F.col(name) <= F.coalesce(F.col(f"max_{name}"), F.lit(1 << 40)))
+    return both.withColumn("kept", ~F.col("base_failed") & within).select(*out, "kept", *more)
 
 
 def bounds_of(stats: DataFrame, min_rows: int = 200) -> DataFrame:
     return staged(limits(sketches(stats), min_rows), "quality_limits")
 
 
+def fences_of(stats: DataFrame, min_rows: int = 200) -> DataFrame:
+    return staged(fences(log_sketches(stats), min_rows), "quality_fences")
+
+
 def assess(df: DataFrame, min_rows: int = 200) -> DataFrame:
-    """df with the statistics, base_failed and kept. Texts are counted twice, for the limits and for the verdict, and neither written nor moved."""
+    """df with the statistics, base_failed and kept by the fences. Texts are counted twice, for the limits and for the verdict, and neither written nor moved."""
     df = df.drop("kept")
-    return judge(with_stats(df), bounds_of(with_stats(df.select("text", "lang", "source")), min_rows))
+    return judge(with_stats(df, logs=True), fences_of(with_stats(df.select("text", "lang", "source"), logs=True), min_rows), LOGS)
+
+
+def adaptive_report(df: DataFrame, min_rows: int = 200) -> DataFrame:
+    """The ratios' buckets, the verdict by the fences and, of the five limits that were applied, how many are the group's own (0 where it has none)."""
+    table = staged(with_stats(df.select("doc_id", "text", "lang", "source"), logs=True).drop("text"), "quality")
+    judged = judge(table, fences_of(table, min_rows), LOGS, ("n_own",))
+    return judged.select("doc_id", "lang", "source", "n_words", "base_failed", "kept", *LOGS, F.coalesce("n_own", F.lit(0)).alias("n_own"))
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -149,7 +230,7 @@ def report(df: DataFrame) -> DataFrame:
 
 
 def assess_stats(df: DataFrame) -> DataFrame:
-    """As assess for the statistics alone: a written table without texts serves limits and verdict."""
+    """The statistics alone, judged by the limits: a written table without texts serves limits and verdict."""
     table = staged(with_stats(df.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
     return judge(table, bounds_of(table))
 

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -61,3 +62,54 @@ def test_salted_join_is_the_same(real, monkeypatch):
     a = quality.report(real).select("doc_id", "kept").collect()
     monkeypatch.setattr(quality, "MOST_BROADCAST", 0)
     assert sorted(a) == sorted(quality.report(real).select("doc_id", "kept").collect())
+
+
+def test_fences_are_the_groups_own(spark):
+    """Small ratios are told apart, all of them under 105 per mille: what is usual among the loud is too much among the plain, and signs are too many where nobody uses them."""
+    def text(capitals, signs=0):
+        return " ".join(f"word{chr(97 + i % 26)}{i:04d}" for i in range(400)) + " " + "Q" * capitals + "#" * signs
+
+    usual = {"plain": 6, "loud": 60}
+    table = [(1000 * k + i, text(n + i % 3 * n // 6, 20 * k), "en", s, 1) for k, (s, n) in enumerate(usual.items()) for i in range(300)]
+    table += [(5000, text(30), "en", "plain", 1), (5001, text(60), "en", "plain", 1), (5002, text(400, 20), "en", "loud", 1), (5003, text(6, 20), "en", "plain", 1)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r.doc_id: r for r in quality.adaptive_report(df).collect()}
+    assert sorted(d for d, r in rows.items() if not r.kept) == [5000, 5001, 5002, 5003] and {r.n_own for r in rows.values()} == {5}
+    assert sorted(r.doc_id for r in quality.assess(df).where("not kept").collect()) == [5000, 5001, 5002, 5003]
+
+
+def two_sides(v, ratio, mean):
+    sides = {x: ([y for y in v if y <= x], [y for y in v if y > x]) for x in sorted(set(v))[:-1]}
+    if not sides:
+        return 0, 0
+    gain = {x: len(a) * len(b) * (mean(b) - mean(a)) ** 2 / len(v) for x, (a, b) in sides.items()}
+    at = max(gain, key=gain.get)
+    return at, gain[at] / sum((ratio(y) - mean(v)) ** 2 for y in v)
+
+
+def test_fences_like_brute_force(real):
+    """Every limit, with its fallbacks, and every verdict from plain sorted lists."""
+    rows = quality.adaptive_report(real, 20).collect()
+    groups = {}
+    keys = lambda r, name: ((r.lang or "", r.source or "", name), (r.lang or "", name), (name,))
+    for r in rows:
+        for name in quality.LOGS:
+            for key in keys(r, name):
+                if not r.base_failed:
+                    groups.setdefault(key, []).append(r[name])
+
+    def limit(r, name):
+        own, lang, every = (groups.get(k, []) for k in keys(r, name))
+        v = sorted(own if len(own) >= 20 else lang if len(lang) >= 20 else every)
+        ratio = lambda x: 2 ** ((x - 0.5) / 8 - 30) if x else 0.0
+        at = lambda share: v[math.ceil(share * len(v)) - 1]
+        mean = lambda x: sum(map(ratio, x)) / len(x)
+        far = ratio(at(0.75)) + 3 * max(ratio(at(0.75)) - ratio(at(0.25)), ratio(at(0.75)) * (2 ** (1 / 8) - 1))
+        first, _ = two_sides(v, ratio, mean)
+        again, share = two_sides([x for x in v if x <= first], ratio, mean)
+        return max(math.floor(8 * (math.log2(far) + 30)) + 1 if far else 0, again if share >= 0.9 else first)
+
+    cache = {k: limit(r, k[2]) for r in rows for n in quality.LOGS for k in [(r.lang, r.source, n)]}
+    for r in rows:
+        assert r.kept == (not r.base_failed and all(r[n] <= cache[r.lang, r.source, n] for n in quality.LOGS)), r
+    assert any(not r.kept and not r.base_failed for r in rows)
