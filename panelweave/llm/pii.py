@@ -39,16 +39,24 @@ class Kind:
 # Possessive loops cannot give back what they took, so long runs neither
 # overflow the regex stack nor cost quadratic time. A run's first character, or
 # the end of the last match (\G), is the only place where a match can begin.
+# An iban's pattern matches its first four characters only, as what follows may
+# run on into the next word or hold another one; iban_at() finds its end.
 KINDS = (
     Kind("email", 0, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|write|reach", needs="@"),
     Kind("ip", 1, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, r"\bip\b|host|server|address|ping"),
     Kind("card", 2, r"[0-9](?:[\x20-]?[0-9])++", 0.8, r"card|visa|master|credit|debit|pay|amex"),
     Kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0.8, r"phone|tel|call|mobile|fax|cell", needs="+"),
-    Kind("iban", 4, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", 4, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", 0.8, r"iban|bank|account|konto|compte|cuenta", base=False),
     Kind("ssn", 5, r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, r"ssn|social|security|tax", base=False, needs="-"),
     Kind("key", 6, r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", 0.7, r"key|secret|token|access|aws", base=False, needs="AKIA"),
 )
 CONTEXT = 40
+IBAN_MOST = 34 + 33  # characters and the blanks between them
+#: Length of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {c: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO|16:BE|18:DK FI FK FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH CR HR LI LV|22:BG BH DE GB GE IE ME RS|23:AE GI IL IQ OM SO TL|"
+    "24:AD CZ DZ ES MD PK RO SA SE SK TN VG YE|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MC MR SM|28:AL AZ BY CY DO GT HN HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU|31:MT SC|32:LC|33:RU"
+).split("|")) for c in codes.split()}
 BONUS = 0.3
 
 
@@ -86,6 +94,20 @@ def ip_ok(value: Column) -> Column:
     return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
 
 
+def iban_at(tail: Column) -> Column:
+    """The IBAN that tail starts with, '' if none: of its country's length or, where that isn't known, the longest of 15 to 34 characters that passes; no letter or digit may follow it."""
+    known = F.create_map(*[F.lit(x) for c in IBAN_LENGTHS.items() for x in c])
+    length = F.try_element_at(known, F.substring(tail, 1, 2))
+    sizes = F.when(length.isNotNull(), F.array(length)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+
+    def one(n: Column) -> Column:
+        pattern = F.concat(F.lit(r"^[A-Z0-9](?:\x20?[A-Z0-9]){"), (n - 1).cast("string"), F.lit("}(?![A-Za-z0-9])"))
+        return F.call_function("regexp_extract", tail, pattern, F.lit(0))
+
+    fit = F.filter(F.transform(sizes, one), lambda v: (v != "") & mod97_ok(v))
+    return F.coalesce(F.get(fit, F.lit(0)), F.lit(""))
+
+
 def confirmed(kind: Kind, value: Column) -> Column:
     if kind.name == "ip":
         return ip_ok(value)
@@ -94,13 +116,25 @@ def confirmed(kind: Kind, value: Column) -> Column:
     if kind.name == "phone":
         return F.length(digits_of(value)).between(10, 15)
     if kind.name == "iban":
-        return mod97_ok(value)
+        return value != ""
     return F.lit(True)
 
 
 SPAN = "array<struct<s:int,rank:int,e:int,kind:string,score:double>>"
 
 
+def tail_of(p: Column, i: Column) -> Column:
+    """The text from piece i on, as far as an IBAN and its context reach. Two pieces have five characters at least, so few are joined."""
+    most = IBAN_MOST + CONTEXT
+    return F.substring(F.array_join(F.transform(F.slice(p, i + 1, 2 * most // 5 + 2), lambda x: F.substring(x, 1, most)), ""), 1, most)
+
+
+def before(p: Column, i: Column) -> Column:
+    """The context before piece i, over as many pieces as it takes."""
+    few = 2 * CONTEXT // 5 + 2
+    return F.substring(F.array_join(F.transform(F.slice(p, F.greatest(i - few, F.lit(0)) + 1, F.least(i, F.lit(few))), lambda x: F.substring(x, -CONTEXT, CONTEXT)), ""), -CONTEXT, CONTEXT)
+
+
 def spans_of(text: Column, kind: Kind, min_score: float) -> Column:
     """Confirmed spans of one kind: array of (s, rank, e, kind, score)."""
     safe = F.replace(text, F.lit(MARK), F.lit(INSTEAD))
@@ -115,8 +149,13 @@ def spans_of(text: Column, kind: Kind, min_score: float) -> Column:
 
         def build(starts: Column) -> Column:
             def one(i: Column) -> Column:
-                value, s = F.get(p, i), F.get(starts, i)
-                near = F.lower(F.concat(F.substring(F.get(p, i - 1), -CONTEXT, CONTEXT), F.lit(" "), F.substring(F.get(p, i + 1), 1, CONTEXT)))
+                s = F.get(starts, i)
+                if kind.name == "iban":
+                    return let(tail_of(p, i), lambda tail: let(iban_at(tail), lambda value: span(s, value, before(p, i), F.substring(tail, F.length(value) + 1, CONTEXT))))
+                return span(s, F.get(p, i), F.substring(F.get(p, i - 1), -CONTEXT, CONTEXT), F.substring(F.get(p, i + 1), 1, CONTEXT))
+
+            def span(s: Column, value: Column, left: Column, right: Column) -> Column:
+                near = F.lower(F.concat(left, F.lit(" "), right))
                 score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.words), BONUS).otherwise(0.0))
                 return F.struct(
                     s.alias("s"), F.lit(kind.rank).alias("rank"), (s + F.length(value)).alias("e"), F.lit(kind.name).alias("kind"),

@@ -68,3 +68,30 @@ def test_redact(odd, none):
     rows = {r.doc_id: r.text for r in pii.redact(odd).collect()}
     assert rows[9] == "call <phone> or <email><email> at <ip>.<ip>" and rows[1] is None and rows[2] == ""
     assert pii.redact(odd).columns == odd.columns and pii.redact(none).count() == 0
+
+
+def test_ibans_end_where_they_end(spark):
+    """A capitalised word, digits, a BIC or another IBAN after a blank are not part of the number; neither does a code before it hide one."""
+    gb, de, spaced = "GB29NWBK60161331926819", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"{gb} Please pay", [gb]), (f"{spaced} The bank", [spaced]), (f"{de} AND THEN", [de]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{de} 12 345", [de]),
+        (f"{de} {gb}", [de, gb]), (f"REF AB12 CODE {spaced} {gb} é", [spaced, gb]), (f"é😀 {de}", [de]), (f"{de}, x", [de]), (f"{spaced}\u0001{gb}", [spaced, gb]),
+        (f"NO93 8601 1117 947 {'A' * 60}", ["NO93 8601 1117 947"]), ("MT84MALT011000012345MTLCAST001S OK", ["MT84MALT011000012345MTLCAST001S"]), ("word " * 50 + de + " Ja " + "x" * 200, [de]),
+        (f"{de}X", []), (f"{de}x", []), (f"X{de}", []), ("DE89 3704 0044 0532 0130 01 And", []), ("AB12 " * 30, []), (" ".join(["AB12 CD34", de, "Zu"] * 20), [de] * 20),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.report(df).collect()}
+    masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i, (t, want) in enumerate(cases):
+        spans = [x.split(":") for x in rows[i].spans.split(",") if x.startswith("iban:")]
+        assert [t[int(s) : int(e)] for _, s, e in spans] == want and rows[i].n_iban == len(want), t
+        assert not any(x in masked[i] for x in want), t
+        assert want or "<iban>" not in masked[i], t
+
+
+def test_iban_of_unknown_country(spark):
+    """Any valid length counts where the country's is not known, and context words raise the score as before."""
+    table = [(1, "my bank: ZZ33 1234 5678 9012 345 Then"), (2, "ZZ33 1234 5678 9012 345 Then"), (3, "ZZ34 1234 5678 9012 345 Then")]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [(rows[i].n_iban, "iban:9:32" in rows[i].spans) for i in (1, 2, 3)] == [(1, True), (1, False), (0, False)]
+    assert (rows[1].scores[-3:], rows[2].scores[-3:]) == ("1.0", "0.8")
