@@ -261,6 +261,13 @@ def signflip_exact_small(s, d):
     return s.createDataFrame([(1 << len(rows), round(H.sign_flip(np.array([x.x for x in rows])), 9))], "n_flips long, p double")
 
 
+@query()
+def signflip_exact_states(s, d):
+    """Every state and all of their signs; signflip_exact_small has ten states, as its SQL enumerates them."""
+    rows = pair_frame(s, d).groupBy("state").agg(F.avg("adjusted_delta").alias("x")).orderBy("state").collect()  # one row per state
+    return s.createDataFrame([(len(rows), 1 << len(rows), H.sign_flip_all(np.array([x.x for x in rows])))], "n_states int, n_flips long, p double")
+
+
 @query(f"WITH e AS ({_UNIT}), n AS (SELECT label, sqrt(sum(x * x)) AS base FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY ALL) GROUP BY label) SELECT label, round(base, 6) AS base, round(least(1.0, 0.05 * base / greatest(0.1 * (label + 1), 1e-12)), 6) AS shrink FROM n")
 def capped_vector_norm(s, d):
     from ..functions.vectors import norm

@@ -146,6 +146,27 @@ def test_sign_flips():
     assert est == pytest.approx(1.0) and p == pytest.approx(1 / 8, abs=0.03)
 
 
+def test_sign_flips_of_every_block():
+    """All signs of 22 blocks, which sign_flip would draw from, and of few blocks as sign_flip has them."""
+    s = np.random.default_rng(3).normal(0.2, 1.0, 22)
+    assert H.sign_flip_all(s) == pytest.approx(H.sign_flip(s, exact_up_to=22), rel=1e-12)
+    for few in ([1.0, 2.0, -0.5, 3.0], [0.0, 0.0, 1.0], [2.0]):
+        assert H.sign_flip_all(np.array(few), 0.1) == pytest.approx(H.sign_flip(np.array(few), 0.1), rel=1e-12)
+    assert H.sign_flip_all(np.ones(25)) == 2 / (2**25 + 1) and np.isnan(H.sign_flip_all(np.array([])))
+
+
+def test_sign_flip_query_takes_every_state(spark):
+    from panelweave.plans import catalog
+    from panelweave.plans.relational import pair_frame
+
+    d = "/root/testdata/sf0.01"
+    x = np.array([r.x for r in pair_frame(spark, d).groupBy("state").agg(F.avg("adjusted_delta").alias("x")).collect()])
+    r = catalog.queries()["signflip_exact_states"](spark, d).first()
+    assert len(x) > 10 and (r.n_states, r.n_flips) == (len(x), 2 ** len(x))
+    drawn = np.random.default_rng(1).integers(0, 2, (200_000, len(x))) * 2 - 1
+    assert r.p == pytest.approx((drawn @ x >= x.sum() - 1e-9).mean(), abs=0.006)
+
+
 def test_hac_paths(spark):
     rng = np.random.default_rng(5)
     data = [(f"b{i % 60}", "d", float(i % 60) * 1000, 0.0, float(1 + rng.normal() * 0.1), 10.0) for i in range(240)]
