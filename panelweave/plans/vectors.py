@@ -56,6 +56,12 @@ def ascii_fold_names(s, d):
     return B.table(s, d, "documents").where(F.col("lang").isin("fr", "de", "es")).select("doc_id", T.ascii_fold("text").alias("folded"))
 
 
+@query()
+def ascii_fold_documents(s, d):
+    """Every document, of whatever language or none; ascii_fold_names has three languages, as its SQL does."""
+    return B.table(s, d, "documents").select("doc_id", T.ascii_fold("text").alias("folded"))
+
+
 @query("""SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_trunc('month', o_orderdate) AS DATE) AS b, CAST(date_trunc('month', o_orderdate) AS DATE) AS c, CAST(NULL AS DATE) AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders""")
 def month_parse_fallback(s, d):
     o = B.table(s, d, "orders")

@@ -87,3 +87,16 @@ def test_tails():
     for n, k, p in ((10, 7, 0.5), (30, 29, 0.95), (5, 0, 0.3), (5, 6, 0.3)):
         assert D.binom_upper(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(max(k, 0), n + 1)), abs=1e-12)
     assert D.clopper_pearson(0, 10)[0] == 0 and D.clopper_pearson(10, 10)[1] == 1 and D.clopper_pearson(5, 10) == pytest.approx((0.187086, 0.812914), abs=1e-6)
+
+
+def test_ascii_fold_of_every_document(spark, tmp_path):
+    import unicodedata
+
+    from panelweave.plans import catalog
+
+    rows = [(1, "Café in Zürich", "en"), (2, "São Tomé ﬁ ½ ß Ł ø", None), (3, "garçon", "fr"), (4, "中文 Ångström", "zh"), (5, None, "en"), (6, "", ""), (7, "plain", "de"), (7, "plain", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalog.queries()["ascii_fold_documents"](spark, str(tmp_path)).collect()]
+    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128)
+    assert sorted(got, key=str) == sorted(((i, plain(t)) for i, t, _ in rows), key=str)
+    assert dict(got)[1] == "Cafe in Zurich" and dict(got)[3] == "garcon" and dict(got)[5] is None
