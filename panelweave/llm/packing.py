@@ -5,13 +5,18 @@ longer than a sequence is cut. Pieces are dealt by hash into groups of bounded
 size; every group is packed by several islands. An island keeps a population
 of packings, begins with best-fit decreasing and shuffled variants, and breeds:
 crossover injects whole well-filled bins of one parent into the other, bins
-that hold one of the injected pieces are taken apart, and displaced pieces go
-in best-fit. After an epoch each island's elite migrates to its neighbour over
-a written table; the next epoch starts from both. Bins that are not full enough
-are opened again and their pieces packed in a second round across groups.
-
-Null text counts as empty: one piece of length 1. Repeated rows are packed like
-others. An empty table gives an empty result. Extra columns are not read.
+that hold one of the injected pieces are taken apart, and displaced pieces
+first replace smaller ones where a bin gets fuller by it, then go in best-fit.
+After an epoch each island's elite migrates to its neighbour over a written
+table; the next epoch starts from both. An island that has reached the lower
+bound (no packing can have fewer bins) has nothing left to breed for and stops.
+Bins that are not full enough are opened again and their pieces packed in a
+second round across groups.
+
+Null text counts as empty: one piece of length 1. A text of any length is
+encoded whole. Repeated rows are packed like others, ties are broken by id and
+place. An empty table gives an empty result. Extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ import re
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,23 +41,24 @@ from .common import staged
 
 CAPACITY = 2048
 GROUP = 3000  # pieces that one island packs
-ISLANDS, POPULATION, BROODS = 2, 4, 6
+ISLANDS, POPULATION, BROODS = 2, 4, 8
 KEEP = 500_000
 LONG = 48
+JOINED = 1000  # words that the tokenizer gets in one string
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 ENDS = frozenset(",.")
 ODD = re.compile("[\u0130\u03a3]")  # letters whose lower case depends on the place or is not one letter
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: In the grouped functions doc_id is a string: as a number next to nulls it would lose digits there.
-PACKED = PIECES.replace("doc_id long", "doc_id string") + ", _group long, _island int, _bin long, offset long, _load long, _bins long, _fit double"
+PACKED = PIECES + ", _group long, _island int, _bin long, offset long, _load long, _bins long, _fit double"
 
 
 class Words(dict):
     """Ids of words, kept: a word between blanks has the same ids wherever it stands.
 
-    A first pass over a batch of texts notes the words that are not known yet;
-    the tokenizer gets those in one call, without a comma or point at their
-    end. When KEEP new words have come the older half of the store is let go.
+    Of a batch of texts, the words that are not known yet are found first; the
+    tokenizer gets those joined by a sign of its own, without a comma or
+    point at their end. When KEEP new words have come the older half of the
+    store is let go. Texts that hold an added token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -59,27 +67,40 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[str, bytes] = {}
-        self.unknown: list[str] = []
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            self.unknown.append(word)
-            return b""
-        self[word] = ids
-        return ids
+        # words are joined only if a zero between blanks is one id that nothing else gives
+        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.zero = zero[0] if len(zero) == 1 and self.tokenizer.encode("a 0 a", add_special_tokens=False).ids.count(zero[0]) == 1 else None
 
-    def by_tokenizer(self, texts: list[str]) -> list[bytes]:
+    def by_tokenizer(self, texts: list[str], added: bool = False) -> list[bytes]:
+        """Ids of whole texts; with added, added tokens in them have their own ids."""
+        self.tokenizer.encode_special_tokens = not added
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self) -> None:
-        """Gives every noted word its ids."""
-        words, self.unknown = set(self.unknown), []
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without blanks. A word with a zero goes alone, others many at a time."""
+        if self.zero is None:
+            return self.by_tokenizer(words)
+        alone = [w for w in words if "0" in w]
+        rest = [w for w in words if "0" not in w]
+        found = dict(zip(alone, self.by_tokenizer(alone), strict=True))
+        for at in range(0, len(rest), JOINED):
+            part = rest[at : at + JOINED]
+            ids = np.frombuffer(self.by_tokenizer([" 0 ".join(["", *part, ""])])[0], np.uint32)
+            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.zero) * 4).tolist()
+            found.update(zip(part, [data[i + 4 : j] for i, j in pairwise(cuts)], strict=True))
+        return [found[w] for w in words]
+
+    def learn(self, words: set[str]) -> None:
+        """Gives every one of these words its ids."""
+        if self.older:
+            kept = {w: ids for w in words if (ids := self.older.get(w)) is not None}
+            self.update(kept)
+            words = words.difference(kept)
         ended = {w for w in words if w[-1:] in ENDS and PLAIN.fullmatch(w, 0, len(w) - 1)}
         need = [w for w in {*(words - ended), *(w[:-1] for w in ended), *(w[-1] for w in ended)} if w not in self]
-        self.update(zip(need, self.by_tokenizer(need), strict=True))
+        self.update(zip(need, self.of_words(need), strict=True))
         self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -87,22 +108,19 @@ class Words(dict):
             self.older = {w: ids for w, ids in self.items() if len(w) <= LONG}
             self.clear()
         split: list[list[str] | None] = []
+        met: set[str] = set()
         for t in texts:
-            if not t.isascii() and (ODD.search(t) or not unicodedata.is_normalized("NFC", t)):
+            if any(x in t for x in self.added) or not t.isascii() and (ODD.search(t) or not unicodedata.is_normalized("NFC", t)):
                 split.append(None)
                 continue
             t = t.lower()
             for blank in "\n\t\r":
                 t = t.replace(blank, " ")
             split.append(t.split(" "))
-        get, out = self.__getitem__, []
-        for words, t in zip(split, texts, strict=True):
-            before = len(self.unknown)
-            ids = self.by_tokenizer([t])[0] if words is None else b"".join(map(get, words))
-            out.append(ids if len(self.unknown) == before else None)
-        if self.unknown:
-            self.learn()
-        return [b"".join(map(get, words)) if ids is None else ids for ids, words in zip(out, split, strict=True)]
+            met.update(split[-1])
+        self.learn(met.difference(self))
+        get = self.__getitem__
+        return [self.by_tokenizer([t], True)[0] if words is None else b"".join(map(get, words)) for words, t in zip(split, texts, strict=True)]
 
 
 _WORDS: dict[str, Words] = {}
@@ -122,8 +140,8 @@ def pieces_of(df: DataFrame, path: str, text: str = "text", capacity: int = CAPA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = b.slice(at, 256)
+            for at in range(0, b.num_rows, 512):
+                rows = b.slice(at, 512)
                 out: list[list[int | None]] = [[], [], [], [], []]
                 for doc, ids in zip(rows.column(0).to_pylist(), words.encode([t.as_py() or "" for t in rows.column(1)]), strict=True):
                     ids += end
@@ -206,59 +224,85 @@ def mutate(one: Bins, sizes: list[int], rng: random.Random) -> Bins:
 
 
 def settle(bins: list[list[int]], loads: list[int], loose: list[int], sizes: list[int], capacity: int) -> Bins:
+    """Displaced pieces replace smaller ones where that fills a bin better; what is left goes in best-fit, large pieces first."""
+    free = sorted((sizes[x], x) for x in loose)
+    for b, load in enumerate(loads):
+        room = capacity - load
+        if not room or not free:
+            continue
+        gain = 0
+        for at, x in enumerate(bins[b]):
+            k = bisect_right(free, (sizes[x] + room, len(sizes))) - 1
+            if k >= 0 and free[k][0] - sizes[x] > gain:
+                gain, best = free[k][0] - sizes[x], (at, k)
+        if gain:
+            at, k = best
+            out, (_, into) = bins[b][at], free.pop(k)
+            bins[b] = [*bins[b][:at], into, *bins[b][at + 1 :]]
+            loads[b] += gain
+            insort(free, (sizes[out], out))
     child = Bins(capacity, bins, loads)
-    for x in sorted(loose, key=sizes.__getitem__, reverse=True):
-        child.put(x, sizes[x])
+    for size, x in reversed(free):
+        child.put(x, size)
     return child
 
 
-def evolve(sizes: list[int], seed: int, elites: list[Bins], capacity: int = CAPACITY) -> Bins:
-    """The best packing of one island after an epoch. It stops as soon as no packing can have fewer bins."""
+def evolve(sizes: list[int], seed: int, elites: list[Bins], capacity: int = CAPACITY, broods: int = BROODS) -> tuple[Bins, int]:
+    """The best packing of one island after an epoch, and how many broods it took. It stops as soon as no packing can have fewer bins."""
     rng, n = random.Random(seed), len(sizes)
     least = -(-sum(sizes) // capacity)
     falling = sorted(range(n), key=sizes.__getitem__, reverse=True)
     people = list(elites) or [best_fit(falling, sizes, capacity)]
+    people.sort(key=Bins.worth, reverse=True)
+    if len(people[0].bins) <= least:
+        return people[0], 0
     while len(people) < POPULATION:
         jitter = [(sizes[i] * rng.uniform(0.8, 1.0), i) for i in range(n)]
         people.append(best_fit([i for _, i in sorted(jitter, reverse=True)], sizes, capacity))
     people.sort(key=Bins.worth, reverse=True)
-    for _ in range(BROODS):
-        if len(people[0].bins) <= least:
-            break
-        mother, father = sorted(rng.sample(range(len(people)), 2))
+    done = 0
+    while done < broods and len(people[0].bins) > least:
+        mother, father = rng.sample(range(len(people)), 2)
         child = crossover(people[mother], people[father], sizes, rng)
         people += [child, mutate(child, sizes, rng)]
         people.sort(key=Bins.worth, reverse=True)
         del people[POPULATION:]
-    return people[0]
+        done += 1
+    return people[0], done
+
+
+ORDER = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
 
 
 def _epoch(capacity: int, first: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        group, island = int(key[0]), int(key[1])
-        rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        group, island = key[0].as_py(), key[1].as_py()
+        rows = rows.take(pc.sort_indices(rows, sort_keys=ORDER))
         elites = []
         if not first:
-            packings = {k: p.reset_index(drop=True) for k, p in rows.groupby("_island")}
-            for k in sorted(packings, key=lambda k: k != island):
-                p = packings[k]
-                bins: list[list[int]] = [[] for _ in range(int(p["_bin"].max()) + 1)]
-                for i, b in enumerate(p["_bin"].tolist()):
+            origin = rows["_island"].to_numpy()
+            found = sorted(set(origin.tolist()), key=lambda k: (k != island, k))
+            packings = [rows.filter(pa.array(origin == k)) for k in found]
+            for p in packings:
+                lengths, places = p["length"].to_pylist(), p["_bin"].to_pylist()
+                bins: list[list[int]] = [[] for _ in range(max(places) + 1)]
+                for i, b in enumerate(places):
                     bins[b].append(i)
-                lengths = p["length"].tolist()
                 elites.append(Bins(capacity, bins, [sum(lengths[x] for x in b) for b in bins]))
-            rows = packings[island] if island in packings else next(iter(packings.values()))
-        sizes = rows["length"].astype(int).tolist()
-        best = evolve(sizes, 1000 * group + 10 * island + first, elites, capacity)
+            rows = packings[0]
+        sizes = rows["length"].to_pylist()
+        best, _ = evolve(sizes, 1000 * group + 10 * island + first, elites, capacity)
         place, offset, load = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
         for b, items in enumerate(best.bins):
             at = 0
             for x in items:
                 place[x], offset[x], load[x] = b, at, best.loads[b]
                 at += sizes[x]
-        _, fit = best.worth()
-        out = rows[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-        return out.assign(_group=group, _island=island, _bin=place, offset=offset, _load=load, _bins=len(best.bins), _fit=fit)
+        n, (_, fit) = len(sizes), best.worth()
+        own = [rows[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+        long = lambda v: pa.array(v, pa.int64())
+        made = [long([group] * n), pa.array([island] * n, pa.int32()), long(place), long(offset), long(load), long([len(best.bins)] * n), pa.array([fit] * n, pa.float64())]
+        return pa.table([*own, *made], names=[x.split()[0] for x in PACKED.split(", ")])
 
     return run
 
@@ -266,13 +310,13 @@ def _epoch(capacity: int, first: bool):
 def pack_round(pieces: DataFrame, n: int, name: str, capacity: int, group: int) -> DataFrame:
     """Packs pieces in groups: two epochs on every island with migration between them, then each group's best island."""
     groups = max(1, -(-n // group))
-    dealt = pieces.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
     islands = dealt.withColumn("_island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-    one = staged(islands.groupBy("_group", "_island").applyInPandas(_epoch(capacity, True), PACKED), f"{name}_epoch1")
+    one = staged(islands.groupBy("_group", "_island").applyInArrow(_epoch(capacity, True), PACKED), f"{name}_epoch1")
     # a ring: island i also gets the elite of island i + 1
     to = F.explode(F.array(F.col("_island"), F.pmod(F.col("_island") - 1, F.lit(ISLANDS))))
     met = one.withColumn("_to", to)
-    two = staged(met.groupBy("_group", "_to").applyInPandas(_epoch(capacity, False), PACKED), f"{name}_epoch2")
+    two = staged(met.groupBy("_group", "_to").applyInArrow(_epoch(capacity, False), PACKED), f"{name}_epoch2")
     best = two.groupBy("_group", "_island").agg(F.max("_bins").alias("b"), F.max("_fit").alias("f")).groupBy("_group").agg(F.min(F.struct("b", -F.col("f"), "_island")).alias("x"))
     best = best.select(F.col("_group").alias("_g"), F.col("x._island").alias("_i"))
     return two.join(best, (F.col("_group") == F.col("_g")) & (F.col("_island") == F.col("_i"))).drop("_g", "_i")
@@ -288,5 +332,5 @@ def pack(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY,
     open_pieces = first.where(~full).select("doc_id", "piece", "start", "length", "ids_crc32")
     second = pack_round(open_pieces, open_pieces.count(), "round2", capacity, group)
     number = lambda r: (F.lit(r) * F.lit(1 << 60) + F.col("_group") * F.lit(1 << 20) + F.col("_bin")).cast("long").alias("sequence_id")
-    out = [F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32"]
+    out = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return first.where(full).select(*out, number(0), "offset").unionByName(second.select(*out, number(1), "offset"))

@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -22,6 +21,7 @@ def test_words_like_the_tokenizer(plain):
     w, rng = P.Words(PATH), random.Random(2)
     texts = ["".join(rng.choice("abz  \n\t'sdltÉé中😀1२\x1c\x85\xa0|.,-AÜßẞΣσİ́‍") for _ in range(rng.randint(0, 20))) for _ in range(5000)]
     texts += ["Ends, here. And, so on. don't I'LL <|endoftext|>", ",", ".", "a.", "a,."]
+    texts += ["x<|endoftext|>y", "<|startoftext|> a 0 b", "<|ENDOFTEXT|> A", "<|EndOfText|>", "0", "0 0", "10 a0b 0. 0", "a\x00b \ufeff 0", "end<|endoftext|>.<|startoftext|>, café"]
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         assert w.encode(part) == [plain(t).tobytes() for t in part]
@@ -86,19 +86,36 @@ def test_breeding_keeps_all_pieces_and_never_loses():
         sizes = [rng.randint(20, 60) for _ in range(90)]
         start = P.best_fit(sorted(range(90), key=lambda i: -sizes[i]), sizes, 100)
         other = P.best_fit(rng.sample(range(90), 90), sizes, 100)
-        for child in (P.crossover(start, other, sizes, rng), P.mutate(start, sizes, rng), P.evolve(sizes, trial, [], 100)):
+        for child in (P.crossover(start, other, sizes, rng), P.mutate(start, sizes, rng), P.evolve(sizes, trial, [], 100)[0]):
             assert sorted(x for b in child.bins for x in b) == list(range(90)) and max(child.loads) <= 100
             assert child.loads == [sum(sizes[x] for x in b) for b in child.bins]
-        assert len(P.evolve(sizes, trial, [start], 100).bins) <= len(start.bins)
+        assert len(P.evolve(sizes, trial, [start], 100)[0].bins) <= len(start.bins)
 
 
 def test_evolution_beats_best_fit():
-    """Triplets that fill a bin exactly: best fit decreasing wastes some, the genetic algorithm wins bins back."""
-    rng, wins = random.Random(9), 0
+    """Triplets that fill a bin exactly: best fit decreasing wastes some, the genetic algorithm wins bins back by breeding."""
+    rng, wins, bred = random.Random(9), 0, 0
     for trial in range(6):
         sizes = []
         for _ in range(20):
             a, b = rng.randint(26, 48), rng.randint(26, 30)
             sizes += [a, b, 100 - a - b]
-        wins += naive(sizes, 100) - len(P.evolve(sizes, trial, [], 100).bins)
-    assert wins >= 0
+        best, broods = P.evolve(sizes, trial, [], 100)
+        won = naive(sizes, 100) - len(best.bins)
+        assert won >= 0
+        wins, bred = wins + won, bred + broods
+    assert wins > 0 and bred > 0
+
+
+def test_no_breeding_where_nothing_is_left_to_win():
+    best, broods = P.evolve([60, 40, 50, 50, 100], 1, [], 100)
+    assert (len(best.bins), broods) == (3, 0)
+
+
+def test_migration_gives_the_better_elite():
+    """An island that starts from its own and its neighbour's elite is at least as good as the better one."""
+    rng = random.Random(5)
+    sizes = [rng.randint(20, 70) for _ in range(200)]
+    own, other = (P.best_fit(rng.sample(range(200), 200), sizes, 100) for _ in range(2))
+    best, broods = P.evolve(sizes, 3, [own, other], 100)
+    assert broods > 0 and len(best.bins) < min(len(own.bins), len(other.bins))
