@@ -7,13 +7,19 @@ without the response. Ids of derivatives follow from the source's id and their
 type, hence a task that runs again writes the same records.
 
 ``serialized`` gives the bytes of a record, ``parsed`` reads records from whole
-WARC files (plain or gzip members).
+WARC files (plain or gzip members). A derivative's WARC-Payload-Digest is its
+own; the source's goes in X-Source-Payload-Digest. Line ends in header values
+become blanks, so that no value can add a header.
 
 A response without an HTTP head is all payload, its status null. Chunked and
-gzip or deflate bodies are decoded; one that cannot be decoded is kept as it
-came. Only HTML and plain text get a conversion; an empty or null body gives an
-empty one. Null URIs and dates stay null. Every row is independent, repeated
-rows give repeated records.
+gzip or deflate bodies are decoded; one that cannot be decoded, or would grow
+beyond ``MOST_DECODED`` bytes, is kept as it came. A charset that is not one of
+``CHARSETS`` is read as UTF-8; what a charset cannot read becomes U+FFFD. Where
+the HTML parser gives up, the rest of the page counts as text. Only HTML and
+plain text get a conversion; an empty or null body gives an empty one. Pages of
+any length are converted whole. Null URIs and dates stay null. Every row is
+independent, repeated rows give repeated records. Extra columns, whatever their
+names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ NAMES = [x.split()[0] for x in RECORD.split(", ")]
 HIDDEN = frozenset(("script", "style", "noscript", "template", "svg"))
 BREAKS = frozenset(("p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "header", "footer", "pre", "blockquote", "title", "body", "head", "html", "main", "aside", "hr", "dl", "dt", "dd", "form", "figure"))
 SPACES = re.compile(r"[^\S\n]+")
+MOST_DECODED = 1 << 28
+CHARSETS = re.compile(r"(utf-?(8|16|32)([-_]?[bl]e)?|(us-)?ascii|latin-?1|iso-?8859-\d{1,2}|windows-\d{3,4}|cp\d{3,4}|koi8-[ru]|gb2312|gbk|gb18030|big5|euc-(jp|kr)|shift[-_]?jis|mac-?roman|tis-620)", re.I)
+ENDS = re.compile(r"[\r\n]+")
 
 
 def digest(data: bytes) -> str:
@@ -99,6 +108,8 @@ def dechunked(body: bytes) -> bytes:
     while True:
         line = body.find(b"\n", at)
         size = int(body[at:line].split(b";")[0].strip() or b"0", 16) if line >= 0 else 0
+        if size < 0:
+            raise ValueError("a chunk of negative size")
         if not size:
             return b"".join(out)
         out.append(body[line + 1 : line + 1 + size])
@@ -106,15 +117,36 @@ def dechunked(body: bytes) -> bytes:
         at += 2 if body[at : at + 2] == b"\r\n" else 1
 
 
+def inflated(body: bytes, kinds: tuple[int, ...]) -> bytes:
+    """Decompressed members one after the other, never more than MOST_DECODED bytes; kinds: window sizes to try."""
+    for i, kind in enumerate(kinds):
+        try:
+            out, size, rest = [], 0, body
+            while rest:
+                part = zlib.decompressobj(kind)
+                out.append(part.decompress(rest, MOST_DECODED - size + 1))
+                size += len(out[-1])
+                if size > MOST_DECODED:
+                    raise ValueError("too large")
+                if not part.eof:
+                    raise EOFError("cut off")
+                rest = part.unused_data.lstrip(b"\0")
+            return b"".join(out)
+        except zlib.error:
+            if i + 1 == len(kinds):
+                raise
+    return body
+
+
 def payload(headers: list[tuple[str, str]], body: bytes) -> bytes:
     found = {k.lower(): v.lower() for k, v in headers}
     try:
         if "chunked" in found.get("transfer-encoding", ""):
             body = dechunked(body)
         if "gzip" in found.get("content-encoding", ""):
-            body = gzip.decompress(body)
+            body = inflated(body, (31,))
         elif "deflate" in found.get("content-encoding", ""):
-            body = zlib.decompress(body)
+            body = inflated(body, (15, -15))
     except (ValueError, OSError, EOFError, zlib.error):
         pass
     return body
@@ -123,11 +155,23 @@ def payload(headers: list[tuple[str, str]], body: bytes) -> bytes:
 def decoded(body: bytes, kind: str) -> str:
     named = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
     try:
-        return body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+        return body.decode(named[1] if named and CHARSETS.fullmatch(named[1]) else "utf-8", "replace")
+    except (LookupError, UnicodeError):
         return body.decode("utf-8", "replace")
 
 
+def read_page(text: str) -> Page:
+    """The page as far as the parser comes; from there on, what is left is text."""
+    page = Page()
+    try:
+        page.feed(text)
+        page.close()
+    except (AssertionError, ValueError):
+        page.hidden, page.in_title = 0, False
+        page.handle_data(page.rawdata)
+    return page
+
+
 def derivatives(record: dict) -> list[dict]:
     """The metadata and conversion records of one response."""
     block = record["block"] or b""
@@ -135,17 +179,14 @@ def derivatives(record: dict) -> list[dict]:
     kind = next((v for k, v in headers if k.lower() == "content-type"), "" if headers else "text/html")
     body_digest = record.get("payload_digest") or digest(body)
     text = decoded(payload(headers, body), kind)
-    page = Page()
     html, plain = "html" in kind.lower(), kind.lower().startswith("text/plain")
-    if html:
-        page.feed(text)
-        page.close()
-    source = {"refers_to": record["record_id"], "target_uri": record["target_uri"], "date": record["date"], "payload_digest": body_digest, "source_status": status, "source_type": kind or None, "source_headers": json.dumps(headers, ensure_ascii=False)}
+    page = read_page(text) if html else Page()
+    source = {"refers_to": record["record_id"], "target_uri": record["target_uri"], "date": record["date"], "payload_digest": body_digest, "source_status": status, "source_type": kind or None, "source_headers": json.dumps(headers)}
     title = " ".join("".join(page.heading).split())
     fields = [("source-digest", body_digest), ("http-status", str(status or "")), ("title", title), ("lang", page.lang), *(("outlink", " ".join(x.split())) for x in page.links)]
-    made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields if v).encode())]
+    made = [("metadata", "application/warc-fields", "".join(f"{k}: {ENDS.sub(' ', v)}\r\n" for k, v in fields if v).encode("utf-8", "replace"))]
     if html or plain:
-        made.append(("conversion", "text/plain", (page.text() if html else text).encode()))
+        made.append(("conversion", "text/plain", (page.text() if html else text).encode("utf-8", "replace")))
     # WARC ids are URIs in angle brackets
     own = lambda name: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record['record_id']}#{name}')}>"
     return [{"warc_type": name, "record_id": own(name), "content_type": t, "block_digest": digest(data), "block": data, **source} for name, t, data in made]
@@ -189,9 +230,9 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
 def as_bytes(r: dict) -> bytes:
     """One record as a gzip member, which can be joined to others."""
     block = r["block"] or b""
-    named = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]), ("Content-Type", r["content_type"]), ("WARC-Block-Digest", r["block_digest"] or digest(block)), ("WARC-Payload-Digest", r["payload_digest"]), ("X-Source-Status", r["source_status"]), ("X-Source-Type", r["source_type"]), ("X-Source-Headers", r["source_headers"])]
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named if v is not None) + f"Content-Length: {len(block)}\r\n\r\n"
-    return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
+    named = [("WARC-Type", r["warc_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]), ("Content-Type", r["content_type"]), ("WARC-Block-Digest", r["block_digest"] or digest(block)), ("WARC-Payload-Digest", r["block_digest"] or digest(block)), ("X-Source-Payload-Digest", r["payload_digest"]), ("X-Source-Status", r["source_status"]), ("X-Source-Type", r["source_type"]), ("X-Source-Headers", r["source_headers"])]
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {ENDS.sub(' ', str(v))}\r\n" for k, v in named if v is not None) + f"Content-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(head.encode("utf-8", "replace") + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def serialized(records: DataFrame) -> DataFrame:
@@ -221,7 +262,7 @@ def records_in(data: bytes) -> Iterator[dict]:
             found[k.strip().lower()] = v.strip()
         block = f.read(int(found.get("content-length") or 0))
         get = found.get
-        yield {"warc_type": get("warc-type"), "record_id": get("warc-record-id"), "refers_to": get("warc-refers-to"), "target_uri": get("warc-target-uri"), "date": get("warc-date"), "content_type": get("content-type"), "block_digest": get("warc-block-digest"), "payload_digest": get("warc-payload-digest"), "source_status": int(get("x-source-status")) if get("x-source-status") else None, "source_type": get("x-source-type"), "source_headers": get("x-source-headers"), "block": block}
+        yield {"warc_type": get("warc-type"), "record_id": get("warc-record-id"), "refers_to": get("warc-refers-to"), "target_uri": get("warc-target-uri"), "date": get("warc-date"), "content_type": get("content-type"), "block_digest": get("warc-block-digest"), "payload_digest": get("x-source-payload-digest"), "source_status": int(get("x-source-status")) if get("x-source-status") else None, "source_type": get("x-source-type"), "source_headers": get("x-source-headers"), "block": block}
 
 
 def parsed(files: DataFrame, column: str = "content") -> DataFrame:

@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import re
+import zlib
+from html import unescape
 
 from panelweave.llm import warc
 
@@ -35,6 +38,52 @@ def test_encodings():
     assert warc.derivatives(record(http(b"x", b"Content-Type: text/html; charset=nonsense")))[1]["block"] == b"x"
 
 
+def test_bad_input_is_no_error():
+    page = b"Content-Type: text/html"
+    text = lambda block: warc.derivatives(record(block))[1]["block"].decode()
+    assert text(http(b"<p>one<![foo[x]]><p>two", page)).startswith("one")
+    assert "two" in text(http(b"<p>one<![foo[x]]><p>two", page))
+    for name in ("idna", "undefined", "utf-7", "unicode_escape", "raw_unicode_escape", "punycode", "rot13", "utf-8-sig", "base64", "\x00"):
+        assert text(http(b"<p>one +2AA- \\ud800", page + b"; charset=" + name.encode())).startswith("one")
+    assert text(http("<p>é".encode("utf-16"), page + b"; charset=utf-16")) == "é"
+    for size in (b"-5", b"-1", b"zz", b"", b"ffffffffffff"):
+        assert isinstance(text(http(size + b"\r\n<p>one\r\n0\r\n\r\n", page, b"Transfer-Encoding: chunked")), str)
+    assert text(http(gzip.compress(b"<p>one")[:-9], page, b"Content-Encoding: gzip"))
+    assert text(http(gzip.compress(b"<p>one") + gzip.compress(b" two"), page, b"Content-Encoding: gzip")) == "one two"
+    for raw in (15, -15):
+        z = zlib.compressobj(wbits=raw)
+        assert text(http(z.compress(b"<p>one") + z.flush(), page, b"Content-Encoding: deflate")) == "one"
+
+
+def test_a_body_that_grows_too_large_is_kept(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_DECODED", 1000)
+    small, large = gzip.compress(b"a" * 1000), gzip.compress(b"a" * 1001)
+    headers = [("Content-Encoding", "gzip")]
+    assert warc.payload(headers, small) == b"a" * 1000 and warc.payload(headers, large) == large
+    assert warc.payload(headers, gzip.compress(b"a" * 600) * 2) == gzip.compress(b"a" * 600) * 2
+
+
+def test_a_value_cannot_add_a_header():
+    made = warc.derivatives(record(http(HTML, b"Content-Type: text/html", b"X: a"), target_uri="http://a/\r\nWARC-Type: evil\r\n\r\nx"))
+    for r in made:
+        back = list(warc.records_in(warc.as_bytes(r)))
+        assert len(back) == 1 and back[0]["warc_type"] == r["warc_type"] and back[0]["block"] == r["block"]
+        assert back[0]["target_uri"] == "http://a/ WARC-Type: evil x" and back[0]["payload_digest"] == r["payload_digest"]
+
+
+def plain_words(html):
+    """The visible words of a page, by patterns alone."""
+    t = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template|svg|title)\b.*?</\1\s*>", " ", html)
+    return unescape(re.sub(r"(?s)<[^>]*>", " ", t)).split()
+
+
+def test_text_like_a_plain_extraction(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    made = {r.page_id: r.block.decode() for r in warc.derived(warc.responses_of(pages), "page_id").where("warc_type = 'conversion'").collect()}
+    for r in pages.collect():
+        assert "".join(made[r.page_id].split()) == "".join(plain_words(r.html or "")), r.page_id
+
+
 def test_other_kinds():
     assert [r["warc_type"] for r in warc.derivatives(record(http(b"\x89PNG", b"Content-Type: image/png")))] == ["metadata"]
     assert warc.derivatives(record(b"<p>bare"))[1]["source_status"] is None
@@ -62,9 +111,9 @@ def test_records_link(spark):
 
 
 def test_odd_pages(spark):
-    rows = [(1, None, None), (2, "http://a", ""), (None, "http://b", "<p>x"), (3, "u", "<" * 5000 + "x"), (3, "u", "<" * 5000 + "x"), (4, "u", "<p>" + "a b " * 100_000)]
+    rows = [(1, None, None), (2, "http://a", ""), (None, "http://b", "<p>x"), (3, "u", "<" * 5000 + "x"), (3, "u", "<" * 5000 + "x"), (4, "u", "<p>" + "a b " * 100_000), (5, "u\r\nx: y", "a<![if x]>b<![foo[x]]>c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS block", "2 AS record_id")
     made = warc.report(pages).collect()
-    assert len(made) == 12 and {r.content_length for r in made if r.page_id == 1 and r.warc_type == "conversion"} == {0}
+    assert len(made) == 14 and {r.content_length for r in made if r.page_id == 1 and r.warc_type == "conversion"} == {0}
     assert warc.report(pages.limit(0)).count() == 0
     assert all(r.block_sha256 == hashlib.sha256(b"").hexdigest() for r in made if r.page_id == 2 and r.warc_type == "conversion")
