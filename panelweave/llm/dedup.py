@@ -8,9 +8,13 @@ decision travels back the same way: digest -> (digest, salt) -> rows, and no
 text goes along. Digests that stand for two texts raise an error.
 
 The row with the most code points in its original text stays, then the
-smallest doc_id. Null text counts as empty, a null doc_id as the largest.
-Rows that share doc_id and text are copies like others: all carry kept if
-their doc_id is the one that stays. An empty table gives an empty result.
+smallest doc_id. Null text counts as empty; a null doc_id comes after all
+others and stays (keep_id null) only where a class has no other at its length.
+Rows that share doc_id and length with the one that stays are ties and all
+carry kept; ``kept_rows`` leaves one of them, the least by all its columns.
+Texts of any length are compared whole. Extra columns go along whatever their
+names; only those named like a result are replaced. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from .common import BLANKS, text_of
 
 SALTS = 32
 TOP = 9223372036854775807
-#: rank = code points * UNIT + (TOP - doc_id): one number that hash aggregation can keep in place.
+#: rank = code points * UNIT + (TOP + 1 - doc_id, 0 for null): one number that hash aggregation can keep in place.
 UNIT = Decimal(10) ** 20
 
 
@@ -33,52 +37,50 @@ def normal(text: Column) -> Column:
 
 
 def rank_of(n: Column, doc_id: Column) -> Column:
-    left = F.lit(Decimal(TOP)).cast("decimal(20,0)") - F.coalesce(doc_id, F.lit(TOP)).cast("decimal(20,0)")
+    left = F.coalesce(F.lit(Decimal(TOP) + 1).cast("decimal(20,0)") - doc_id.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     return (n.cast("decimal(10,0)") * F.lit(UNIT).cast("decimal(21,0)") + left).cast("decimal(38,0)")
 
 
 def doc_of(rank: Column) -> Column:
-    return (F.lit(Decimal(TOP)).cast("decimal(20,0)") - F.pmod(rank, F.lit(UNIT).cast("decimal(21,0)"))).cast("long")
+    left = F.pmod(rank, F.lit(UNIT).cast("decimal(21,0)"))
+    return F.when(left > 0, (F.lit(Decimal(TOP) + 1).cast("decimal(20,0)") - left).cast("long"))
 
 
-def salted(df: DataFrame, text: str, salts: int, *more: Column) -> DataFrame:
-    """doc_id, _salt, _norm, _digest; the salt follows doc_id, so that copies are spread."""
-    t = text_of(text)
-    out = df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"), normal(t).alias("_norm"), *more)
+def salted(df: DataFrame, text: str, salts: int) -> DataFrame:
+    """_digest, _salt, _rank and _norm of every row; the salt follows doc_id, so that copies are spread. _row holds the row itself."""
+    t, doc = text_of(text), F.col("doc_id").cast("long")
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int").alias("_salt"), rank_of(F.length(t), doc).alias("_rank"), normal(t).alias("_norm"))
     return out.withColumn("_digest", F.sha2(F.col("_norm").cast("binary"), 256))
 
 
 def classes(df: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per class of equal texts: _digest, keep_id, group_size."""
-    rows = salted(df, text, salts, F.length(text_of(text)).alias("_n")).withColumn("_rank", rank_of(F.col("_n"), F.col("doc_id")))
+    """One row per class of equal texts: _digest, keep_id, group_size and _rank of the row that stays."""
+    rows = salted(df.select("doc_id", text), text, salts)
     by_salt = rows.groupBy("_digest", "_salt", "_norm").agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_size"))
     whole = by_salt.groupBy("_digest", "_norm").agg(F.max("_rank").alias("_rank"), F.sum("_size").alias("_size"))
     one = whole.groupBy("_digest").agg(F.max("_rank").alias("_rank"), F.max("_size").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
     sure = F.when(F.col("_texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("group_size"))
-    return one.select("_digest", doc_of(F.col("_rank")).alias("keep_id"), sure.alias("group_size"))
+    return one.select("_digest", doc_of(F.col("_rank")).alias("keep_id"), sure.alias("group_size"), "_rank")
 
 
 def with_classes(df: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
     """df with keep_id, group_size, kept and text_sha256."""
     had = [c for c in df.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    norm = normal(text_of(text))
-    rows = df.select(*had, F.sha2(norm.cast("binary"), 256).alias("_digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
-    found = classes(df, text, salts).withColumnRenamed("_digest", "_d")
+    rows = salted(df.select(*[F.col(f"`{c}`") for c in had]), text, salts).drop("_norm")
+    found = classes(df, text, salts).select(F.col("_digest").alias("_d"), "keep_id", "group_size", F.col("_rank").alias("_best"))
     # a class goes to each of its salts before it meets the rows
     pairs = rows.select("_digest", "_salt").distinct()
-    spread = pairs.join(found, pairs["_digest"] == found["_d"]).select(F.col("_digest").alias("_d"), F.col("_salt").alias("_s"), "keep_id", "group_size")
+    spread = pairs.join(found, pairs["_digest"] == found["_d"]).select("_d", F.col("_salt").alias("_s"), "keep_id", "group_size", "_best")
     both = rows.join(spread, (rows["_digest"] == spread["_d"]) & (rows["_salt"] == spread["_s"]))
-    kept = F.coalesce(F.col("doc_id"), F.lit(TOP)) == F.col("keep_id")
-    return both.select(*had, "keep_id", "group_size", kept.alias("kept"), F.col("_digest").alias("text_sha256"))
+    return both.select("_row.*", "keep_id", "group_size", (F.col("_rank") == F.col("_best")).alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
 def kept_rows(df: DataFrame, text: str = "text", salts: int = SALTS) -> DataFrame:
-    """df without copies: one row of each class. Rows meet the classes by digest and doc_id, so that of a hot class one row alone finds a partner; texts move once."""
-    had = df.columns
-    winners = classes(df, text, salts).select(F.col("_digest").alias("_d"), F.col("keep_id").alias("_keep"))
-    rows = df.withColumns({"_digest": F.sha2(normal(text_of(text)).cast("binary"), 256), "_doc": F.coalesce("doc_id", F.lit(TOP))})
-    met = rows.join(winners.hint("merge"), (rows["_digest"] == winners["_d"]) & (rows["_doc"] == winners["_keep"]))
-    return met.dropDuplicates(["_digest", "_doc"]).select(*had)
+    """df without copies: one row of each class. Rows meet the classes by digest and rank, so that of a hot class one row alone finds a partner; texts move once."""
+    winners = classes(df, text, salts).select(F.col("_digest").alias("_d"), F.col("_rank").alias("_best"))
+    rows = salted(df, text, salts).drop("_norm", "_salt")
+    met = rows.join(winners.hint("merge"), (rows["_digest"] == winners["_d"]) & (rows["_rank"] == winners["_best"]))
+    return met.groupBy("_digest", "_rank").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def report(df: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
-r AS (SELECT doc_id, norm, row_number() OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS k,
+r AS (SELECT doc_id, norm, length(t) AS n, first_value(length(t)) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS most,
   first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
-SELECT doc_id, keep_id, cast(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+SELECT doc_id, keep_id, cast(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = most AS kept, sha256(norm) AS text_sha256 FROM r
 """

@@ -6,16 +6,14 @@ from pyspark.sql import functions as F
 
 from panelweave.llm import dedup
 
-TOP = dedup.TOP
-
-
 def check(df):
     groups = defaultdict(list)
     rows = df.select("doc_id", "text").collect()
     for r in rows:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append((-len(r.text or ""), TOP if r.doc_id is None else r.doc_id))
-    want = sorted((i, min(m)[1], len(m), i == min(m)[1], hashlib.sha256(n.encode()).hexdigest()) for n, m in groups.items() for _, i in m)
-    got = sorted((TOP if r.doc_id is None else r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in dedup.report(df).collect())
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r.text or "")].append((-len(r.text or ""), r.doc_id is None, r.doc_id))
+    best = {n: min(m, key=lambda x: (x[0], x[1], x[2] or 0)) for n, m in groups.items()}
+    want = sorted(((i, best[n][2], len(m), (c, none, i) == best[n], hashlib.sha256(n.encode()).hexdigest()) for n, m in groups.items() for c, none, i in m), key=str)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in dedup.report(df).collect()), key=str)
     assert got == want
 
 
@@ -41,3 +39,24 @@ def test_content_decides_not_the_digest(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     with pytest.raises(Exception, match="two texts"):
         dedup.classes(df).collect()
+
+
+def test_null_ids_and_shared_ids(spark):
+    """A null id stays only alone; the largest id is an id like others; of rows that share an id the longer text stays."""
+    rows = [(None, "a b"), (9223372036854775807, "ab"), (None, "c"), (None, "c"), (9223372036854775807, "d"), (1, "e f"), (1, "ef"), (0, "ef"), (-(2**63), "g"), (2, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df)
+    left = sorted(map(tuple, dedup.kept_rows(df).collect()), key=str)
+    assert left == sorted([(None, "a b"), (None, "c"), (9223372036854775807, "d"), (1, "e f"), (-(2**63), "g")], key=str)
+
+
+def test_of_tied_rows_the_least_stays(spark):
+    rows = [(1, "a b c", "x"), (1, "ab  c", "y"), (1, "a bc ", "z")]
+    for order in (rows, rows[::-1]):
+        assert [tuple(r) for r in dedup.kept_rows(spark.createDataFrame(order, "doc_id long, text string, lang string")).collect()] == [(1, "a b c", "x")]
+
+
+def test_clashing_names(spark, odd):
+    df = odd.selectExpr("*", "1 AS _digest", "2 AS _salt", "3 AS _norm", "4 AS _row", "5 AS _rank", "6 AS `a.b`")
+    assert dedup.with_classes(df).count() == df.count()
+    assert dedup.kept_rows(df).columns == df.columns
