@@ -1,25 +1,25 @@
 r"""Quality rules with adaptive limits from mergeable quantile sketches.
 
-Per document, integer statistics come from Column expressions alone. Their
-per-mille ratios go into fixed-grid histograms by language and source. Such a
-histogram is a quantile sketch that merges by adding counts (partial
-aggregation does it map-side) and whose error is one bucket. The limit of a
-group is an outlier fence over its sketch; groups under ``min_rows`` documents
-take the merged sketch of their language, or of everything. The limits are
-joined to the documents; those beyond one are rejected.
-
-There are two kinds of limits. ``limits`` are those of op4_quality and its SQL;
-their least distances are wider than the grid resolves, so they act as fixed
-cutoffs. ``fences`` are those of op4_adaptive_quality and the pipeline: raw
-ratios in log-spaced buckets, so that a group in which a ratio is small has a
-limit as small, and nothing but the group's own quartiles sets it.
-
-Null text: no words, rejected by the base rule. Null lang or source: a group
-of their own (''). Repeated rows are judged one by one, each alike.
+Per document, integer statistics come from Column expressions alone. Five ratios
+go into histograms of log-spaced buckets by language and source (``STEPS`` for
+each doubling, one bucket for 0). Such a histogram is a quantile sketch that
+merges by adding counts (partial aggregation does it map-side): ranks are exact,
+a quantile's value is within 2^(1/16) of the true one, whatever the group's size.
+Nothing but the group's own sketch sets its limits (see ``fences``): a far-out
+fence over its quartiles, or the place before a cluster of outliers. Groups
+under ``min_rows`` documents take the merged sketch of their language, or of
+everything. The limits are joined to the documents; those beyond one go.
+
+Null and empty texts: no words, rejected by the base rule. Texts of any length
+are counted whole. Null lang or source: a group of their own (''). Ties share a
+bucket and a verdict; repeated rows are judged one by one, each alike. Extra
+columns go along whatever their names, only those named like a result are
+replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,24 +29,17 @@ from pyspark.sql.window import Window as W
 from .common import WORD, let, staged
 
 WINDOW = 5
-BUCKET = 10  # per mille in a bucket
 MOST_BROADCAST = 20_000
 SALTS = 32
 STEPS = 8  # log-spaced buckets for each doubling of a ratio
-CLUSTERS = 0.9
 SMALLEST = 30  # ratios under 2^-30 share the first bucket
-
-
-@dataclass(frozen=True)
-class Rule:
-    """value: per mille; least: the fence never comes closer than that to the median."""
-
-    name: str
-    least: int
-
-
-RULES = (Rule("symbol_pm", 60), Rule("shout_pm", 100), Rule("upper_pm", 250), Rule("dup_line_pm", 250), Rule("repeat_pm", 150))
-LOGS = tuple(r.name.replace("_pm", "_log") for r in RULES)
+NUDGE = 1e-9  # keeps powers of two on one side of a bucket's edge, however a logarithm is rounded
+CLUSTERS = 0.95
+FAR = 3  # a far-out fence's distance, in interquartile ranges
+#: Each rule's ratio: the parts of a whole.
+RATIOS = {"symbol_log": ("n_symbols", "word_chars"), "shout_log": ("n_shout", "word_chars"), "upper_log": ("n_upper", "word_chars"), "dup_line_log": ("n_dup_lines", "n_lines"), "repeat_log": ("n_repeat_words", "n_words")}
+LOGS = tuple(RATIOS)
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -71,46 +64,45 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, 0).otherwise(counted)
 
 
-def log_bucket(part: str, whole: str) -> Column:
+def log_bucket(part: Column, whole: Column) -> Column:
     """0 where the part is 0, else the log-spaced bucket of part / whole, from 1."""
-    at = F.floor(STEPS * (F.log2(F.col(part) / F.col(whole)) + SMALLEST)) + 1
-    return F.when((F.col(part) > 0) & (F.col(whole) > 0), F.greatest(at, F.lit(1))).otherwise(0).cast("int")
-
-
-def with_stats(df: DataFrame, text: str = "text", logs: bool = False) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the rules' ratios; with logs also their log-spaced buckets."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    has_word = lambda x: x.rlike(WORD)
-    lines = F.filter(F.split(t, "\n", -1), has_word)
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "_lines": let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        "_shout": F.regexp_count(t, F.lit("[!?]")),
-        "_upper": F.regexp_count(t, F.lit("[A-Z]")),
-    })
-    pm = lambda a, b: F.coalesce(F.expr(f"({a} * 1000) div nullif({b}, 0)"), F.lit(0)).cast("long")
-    buckets = zip(LOGS, (("n_symbols", "word_chars"), ("_shout", "word_chars"), ("_upper", "word_chars"), ("_lines.d", "_lines.n"), ("n_repeat_words", "n_words")), strict=True)
-    return df.withColumns({
-        **({name: log_bucket(*of) for name, of in buckets} if logs else {}),
-        "n_dup_lines": F.col("_lines.d").cast("long"),
-        "symbol_pm": pm("n_symbols", "word_chars"), "shout_pm": pm("_shout", "word_chars"), "upper_pm": pm("_upper", "word_chars"),
-        "dup_line_pm": pm("_lines.d", "_lines.n"), "repeat_pm": pm("n_repeat_words", "n_words"),
-    }).withColumn("base_failed", base_failed()).drop("_words", "_lines", "_shout", "_upper")
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    at = F.floor(STEPS * (F.log(part / whole) / F.lit(math.log(2)) + SMALLEST) + NUDGE) + 1
+    return F.when((part > 0) & (whole > 0), F.greatest(at, F.lit(1))).otherwise(0).cast("int")
+
+
+def stats_of(text: Column) -> Column:
+    """A struct of a text's statistics (STATS) and the buckets of its ratios (LOGS)."""
+    t = F.coalesce(text, F.lit(""))
+
+    def counts(words: Column) -> Column:
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+        return let(lines, lambda x: F.struct(
+            F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).cast("long").alias("n_repeat_words"), F.size(x).cast("long").alias("n_lines"),
+            F.regexp_count(t, F.lit("[!?]")).cast("long").alias("n_shout"), F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        ))
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        return F.struct(*[c[n].alias(n) for n in STATS[:-1]], failed.alias("base_failed"), *[log_bucket(c[a], c[b]).alias(name) for name, (a, b) in RATIOS.items()])
+
+    return let(let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), counts), verdict)
+
+
+def group_of(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """lang, source (never null), _s (the statistics) and _row (the row itself)."""
+    return df.select(group_of("lang").alias("lang"), group_of("source").alias("source"), stats_of(F.col(text)).alias("_s"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n): the histograms; base-failed documents do not count."""
-    long = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.floor(F.least(F.col(r.name), F.lit(1000)) / BUCKET).cast("int").alias("bucket")) for r in RULES]))
-    key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    return stats.where(~F.col("base_failed")).select(*key, long.alias("x")).groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_s.{name}").alias("bucket")) for name in LOGS]))
+    return stats.where(~F.col("_s.base_failed")).select("lang", "source", long.alias("x")).groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantile(sketch: DataFrame, keys: list[str], shares: tuple[float, ...]) -> DataFrame:
@@ -120,27 +112,6 @@ def quantile(sketch: DataFrame, keys: list[str], shares: tuple[float, ...]) -> D
     return run.groupBy(*keys).agg(F.max("all").alias("all"), *[F.min(F.when(F.col("cum") >= F.col("all") * s, F.col("bucket"))).alias(f"q{round(100 * s)}") for s in shares])
 
 
-def limits(sketch: DataFrame, min_rows: int = 200, spread: int = 4) -> DataFrame:
-    """(lang, source, one limit per rule): median + max(spread * (q75 - median), the rule's least), from the first sketch with min_rows values."""
-    levels = []
-    for keys in (["lang", "source", "rule"], ["lang", "rule"], ["rule"]):
-        merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-        q = quantile(merged, keys, (0.5, 0.75))
-        fence = F.lit(BUCKET) * (F.col("q50") + F.lit(spread) * (F.col("q75") - F.col("q50")))
-        least = F.coalesce(*[F.when(F.col("rule") == r.name, F.lit(BUCKET) * F.col("q50") + r.least) for r in RULES])
-        levels.append(q.select(*keys, F.col("all").alias(f"n{len(keys)}"), F.greatest(fence, least).alias(f"l{len(keys)}")))
-    full = levels[0].join(levels[1], ["lang", "rule"], "left").join(levels[2], "rule", "left")
-    picked = F.when(F.col("n3") >= min_rows, F.col("l3")).when(F.col("n2") >= min_rows, F.col("l2")).otherwise(F.col("l1"))
-    return full.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, picked)).cast("long").alias(f"max_{r.name}") for r in RULES])
-
-
-def log_sketches(stats: DataFrame) -> DataFrame:
-    """(lang, source, rule, bucket, n) over the log-spaced buckets; base-failed documents do not count."""
-    long = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("bucket")) for name in LOGS]))
-    key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    return stats.where(~F.col("base_failed")).select(*key, long.alias("x")).groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
 def middle(bucket: Column) -> Column:
     """The ratio that a log-spaced bucket stands for."""
     return F.when(bucket > 0, F.pow(F.lit(2.0), (bucket - 0.5) / STEPS - SMALLEST)).otherwise(0.0)
@@ -157,110 +128,117 @@ def split(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys).agg(F.max_by("bucket", F.struct(gain, -F.col("bucket"))).alias("split"), share.alias("share"))
 
 
-def split_twice(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: the split, or that of its lower side if that side is two clusters too (CLUSTERS of its variance lies between them): outliers of two sizes."""
-    first = split(sketch, keys).select(*keys, F.col("split").alias("first"))
+def outliers_from(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the last bucket before a cluster of outliers: the split of the lower side of the first split, if that side is two clusters, else the first split, if the whole is; else null.
+
+    Two clusters means that CLUSTERS of the variance lies between the sides. Zeros with an even tail reach 8/9, a tail
+    evenly between a and 4 a 0.9; the outliers must be about as close together as a factor of two. Looking at the lower
+    side too finds outliers of two sizes.
+    """
+    first = split(sketch, keys).select(*keys, F.col("split").alias("first"), F.col("share").alias("whole"))
     again = split(sketch.join(first, keys).where(F.col("bucket") <= F.col("first")), keys)
-    return first.join(again, keys, "left").select(*keys, F.when(F.col("share") >= CLUSTERS, F.col("split")).otherwise(F.col("first")).alias("split"))
+    at = F.when(F.col("share") >= CLUSTERS, F.col("split")).when(F.col("whole") >= CLUSTERS, F.col("first"))
+    return first.join(again, keys, "left").select(*keys, at.alias("split"))
 
 
 def fences(sketch: DataFrame, min_rows: int = 200) -> DataFrame:
     """(lang, source, one limit per rule, n_own) from the first sketch with min_rows documents; n_own is how many limits come from the group itself.
 
-    A limit is the greater of two buckets of that sketch: of the far-out fence
-    q75 + 3 * (q75 - q25), the distance being at least a bucket's width, and of
-    the split of the group's values. The fence serves ratios that are usual in
-    the group, the split those that most documents do not have at all.
+    A limit is the greater of two buckets of that sketch. The far-out fence,
+    q75 + FAR * (q75 - q25) in log-spaced buckets (in ratios where q25 is 0), the
+    distance being at least a bucket, serves ratios that are usual in the group;
+    it is absent where q75 is 0. The bucket before a cluster of outliers serves
+    those that most documents do not have. Where both are absent there is no
+    limit (null): nothing in the group stands out.
     """
     levels = []
     for keys in (["lang", "source", "rule"], ["lang", "rule"], ["rule"]):
         merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-        q = quantile(merged, keys, (0.25, 0.75)).join(split_twice(merged, keys), keys, "left")
-        low, high = middle(F.col("q25")), middle(F.col("q75"))
-        far = high + 3 * F.greatest(high - low, high * (2 ** (1 / STEPS) - 1))
-        fence = F.when(far > 0, F.floor(STEPS * (F.log2(far) + SMALLEST)) + 1).otherwise(0)
-        levels.append(q.select(*keys, F.col("all").alias(f"n{len(keys)}"), F.greatest(fence, F.col("split")).alias(f"l{len(keys)}")))
+        q = quantile(merged, keys, (0.25, 0.75)).join(outliers_from(merged, keys), keys, "left")
+        low, high = F.col("q25"), F.col("q75")
+        far = F.when(low > 0, high + FAR * F.greatest(high - low, F.lit(1))).when(high > 0, high + F.lit(int(STEPS * math.log2(1 + FAR))))
+        levels.append(q.select(*keys, F.col("all").alias(f"n{len(keys)}"), F.greatest(far, F.col("split")).alias(f"l{len(keys)}")))
     full = levels[0].join(levels[1], ["lang", "rule"], "left").join(levels[2], "rule", "left")
     own = F.col("n3") >= min_rows
     picked = F.when(own, F.col("l3")).when(F.col("n2") >= min_rows, F.col("l2")).otherwise(F.col("l1"))
     return full.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == name, picked)).cast("long").alias(f"max_{name}") for name in LOGS], F.count_if(own).alias("n_own"))
 
 
-def judge(stats: DataFrame, bounds: DataFrame, names: tuple[str, ...] = tuple(r.name for r in RULES), more: tuple[str, ...] = ()) -> DataFrame:
-    """Joins the limits and adds kept. Few limits (their count is checked) are broadcast; more are joined salted, so that a hot source is spread."""
-    out = stats.columns
-    b = bounds.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[f"max_{name}" for name in names], *more)
-    on = (F.coalesce(stats["lang"].cast("string"), F.lit("")) == F.col("_l")) & (F.coalesce(stats["source"].cast("string"), F.lit("")) == F.col("_s"))
+def judge(stats: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Joins the limits and adds kept and n_own. Few limits (their count is checked) are broadcast; more are joined salted, so that a hot source is spread."""
+    b = bounds.withColumnsRenamed({"lang": "_l", "source": "_g"})
+    on = (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_g"))
     if bounds.count() <= MOST_BROADCAST:
         both = stats.join(F.broadcast(b), on, "left")
     else:
         b = b.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = stats.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+        salted = stats.withColumn("_salt", F.pmod(F.xxhash64("_s"), F.lit(SALTS)).cast("int"))
         both = salted.join(b, on & (F.col("_salt") == F.col("_k")), "left")
     within = F.lit(True)
-    for name in names:
-        within = within & (F.col(name) <= F.coalesce(F.col(f"max_{name}"), F.lit(1 << 40)))
-    return both.withColumn("kept", ~F.col("base_failed") & within).select(*out, "kept", *more)
-
-
-def bounds_of(stats: DataFrame, min_rows: int = 200) -> DataFrame:
-    return staged(limits(sketches(stats), min_rows), "quality_limits")
+    for name in LOGS:
+        within = within & (F.col(f"_s.{name}") <= F.coalesce(F.col(f"max_{name}"), F.lit(1 << 40)))
+    return both.select("_row", "_s", (~F.col("_s.base_failed") & within).alias("kept"), F.coalesce("n_own", F.lit(0)).alias("n_own"))
 
 
 def fences_of(stats: DataFrame, min_rows: int = 200) -> DataFrame:
-    return staged(fences(log_sketches(stats), min_rows), "quality_fences")
+    return staged(fences(sketches(stats), min_rows), "quality_fences")
 
 
 def assess(df: DataFrame, min_rows: int = 200) -> DataFrame:
-    """df with the statistics, base_failed and kept by the fences. Texts are counted twice, for the limits and for the verdict, and neither written nor moved."""
-    df = df.drop("kept")
-    return judge(with_stats(df, logs=True), fences_of(with_stats(df.select("text", "lang", "source"), logs=True), min_rows), LOGS)
-
-
-def adaptive_report(df: DataFrame, min_rows: int = 200) -> DataFrame:
-    """The ratios' buckets, the verdict by the fences and, of the five limits that were applied, how many are the group's own (0 where it has none)."""
-    table = staged(with_stats(df.select("doc_id", "text", "lang", "source"), logs=True).drop("text"), "quality")
-    judged = judge(table, fences_of(table, min_rows), LOGS, ("n_own",))
-    return judged.select("doc_id", "lang", "source", "n_words", "base_failed", "kept", *LOGS, F.coalesce("n_own", F.lit(0)).alias("n_own"))
-
-
-def report(df: DataFrame) -> DataFrame:
-    judged = assess_stats(df)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[r.name for r in RULES])
-
-
-def assess_stats(df: DataFrame) -> DataFrame:
-    """The statistics alone, judged by the limits: a written table without texts serves limits and verdict."""
-    table = staged(with_stats(df.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return judge(table, bounds_of(table))
-
-
-def _sql() -> str:
-    """The report in SQL, over the same rules and constants."""
-    names = [r.name for r in RULES]
-    long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rule, least({n}, 1000) // {BUCKET} AS bucket FROM s WHERE NOT base_failed" for n in names)
-    least = " ".join(f"WHEN '{r.name}' THEN {r.least}" for r in RULES)
-
-    def level(keys: str) -> str:
-        on = "".join(f"{k}, " for k in keys.split())
-        return f"""(SELECT {on}max(total) AS n, greatest({BUCKET} * (min(b) FILTER (cum >= total * 0.5) + 4 * (min(b) FILTER (cum >= total * 0.75) - min(b) FILTER (cum >= total * 0.5))), {BUCKET} * min(b) FILTER (cum >= total * 0.5) + CASE rule {least} END) AS l
- FROM (SELECT {on}bucket AS b, sum(count(*)) OVER (PARTITION BY {on[:-2]} ORDER BY bucket) AS cum, sum(count(*)) OVER (PARTITION BY {on[:-2]}) AS total FROM h GROUP BY {on}bucket) GROUP BY {on[:-2]})"""
-
+    """df with kept, the statistics and n_own. Texts are counted twice, for the limits and for the verdict, and neither written nor moved."""
+    made = ("kept", "n_own", *STATS, *LOGS)
+    had = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    judged = judge(with_stats(df.select(*had)), fences_of(with_stats(df.select("text", "lang", "source")), min_rows))
+    return judged.select("_row.*", "_s.*", "kept", "n_own")
+
+
+def report(df: DataFrame, min_rows: int = 200) -> DataFrame:
+    """The statistics, the verdict, the ratios' buckets and, of the five limits that were applied, how many are the group's own (0 where it has none). A written table without texts serves limits and verdict."""
+    table = staged(with_stats(df.select("doc_id", "text", "lang", "source")).select("lang", "source", "_s", F.struct("_row.doc_id").alias("_row")), "quality")
+    return judge(table, fences_of(table, min_rows)).select("_row.doc_id", *[f"_s.{n}" for n in STATS], "kept", *[f"_s.{n}" for n in LOGS], "n_own")
+
+
+def _sql(min_rows: int = 200) -> str:
+    """The report in SQL, from the same constants."""
+    value = f"CASE WHEN bucket > 0 THEN pow(2.0, (bucket - 0.5) / {STEPS} - {SMALLEST}) ELSE 0 END"
+    log = lambda a, b: f"CASE WHEN {a} > 0 AND {b} > 0 THEN greatest(floor({STEPS} * (ln({a} / {b}) / {math.log(2)!r} + {SMALLEST}) + {NUDGE}) + 1, 1) ELSE 0 END"
+    long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rule, {n} AS bucket FROM s WHERE NOT base_failed" for n in LOGS)
+
+    def split(name: str, table: str, keys: str) -> str:
+        gain = "pow(cx * tn - tx * cn, 2) / (cn * (tn - cn))"
+        return f"""{name}r AS (SELECT {keys}, bucket, sum(n) OVER up AS cn, sum(n * v) OVER up AS cx, sum(n) OVER every AS tn, sum(n * v) OVER every AS tx, sum(n * v * v) OVER every AS tq
+ FROM (SELECT *, {value} AS v FROM {table}) WINDOW up AS (PARTITION BY {keys} ORDER BY bucket), every AS (PARTITION BY {keys})),
+{name} AS (SELECT {keys}, arg_max(bucket, {gain}) AS split, max({gain}) / max(tn * tq - tx * tx) AS share FROM {name}r WHERE cn < tn GROUP BY {keys})"""
+
+    def level(i: int, keys: str) -> str:
+        on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+        return f"""m{i} AS (SELECT {keys}, bucket, CAST(sum(n) AS DOUBLE) AS n FROM h GROUP BY {keys}, bucket),
+q{i} AS (SELECT {keys}, max(al) AS al, min(bucket) FILTER (cum >= al * 0.25) AS low, min(bucket) FILTER (cum >= al * 0.75) AS high
+ FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {keys}) AS al FROM m{i}) GROUP BY {keys}),
+{split(f"f{i}", f"m{i}", keys)},
+u{i} AS (SELECT m{i}.* FROM m{i} JOIN f{i} ON {on(f"m{i}", f"f{i}")} WHERE bucket <= split),
+{split(f"g{i}", f"u{i}", keys)},
+l{i} AS (SELECT q{i}.*, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE greatest(a, b) END AS l FROM
+ (SELECT q{i}.*, CASE WHEN low > 0 THEN high + {FAR} * greatest(high - low, 1) WHEN high > 0 THEN high + {int(STEPS * math.log2(1 + FAR))} END AS a,
+ CASE WHEN g{i}.share >= {CLUSTERS} THEN g{i}.split WHEN f{i}.share >= {CLUSTERS} THEN f{i}.split END AS b FROM q{i} LEFT JOIN f{i} ON {on(f"q{i}", f"f{i}")} LEFT JOIN g{i} ON {on(f"q{i}", f"g{i}")}) q{i})"""
+
+    over = " OR ".join(f"{n} > max_{n}" for n in LOGS)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
 g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM c WHERE c > 1) GROUP BY doc_id),
 a AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
- CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS shout, len(regexp_extract_all(t, '[A-Z]')) AS upper FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
-s AS (SELECT *, CAST(coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS BIGINT) AS symbol_pm, CAST(coalesce(shout * 1000 // nullif(word_chars, 0), 0) AS BIGINT) AS shout_pm, CAST(coalesce(upper * 1000 // nullif(word_chars, 0), 0) AS BIGINT) AS upper_pm,
- CAST(coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS BIGINT) AS dup_line_pm, CAST(coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS BIGINT) AS repeat_pm, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a),
-h AS ({long}),
-lim AS (SELECT DISTINCT h.lang, h.source, h.rule, CASE WHEN x.n >= 200 THEN x.l WHEN y.n >= 200 THEN y.l ELSE z.l END AS l FROM h JOIN {level('lang source rule')} x ON h.lang = x.lang AND h.source = x.source AND h.rule = x.rule
- JOIN {level('lang rule')} y ON h.lang = y.lang AND h.rule = y.rule JOIN {level('rule')} z ON h.rule = z.rule),
-over AS (SELECT DISTINCT doc_id FROM ({' UNION ALL '.join(f"SELECT doc_id, s.lang, s.source, '{n}' AS rule, {n} AS v FROM s" for n in names)}) v JOIN lim ON v.lang = lim.lang AND v.source = lim.source AND v.rule = lim.rule WHERE v > l)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept, {', '.join(names)} FROM s
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS n_shout, len(regexp_extract_all(t, '[A-Z]')) AS n_upper FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {', '.join(f"CAST({log(x, y)} AS INT) AS {n}" for n, (x, y) in RATIOS.items())} FROM a),
+h AS (SELECT lang, source, rule, bucket, count(*) AS n FROM ({long}) GROUP BY ALL),
+{level(3, "lang, source, rule")},
+{level(2, "lang, rule")},
+{level(1, "rule")},
+lim AS (SELECT l3.lang, l3.source, {', '.join(f"max(CASE WHEN l3.rule = '{n}' THEN CASE WHEN l3.al >= {min_rows} THEN l3.l WHEN l2.al >= {min_rows} THEN l2.l ELSE l1.l END END) AS max_{n}" for n in LOGS)},
+ CAST(count(*) FILTER (l3.al >= {min_rows}) AS BIGINT) AS n_own FROM l3 JOIN l2 ON l3.lang = l2.lang AND l3.rule = l2.rule JOIN l1 ON l3.rule = l1.rule GROUP BY l3.lang, l3.source)
+SELECT doc_id, {', '.join(STATS)}, NOT base_failed AND NOT coalesce({over}, false) AS kept, {', '.join(LOGS)}, coalesce(n_own, 0) AS n_own FROM s LEFT JOIN lim ON s.lang = lim.lang AND s.source = lim.source
 """
 
 

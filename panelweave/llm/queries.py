@@ -22,7 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": lambda s, d: dedup.report(documents(s, d)),
         "op8_warc": lambda s, d: warc.report(s.read.parquet(f"{d}/pages.parquet")),
         "op9_ngram_join": lambda s, d: ngram_join.with_components(documents(s, d), 4, 85),
-        "op4_adaptive_quality": lambda s, d: quality.adaptive_report(documents(s, d)),
         "op10_packing": lambda s, d: packing.pack(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
     }
 
