@@ -41,3 +41,15 @@ def test_repeated_rows_leave_one(spark, odd):
 def test_run(spark):
     rows = C.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+def test_a_shared_id_takes_no_other_text_along(spark):
+    """Of two rows with id 8 one is a near copy of 3; the other one and rows without an id stay, but for a near copy among them."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:30], "other", *words[31:]])
+    alone = " ".join(f"x{i}" for i in range(60))
+    noid = " ".join(f"y{i}" for i in range(60))
+    rows = [(3, " ".join(words)), (8, near), (8, alone), (None, noid), (None, noid + " end"), (9, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r.doc_id, r.text[:2]) for r in C.near_dedup(spark, docs, "").collect()), key=str)
+    assert left == sorted([(3, "w0"), (8, "x0"), (9, "sh"), (None, "y0")], key=str)
