@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept. All but the last give the columns of documents; other columns
-are dropped. Null ids, texts, languages and sources are carried through.
+are dropped. Null ids, texts, languages and sources are carried through; texts
+of any length are read whole; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -28,10 +29,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked by five-word similarity of 0.8 or more."""
+    """One document, that with the smallest doc_id, of each group linked by five-word similarity of 0.8 or more.
+
+    Rows whose id others share, or is null, are told apart by id and text, so that a row goes only for its own text's sake.
+    """
+    docs = docs.select(*COLUMNS)
+    shared = staged(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_shared")), "shared_ids")
+    if not shared.isEmpty():
+        return _near_dedup_rows(docs, shared)
     found = ngram_join.with_components(docs, 5, 80)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def _near_dedup_rows(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The same where ids are shared: the rows in question get an id of their own, above all others' so that those stay first."""
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    told = docs.join(shared.hint("merge"), docs["doc_id"].eqNullSafe(shared["_shared"]), "left").withColumn("_alike", F.col("_shared").isNotNull() | F.col("doc_id").isNull())
+    told = staged(told.select(*COLUMNS, F.when(F.col("_alike"), own).otherwise(F.col("doc_id")).alias("_id")), "told_apart")
+    found = ngram_join.with_components(told.select(F.col("_id").alias("doc_id"), "text"), 5, 80)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    return told.join(gone.hint("merge"), "_id", "left_anti").select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
