@@ -54,3 +54,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_without_the_training_data_operators(tmp_path, pipeline_too):
+    """The entry file works in a copy of the repository without their folders, with and without the pipeline module."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "panelweave", tmp_path / "panelweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * pipeline_too:
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
