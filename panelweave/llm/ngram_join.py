@@ -3,36 +3,51 @@ r"""Near duplicates: documents whose sets of word n-grams have a Jaccard similar
 1. Every text becomes a sorted set of 64-bit n-gram hashes (words lower-cased
    A-Z, split at blanks; a shorter text is one n-gram). Texts with equal sets
    are one class; its smallest doc_id stands for it.
-2. Classes that may be similar meet in clusters. Each has ``BANDS`` keys of
-   ``ROWS`` min-hashes; classes that share a key are connected. Two classes at
-   the threshold 0.8 miss each other with probability (1 - 0.8^3)^40 < 4e-13.
-   n-grams that are very frequent (bounded in number, counted over all texts)
-   are set aside before hashing, as shared boilerplate would connect
-   everything; a text that they make up for more than ``HOT_SHARE`` of also
-   keeps keys over its whole set, and the bound becomes 1e-8 at worst.
-3. In a cluster a signature tree holds the classes by size: every node has the
-   OR of its members' bitmaps and their range of sizes. A dual traversal prunes
-   pairs of nodes whose largest possible overlap is too small; what is left is
-   compared by exact intersection. Pairs that are connected already are skipped,
-   for links are wanted only as far as they connect.
-4. A cluster over ``CHUNK`` classes is cut by size. Neighbouring chunks are
-   joined first; then only classes outside the cluster's largest component are
-   joined with every chunk. So no task holds an unbounded cluster, and no link
-   is lost.
-
-Null and empty texts have no n-grams and are linked with nothing. Repeated rows
-are equal texts. A null doc_id has n_shingles but no component. Extra columns
-are not read. An empty table gives an empty result. Sets are compared as sets
-of 64-bit hashes: a collision needs two n-grams of one pair to agree by chance,
-under 1e-12 for texts of a thousand words.
+2. The upper levels of the tree are rows of a table. First the range of sizes:
+   a set can be linked only with sets of its own range or a neighbouring one,
+   as ranges grow by 100 / percent. Then, for each pair of ranges, hashing deals
+   the n-grams into more parts than two linked sets can differ in, so that they
+   agree on all of some part (pigeonhole): each set has one key for every part.
+   Parts without n-grams give no key; there are spare parts for them, and a set
+   with more empty parts than that is dealt again by another hash, so that no
+   link is lost (see ``keys_of``). Subtrees without a common key hold no link
+   and are never opened. Sets that share a key are connected into clusters.
+3. Below, in a cluster, a signature tree holds the classes by size: every node
+   has the OR of its members' bitmaps and their range of sizes. A dual traversal
+   prunes pairs of nodes whose largest possible overlap is too small; what is
+   left is compared by exact intersection. Pairs that are connected already are
+   skipped, for links are wanted only as far as they connect.
+4. A cluster over ``CHUNK`` classes is cut by size and neighbouring chunks are
+   joined, which connects most of a group of true copies. If one component
+   fills most of the cluster, its other members are joined, in blocks, with
+   every chunk of fitting sizes. Else the classes are dealt again by other
+   hashes: linked sets agree on a part there too, so only classes that share the
+   cluster's and the new key meet. Thus pages of one template, which share much
+   and are not linked, fall apart into buckets, which are treated like clusters,
+   ``LEVELS`` times at most; what is still over ``CHUNK`` then is joined by
+   blocks. So no task holds an unbounded cluster, and no link is lost.
+
+The join is exact on the hashed sets at every table size: nothing depends on
+how frequent an n-gram is or on the number of rows. A task drops repeated keys
+before the shuffle, hence a hot key costs a row or so per task.
+
+Null and empty texts have no n-grams and are linked with nothing. Texts of any
+length are read whole, their keys grow with them. Repeated rows are equal texts.
+A null doc_id has n_shingles but no component; rows that share a doc_id are one
+document with several texts. Extra columns, whatever their names, are not read.
+An empty table gives an empty result. Sets are compared as sets of 64-bit
+hashes: a collision needs two n-grams of one pair to agree by chance, under
+1e-12 for texts of a thousand words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +57,12 @@ from pyspark.sql.window import Window as W
 
 from .common import staged, text_of
 
-BANDS, ROWS = 40, 3
-HOT_SHARE = 0.25
-HOT_MOST, HOT_LEAST = 300_000, 64  # n-grams set aside at most; documents that one must be in at least
-BATCH = 1 << 20  # n-grams counted together
+SEEDS, LEVELS = 4, 3  # hashes that deal a set's n-grams; times that a large cluster is dealt again
+BATCH = 1 << 20  # keys that a task combines at a time
 CHUNK, REST = 1000, 500
 LEAF, FAN = 16, 8
 SALTS = 32
+ROUNDS = 60
 
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,8 +71,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 _PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIN_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_MIN_MUL = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_DEAL = _rng.integers(0, 1 << 63, SEEDS * (LEVELS + 1), np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -107,55 +120,71 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def band_keys(grams: np.ndarray, kind: int) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 2048):
-        part = (grams[at : at + 2048, None] ^ _MIN_XOR) * _MIN_MUL
-        np.minimum(low, (part ^ (part >> np.uint64(32))).min(0), out=low)
-    bands = low.reshape(BANDS, ROWS)
-    total = np.full(BANDS, kind, np.uint64) * np.uint64(_BASE) + np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        total = mixed(total * _PLACE[i] + bands[:, i])
-    return total
+@cache
+def ranges(percent: int) -> list[int]:
+    """The least size of each range. Linked sets lie in one range or in neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
 
 
-def frequent(df: DataFrame, k: int) -> np.ndarray:
-    """n-grams of very many documents, sorted. Each task counts its texts in batches and gives only what repeats there; sums decide, their bound keeps the list under HOT_MOST."""
+@cache
+def dealt(low: int, percent: int) -> tuple[int, int]:
+    """Parts and spare parts for links whose smaller set is in range ``low``; (1, 0) where linked sets are equal.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = total = 0
-
-        def out() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(counts[some])], ["gram", "n"])
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(shingles(t.as_py() or "", k))
-                size, total = size + len(held[-1]), total + len(held[-1])
-                if size >= BATCH:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-        # 0 stands for the number of all n-grams; as a hash it is no likelier than any other
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["gram", "n"])
-
-    counts = staged(df.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(f"n >= {HOT_LEAST}"), "gram_counts")
-    total = counts.where("gram = 0").agg(F.max("n")).first()[0] or 0
-    least = max(HOT_LEAST, math.ceil(total / HOT_MOST))
-    found = counts.where((F.col("gram") != 0) & (F.col("n") >= least)).select("gram").collect()
-    return np.sort(np.array([r.gram for r in found], np.int64).view(np.uint64))
+    Linked sets r <= s differ in (100 - percent) / percent * |r| n-grams at most. The spare ones cover the parts that
+    are empty in most sets: their expected number and two standard deviations.
+    """
+    least, above = ranges(percent)[low : low + 2]
+    most = (100 - percent) * (above - 1) // percent
+    if not most:
+        return 1, 0
+    spare = 1
+    while True:
+        parts = most + 1 + spare
+        empty = parts * math.exp(-least / parts)
+        if spare >= min(empty + 2 * math.sqrt(empty), most):
+            return parts, spare
+        spare += 1
+
+
+def keys_of(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
+    """The keys of a set. Two linked, different sets share at least one.
+
+    They differ in fewer n-grams than there are parts less the spare ones, so
+    more parts than the spare ones are equal, and one of those has n-grams
+    unless both sets have more empty parts than spare ones. Then both are dealt
+    by the next hash; sets that no hash deals well share one key of their range.
+    """
+    out = []
+    own = bisect_right(ranges(percent), len(grams)) - 1
+    mixes: dict[int, np.ndarray] = {}
+    for low in (own, own - 1):
+        parts, spare = dealt(low, percent) if low >= 0 else (1, 0)
+        if parts == 1:
+            continue
+        for seed in range(level * SEEDS, (level + 1) * SEEDS):
+            if seed not in mixes:
+                mixes[seed] = mixed(grams ^ _DEAL[seed])
+            x = mixes[seed]
+            place = (((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            total = np.arange(parts, dtype=np.uint64) * np.uint64(_BASE) + np.uint64((low * 64 + seed) * int(_PLACE[0]) % 2**64)
+            np.add.at(total, place, mixed(x))
+            filled = np.zeros(parts, bool)
+            filled[place] = True
+            out.append(mixed(total[filled]))
+            if parts - np.count_nonzero(filled) <= spare:
+                break
+        else:
+            out.append(mixed(np.array([low], np.uint64) * _PLACE[1]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signatures(df: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the set and the band keys of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(hot)
+def signatures(df: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, digest of the set and the keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 rows = b.slice(at, 512)
@@ -164,40 +193,55 @@ def signatures(df: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
                     grams = shingles(t.as_py() or "", k)
                     n.append(len(grams))
                     digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                    own: list[np.ndarray] = []
-                    if len(grams):
-                        if len(hot):
-                            place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-                            rare = grams[hot[place] != grams]
-                        else:
-                            rare = grams
-                        if len(rare):
-                            own.append(band_keys(rare, 0))
-                        if len(rare) < (1 - HOT_SHARE) * len(grams):
-                            own.append(band_keys(grams, 1))
-                    keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+                    keys.append(keys_of(grams, percent).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "keys"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b), a > b, from every vertex to the smallest one that the given edges connect it with."""
+    some = np.unique(np.stack((a, b))[:, a != b], axis=1).tolist()
+    of: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := of.setdefault(v, v)) != v:
+            of[v] = v = of[up]
+        return v
+
+    for x, y in zip(*some, strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            of[max(x, y)] = min(x, y)
+    pairs = np.array([(v, r) for v in of if (r := find(v)) != v], np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def edge_batches(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Edges as they come, connected in portions of BATCH."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate(x) for x in zip(*held, strict=True)))], ["a", "b"])
+
+    for a, b in found:
+        held.append((a, b))
+        size += len(a)
+        if size >= BATCH:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, that connect what the edges of each task connect: every task joins its own and gives stars, in bounded portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of: dict[int, int] = {}
-
-            def find(v: int) -> int:
-                while (up := of.setdefault(v, v)) != v:
-                    of[v] = v = of[up]
-                return v
-
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = find(x), find(y)
-                of[max(x, y)] = min(x, y)
-            pairs = [(v, r) for v in of if (r := find(v)) != v]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield from edge_batches((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches)
 
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
@@ -206,37 +250,91 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, root) for the vertices of edges (a, b): alternating large and small stars until there are only stars.
 
     Each round is written to the shared folder. Stars are formed by minima, which combine map-side, and never hold the
-    neighbours of a vertex; before each round every task contracts the edges that it has read.
+    neighbours of a vertex; a minimum goes to each salt of its vertex before it meets the edges, so that a vertex of very
+    many edges is spread. Before each round every task contracts the edges that it has read. It raises an error if
+    ``ROUNDS`` do not suffice (their number grows with the logarithm of the longest path).
     """
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         both = pairs if small else pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
-        met = both.join(low, both["a"] == low["_a"])
+        both = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        parts = both.groupBy("a", "s").agg(F.min("b").alias("m"))
+        low = parts.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
+        spread = parts.select("a", "s").join(low.hint("merge"), F.col("a") == F.col("_a")).select("_a", F.col("s").alias("_s"), "m")
+        met = both.join(spread.hint("merge"), (F.col("a") == F.col("_a")) & (F.col("s") == F.col("_s")))
         if small:  # a > b: every smaller neighbour and a itself go to the smallest
             out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", F.col("m").alias("b")))
         else:  # larger neighbours go to the smallest
             out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
 
-    now = staged(contracted(edges), f"{name}_0")
-    for i in range(1, 60):
+    now = staged(contracted(edges.distinct()), f"{name}_0")
+    for i in range(1, ROUNDS + 1):
         # done when no vertex has two roots and no root hangs under another
         ends = now.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
-            break
+            return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         now = staged(contracted(star(star(now, False), True)), f"{name}_{i}")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    raise RuntimeError(f"{name}: not connected after {ROUNDS} rounds")
+
+
+def candidate_edges(keyed: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all of (rep, keys) that share a key.
 
+    A task first connects what shares a key among its own rows, in portions of bounded size, and sends each key once,
+    with its smallest rep. Sorted by key and rep, what shares a key is connected as it streams by. Both give stars
+    around smallest vertices, so that tasks which meet the same group agree on its edges.
+    """
+
+    def columns(key: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep)], ["key", "rep"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda x: x[0])
+            keys = np.concatenate([x for _, x in held])
+            reps = np.repeat(np.array([r for r, _ in held], np.int64), [len(x) for _, x in held])
+            once, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            yield columns(once, reps[first])
+            a, b = stars(reps, reps[first][inverse])
+            if len(a):
+                # an edge travels as a key of its own, spread like the others
+                own = mixed(mixed(a.view(np.uint64)) + b.view(np.uint64) * np.uint64(_BASE)).view(np.int64)
+                yield columns(np.concatenate((own, own)), np.concatenate((a, b)))
+
+        for b in batches:
+            lists = b.column(1)
+            keys, ends = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            for rep, i, j in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+                held.append((rep, keys[i:j]))
+                size += j - i
+            if size >= BATCH:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            last, root = None, 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key, rep = (batch.column(i).to_numpy() for i in range(2))
+                # a run of equal keys goes to its first row's vertex, which may be in the batch before
+                new = np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1]))
+                start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                roots = np.where(start >= 0, rep[start], root)
+                last, root = key[-1], roots[-1]
+                yield rep[rep != roots], roots[rep != roots]
+
+        yield from edge_batches(found())
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): a class and the smallest class that shares one of its keys. A hot key is met by salts."""
-    rows = classes.select("rep", F.explode("keys").alias("key"))
-    low = rows.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("_m")).where("b < _m").select(F.col("key").alias("_key"), "b")
-    spread = low.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(8)).cast("int"))
-    met = salted.join(spread.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("_salt") == F.col("_s")))
-    return met.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    sent = keyed.select("rep", "keys").mapInArrow(combine, "key long, rep long")
+    return sent.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(meet, "a long, b long")
 
 
 @dataclass
@@ -339,9 +437,9 @@ def connect(sets: list[np.ndarray], start: list[int], percent: int) -> Roots:
     return roots
 
 
-def run_jobs(texts: DataFrame, jobs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the members of each job. texts: rep, text of cluster members; jobs: job, rep, label (members of a job with one label are connected already)."""
-    members = texts.join(jobs.hint("merge"), "rep").select("job", "rep", "label", "text")
+def run_jobs(data: DataFrame, jobs: DataFrame, percent: int, read: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
+    """Links (a, b) that connect the members of each job. data: rep, data, from which ``read`` gets the set; jobs: job, rep, label (members of a job with one label are connected already)."""
+    members = data.join(jobs.hint("merge"), "rep").select("job", "rep", "label", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reps, labels, sets = None, [], [], []
@@ -355,72 +453,135 @@ def run_jobs(texts: DataFrame, jobs: DataFrame, k: int, percent: int) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([p[s] for p in pairs], pa.int64()) for s in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for job, rep, label, t in zip(*(b.column(i) for i in range(4)), strict=True):
+            for job, rep, label, d in zip(*(b.column(i) for i in range(4)), strict=True):
                 if job.as_py() != now:
                     if reps:
                         yield out()
                     now, reps, labels, sets = job.as_py(), [], [], []
                 reps.append(rep.as_py())
                 labels.append(label.as_py())
-                sets.append(shingles(t.as_py(), k))
+                sets.append(read(d))
         if reps:
             yield out()
 
     return members.repartition("job").sortWithinPartitions("job", "rep").mapInArrow(run, "a long, b long")
 
 
+def from_bytes(d: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(d.as_py(), np.uint64)
+
+
+def sets_of(texts: DataFrame, k: int) -> DataFrame:
+    """rep and its set as bytes, from rep and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py() or "", k).tobytes() for t in rows.column(1)], pa.binary())], ["rep", "data"])
+
+    return texts.mapInArrow(run, "rep long, data binary")
+
+
+def sized(clusters: DataFrame) -> DataFrame:
+    """cluster, rep and the cluster's number of members; it goes back to them by salts, as one cluster may hold very many."""
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = clusters.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(sizes.hint("merge"), ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
+
+
+def dealt_again(sets: DataFrame, rows: DataFrame, percent: int, level: int) -> DataFrame:
+    """(bucket, rep) of the next level from rows (bucket, rep): only members of one bucket can share a new one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = mixed(part.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
+                keys = [mixed(keys_of(from_bytes(d), percent, level) ^ c).view(np.int64) for d, c in zip(part.column(1), own, strict=True)]
+                reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps)], ["bucket", "rep"])
+
+    return sets.join(rows.select("rep", "bucket").hint("merge"), "rep").select("rep", "data", "bucket").mapInArrow(run, "bucket long, rep long")
+
+
 def linked(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id, n, digest of every row; digest and component of every class."""
-    rows = staged(signatures(df, k, frequent(df, k)), "grams")
+    rows = staged(signatures(df, k, percent), "grams")
     classes = rows.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = staged(classes, "gram_classes")
     # keys of the representatives only
     reps = classes.where("n > 0").select(F.col("rep").alias("_rep"), F.col("digest").alias("_digest"))
-    keyed = rows.join(reps.hint("merge"), (rows["doc_id"] == reps["_rep"]) & (rows["digest"] == reps["_digest"]), "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
-    edges = staged(candidate_edges(keyed), "candidates")
-    clusters = staged(components(edges, "clusters"), "clusters")
-    # sizes go back to the members by salts, as one cluster may hold very many
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = clusters.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(sizes.hint("merge"), ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
-    small = placed.where(F.col("members") <= CHUNK).select(F.concat_ws(":", "cluster").alias("job"), "rep", F.col("rep").alias("label"))
-    # all texts are read once, those of cluster members kept; merged by sorting at every size, as neither side need be small
-    texts = df.select(F.col("doc_id").alias("rep"), text_of().alias("text")).join(placed.select("rep").hint("merge"), "rep", "left_semi")
-    texts = staged(texts, "cluster_texts")
-    found = run_jobs(texts, small, k, percent)
+    keyed = rows.join(reps.hint("merge"), (rows["doc_id"] == reps["_rep"]) & (rows["digest"] == reps["_digest"]), "left_semi").select(F.col("doc_id").alias("rep"), "keys")
+    placed = staged(sized(staged(components(candidate_edges(keyed), "clusters"), "clusters")), "placed")
+    texts = df.select(F.col("doc_id").alias("rep"), text_of().alias("data"))
+    whole = lambda p: p.where(F.col("members") <= CHUNK).select(F.col("cluster").cast("string").alias("job"), "rep", F.col("rep").alias("label"))
     # a small cluster is one job, whose links are stars already: (member, smallest member)
-    roots = staged(found, "links").select(F.col("a").alias("rep"), F.col("b").alias("root"))
+    roots = staged(run_jobs(texts, whole(placed), percent, lambda d: shingles(d.as_py(), k)), "links").select(F.col("a").alias("rep"), F.col("b").alias("root"))
     large = placed.where(F.col("members") > CHUNK)
     if not large.isEmpty():
-        links = join_large(texts, large.join(classes.select("rep", "n"), "rep"), k, percent)
-        roots = roots.union(components(links, "parts").where("v <> root").select("v", "root"))
+        sets = staged(sets_of(texts.join(large.select("rep").hint("merge"), "rep", "left_semi"), k), "large_sets")
+        links = join_large(sets, large.select("cluster", "rep").join(classes.select("rep", "n").hint("merge"), "rep"), percent)
+        roots = roots.union(components(links, "parts").where("v <> root").select(F.col("v").alias("rep"), "root"))
     # a repeated row stands twice in its job
     roots = roots.groupBy("rep").agg(F.min("root").alias("root"))
     return rows, classes.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
 
 
-def join_large(texts: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of clusters over CHUNK: neighbouring chunks first, then everything outside the largest component with every chunk."""
-    # a rank by size within the cluster, from counts by size and a hash, so that no window holds a cluster
-    cut = large.withColumn("_b", F.pmod(F.xxhash64("rep"), F.lit(64)))
-    counts = cut.groupBy("cluster", "n", "_b").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.withColumn("before", F.sum("c").over(W.partitionBy("cluster").orderBy("n", "_b")) - F.col("c"))
-    ranked = cut.join(before, ["cluster", "n", "_b"]).withColumn("r", F.col("before") + F.row_number().over(W.partitionBy("cluster", "n", "_b").orderBy("rep")) - 1)
-    chunked = staged(ranked.select("cluster", "rep", F.floor(F.col("r") / (CHUNK // 2)).alias("chunk")), "chunks")
-    # job i holds chunks i and i + 1
-    job = F.concat_ws(":", F.lit("near"), "cluster", "at")
-    near = chunked.withColumn("at", F.explode(F.array("chunk", F.col("chunk") - 1))).select(job.alias("job"), "rep", F.col("rep").alias("label"))
-    first = staged(run_jobs(texts, near, k, percent), "near_links")
-    parts = components(first, "near_parts").select(F.col("v").alias("rep"), F.col("root").alias("part"))
-    labelled = staged(chunked.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "near_labels")
-    big = labelled.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-    rest = labelled.join(big, "cluster").where("part <> main")
-    block = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("outside") / REST)))
-    outside = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("outside"))
-    rest = rest.join(outside, "cluster").select("cluster", "rep", "part", block.alias("block"))
-    pairs = rest.select("cluster", "block").distinct().join(chunked.select("cluster", "chunk").distinct(), "cluster")
-    name = F.concat_ws(":", F.lit("far"), "cluster", "block", "chunk").alias("job")
-    far = pairs.join(rest, ["cluster", "block"]).select(name, "rep", F.col("part").alias("label")).union(pairs.join(labelled, ["cluster", "chunk"]).select(name, "rep", F.col("part").alias("label"))).distinct()
-    return first.union(run_jobs(texts, far, k, percent))
+def chunked(rows: DataFrame, size: int) -> DataFrame:
+    """rows (bucket, rep, n, ...) with their chunk of ``size`` in order of n in the bucket. Ranks come from counts by size and a hash, so that no window holds a bucket."""
+    cut = rows.withColumn("_b", F.pmod(F.xxhash64("rep"), F.lit(64)))
+    counts = cut.groupBy("bucket", "n", "_b").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(W.partitionBy("bucket").orderBy("n", "_b")) - F.col("c"))
+    ranked = cut.join(before, ["bucket", "n", "_b"]).withColumn("r", F.col("before") + F.row_number().over(W.partitionBy("bucket", "n", "_b").orderBy("rep")) - 1)
+    return ranked.withColumn("chunk", F.floor(F.col("r") / size)).drop("_b", "c", "before", "r")
+
+
+def far_jobs(rows: DataFrame, percent: int) -> DataFrame:
+    """Jobs (job, rep, label) that join the members outside each bucket's largest component with the whole bucket; rows: bucket, rep, n, label, main."""
+    cut = staged(chunked(rows, CHUNK // 2), "far_chunks")
+    rest = cut.where("label <> main")
+    # blocks of what lies outside, in order of size: whole chunks' outsiders until there are REST
+    outside = rest.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    at = F.floor((F.sum("c").over(W.partitionBy("bucket").orderBy("chunk")) - F.col("c")) / REST)
+    blocks = staged(outside.withColumn("block", at), "far_blocks")
+    of = blocks.groupBy("bucket", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = cut.groupBy("bucket", "chunk").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
+    fit = (F.col("low") * percent <= F.col("_high") * 100) & (F.col("_low") * percent <= F.col("high") * 100)
+    pairs = of.join(spans, "bucket").where(fit).select("bucket", "block", F.col("chunk").alias("with"))
+    name = F.concat_ws(":", F.lit("far"), "bucket", "block", "with").alias("job")
+    mine = rest.join(blocks.select("bucket", "chunk", "block"), ["bucket", "chunk"]).select("bucket", "block", "rep", "label")
+    far = pairs.join(mine, ["bucket", "block"]).select(name, "rep", "label")
+    return far.union(pairs.join(cut.withColumnRenamed("chunk", "with"), ["bucket", "with"]).select(name, "rep", "label")).distinct()
+
+
+def join_large(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Links that connect clusters over CHUNK (cluster, rep, n)."""
+    rows = large.select(F.col("cluster").alias("bucket"), "rep", "n")
+    # neighbouring chunks: job i holds chunks i and i + 1
+    job = F.concat_ws(":", F.lit("near"), "bucket", "at")
+    near = chunked(rows, CHUNK // 2).withColumn("at", F.explode(F.array("chunk", F.col("chunk") - 1))).select(job.alias("job"), "rep", F.col("rep").alias("label"))
+    links = staged(run_jobs(sets, near, percent, from_bytes), "near_links")
+    parts = components(links, "near_parts").select(F.col("v").alias("rep"), F.col("root").alias("label"))
+    labels = staged(rows.select("rep", "n").join(parts.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "near_labels")
+    for level in range(LEVELS + 1):
+        if level:
+            rows = dealt_again(sets, rows, percent, level)
+        met = staged(rows.select("bucket", "rep").join(labels.hint("merge"), "rep").withColumn("s", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")), f"dealt{level}")
+        # counts by component first: a bucket with one of them has nothing to join
+        tally = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        # they go to each salt of a bucket before they meet its members
+        spread = met.select("bucket", "s").distinct().join(tally.where("labels > 1").hint("merge"), "bucket")
+        found = staged(met.join(spread.hint("merge"), ["bucket", "s"]).select("bucket", "rep", "n", "label", "members", "most", "main"), f"buckets{level}")
+        jobs = found.where(F.col("members") <= CHUNK).select(F.col("bucket").cast("string").alias("job"), "rep", "label")
+        many = found.where(F.col("members") > CHUNK)
+        filled = many if level == LEVELS else many.where(2 * F.col("most") >= F.col("members"))
+        if not filled.isEmpty():
+            jobs = jobs.union(far_jobs(filled.select("bucket", "rep", "n", "label", "main"), percent))
+        links = links.union(staged(run_jobs(sets, jobs, percent, from_bytes), f"links{level}"))
+        rows = many.where(2 * F.col("most") < F.col("members"))
+        if level == LEVELS or rows.isEmpty():
+            return links
 
 
 def with_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -80,10 +80,12 @@ def test_real(real):
 
 
 def test_large_clusters(copies, monkeypatch):
-    """The same when clusters are cut into chunks of two and the passage's n-grams count as frequent."""
-    for name, value in (("CHUNK", 4), ("REST", 2), ("HOT_LEAST", 3)):
+    """The same when clusters are split by other keys and cut into chunks of two, and tasks combine a few keys at a time."""
+    for name, value in (("CHUNK", 4), ("REST", 2), ("BATCH", 64)):
         monkeypatch.setattr(N, name, value)
     check(copies, 4, 85)
+    monkeypatch.setattr(N, "LEVELS", 1)
+    check(copies, 5, 80)
 
 
 def test_odd(odd, none):
@@ -112,6 +114,61 @@ def test_hashes_follow_words():
     assert len({int(x) for w in set(words) for x in h(w, 1)}) == len(set(words))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_a_key(percent):
+    """Whatever the size, the level and the way in which two linked sets differ."""
+    rng = np.random.default_rng(2)
+    met = 0
+    for n in [*range(1, 60), 75, 99, 130, 300, 1000, 5000] * 6:
+        base = rng.integers(0, 1 << 62, 2 * n + 2).astype(np.uint64)
+        a = np.unique(base[:n])
+        gone, more = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 2)
+        b = np.unique(np.concatenate((a[gone:], base[n : n + more])))
+        o = n - gone
+        if not gone and not more or 100 * o < percent * (len(a) + len(b) - o):
+            continue
+        met += 1
+        for level in range(N.LEVELS + 1):
+            assert len(np.intersect1d(N.keys_of(a, percent, level), N.keys_of(b, percent, level)))
+    assert met > 60
+
+
+def test_badly_dealt_sets_share_a_key(monkeypatch):
+    """Without spare parts nearly every set is dealt again, some by every hash."""
+    monkeypatch.setattr(N, "dealt", lambda low, percent: (40, 0))
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 1 << 62, 30).astype(np.uint64))
+    b = a[1:]
+    assert len(np.intersect1d(N.keys_of(a, 85), N.keys_of(b, 85)))
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    """Pages share half their words and no pair is linked, but for some copies: large clusters of them fall apart, and copies are found."""
+    rng = random.Random(8)
+    rows = []
+    for t in range(3):
+        frame = [f"t{t}x{i}" for i in range(60)]
+        for i in range(120):
+            own = [f"p{t}y{i}z{rng.random()}" for _ in range(60)]
+            rows.append((t * 1000 + i, " ".join(frame + own)))
+            if i % 10 == 0:
+                own[rng.randrange(60)] = "other"
+                rows.append((t * 1000 + 500 + i, " ".join(frame + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {t * 1000 + 500 + i: t * 1000 + i for t in range(3) for i in range(0, 120, 10)}
+    for chunk in (1000, 16):
+        monkeypatch.setattr(N, "CHUNK", chunk)
+        got = N.with_components(df, 4, 85).where("component_id <> doc_id").collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_it_says_so_if_rounds_do_not_suffice(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    monkeypatch.setattr(N, "contracted", lambda edges: edges)
+    with pytest.raises(RuntimeError):
+        N.components(spark.createDataFrame([(i, i + 1) for i in range(1, 200)], "a long, b long"), "t")
+
+
 def test_tree_finds_every_link():
     rng = np.random.default_rng(1)
     universe = rng.integers(0, 1 << 62, 400).astype(np.uint64)
