@@ -3,15 +3,16 @@ r"""Near duplicates: documents whose sets of word n-grams have a Jaccard similar
 1. Every text becomes a sorted set of 64-bit n-gram hashes (words lower-cased
    A-Z, split at blanks; a shorter text is one n-gram). Texts with equal sets
    are one class; its smallest doc_id stands for it.
-2. The upper levels of the tree are rows of a table. First the range of sizes:
-   a set can be linked only with sets of its own range or a neighbouring one,
-   as ranges grow by 100 / percent. Then, for each pair of ranges, hashing deals
-   the n-grams into more parts than two linked sets can differ in, so that they
-   agree on all of some part (pigeonhole): each set has one key for every part.
-   Parts without n-grams give no key; there are spare parts for them, and a set
-   with more empty parts than that is dealt again by another hash, so that no
-   link is lost (see ``keys_of``). Subtrees without a common key hold no link
-   and are never opened. Sets that share a key are connected into clusters.
+2. The upper levels of the tree are rows of a table: sets meet where they share
+   a key, and subtrees without a common key are never opened. Keys are bands of
+   min-hashes, chosen from the threshold so that a linked pair of sets has no
+   common key with a probability under ``MISS`` (see ``bands``). With ``exact``
+   they are part keys instead, which linked sets always share: ranges of sizes,
+   and for each pair of ranges more parts of the n-grams than two linked sets
+   can differ in (see ``part_keys``). There are some 0.4 of those for each
+   n-gram, three to five times as many as bands, and sets that share half of
+   their n-grams meet far more often by them, which is why bands are the default.
+   Sets that share a key are connected into clusters.
 3. Below, in a cluster, a signature tree holds the classes by size: every node
    has the OR of its members' bitmaps and their range of sizes. A dual traversal
    prunes pairs of nodes whose largest possible overlap is too small; what is
@@ -21,15 +22,15 @@ r"""Near duplicates: documents whose sets of word n-grams have a Jaccard similar
    joined, which connects most of a group of true copies. If one component
    fills most of the cluster, its other members are joined, in blocks, with
    every chunk of fitting sizes. Else the classes are dealt again by other
-   hashes: linked sets agree on a part there too, so only classes that share the
+   hashes: linked sets share a key there too, so only classes that share the
    cluster's and the new key meet. Thus pages of one template, which share much
    and are not linked, fall apart into buckets, which are treated like clusters,
    ``LEVELS`` times at most; what is still over ``CHUNK`` then is joined by
    blocks. So no task holds an unbounded cluster, and no link is lost.
 
-The join is exact on the hashed sets at every table size: nothing depends on
-how frequent an n-gram is or on the number of rows. A task drops repeated keys
-before the shuffle, hence a hot key costs a row or so per task.
+Nothing depends on how frequent an n-gram is or on the number of rows. A task
+drops repeated keys before the shuffle, hence a hot key costs a row or so per
+task.
 
 Null and empty texts have no n-grams and are linked with nothing. Texts of any
 length are read whole, their keys grow with them. Repeated rows are equal texts.
@@ -51,15 +52,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import staged, text_of
 
 SEEDS, LEVELS = 4, 3  # hashes that deal a set's n-grams; times that a large cluster is dealt again
+MISS = 1e-9  # a linked pair shares no band with at most this probability
 BATCH = 1 << 20  # keys that a task combines at a time
-CHUNK, REST = 1000, 500
+CHUNK, REST = 3000, 1500  # what one job holds: members, or thousands of n-grams where they have more
 LEAF, FAN = 16, 8
 SALTS = 32
 ROUNDS = 60
@@ -72,6 +74,8 @@ _BLANK[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 _PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _DEAL = _rng.integers(0, 1 << 63, SEEDS * (LEVELS + 1), np.uint64)
+_MIN_XOR = _rng.integers(0, 1 << 32, (LEVELS + 1, 4096), np.uint32)
+_MIN_MUL = _rng.integers(0, 1 << 31, (LEVELS + 1, 4096), np.uint32) * np.uint32(2) + np.uint32(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -149,8 +153,8 @@ def dealt(low: int, percent: int) -> tuple[int, int]:
         spare += 1
 
 
-def keys_of(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
-    """The keys of a set. Two linked, different sets share at least one.
+def part_keys(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
+    """The exact keys of a set. Two linked, different sets share at least one.
 
     They differ in fewer n-grams than there are parts less the spare ones, so
     more parts than the spare ones are equal, and one of those has n-grams
@@ -181,7 +185,40 @@ def keys_of(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signatures(df: DataFrame, k: int, percent: int) -> DataFrame:
+@cache
+def bands(percent: int) -> tuple[int, int]:
+    """How many bands of how many min-hashes: all of a band agree with probability 1/4 at most at the threshold, and some band of MISS nearly always."""
+    rows = math.ceil(math.log(0.25) / math.log(percent / 100)) if percent < 100 else 16
+    agree = (percent / 100) ** rows
+    return (math.ceil(math.log(MISS) / math.log1p(-agree)) if agree < 1 else 1), rows
+
+
+def band_keys(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
+    count, rows = bands(percent)
+    of = slice(0, count * rows)
+    xor, mul = _MIN_XOR[level][of], _MIN_MUL[level][of]
+    x = (grams >> np.uint64(32)).astype(np.uint32)
+    low, room = np.full(count * rows, 0xFFFFFFFF, np.uint32), np.empty((64, count * rows), np.uint32)
+    for at in range(0, len(x), 64):
+        part = x[at : at + 64, None]
+        made = room[: len(part)]
+        np.bitwise_xor(part, xor, out=made)
+        np.multiply(made, mul, out=made)
+        np.minimum(low, made.min(0), out=low)
+    lows = low.reshape(count, rows).astype(np.uint64)
+    total = np.arange(count, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(level)
+    for i in range(rows):
+        total = mixed(total * _PLACE[i] + lows[:, i])
+    return total
+
+
+def keys_of(grams: np.ndarray, percent: int, exact: bool, level: int = 0) -> np.ndarray:
+    if not len(grams):
+        return np.zeros(0, np.uint64)
+    return part_keys(grams, percent, level) if exact else band_keys(grams, percent, level)
+
+
+def signatures(df: DataFrame, k: int, percent: int, exact: bool = False) -> DataFrame:
     """doc_id, n, digest of the set and the keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +230,7 @@ def signatures(df: DataFrame, k: int, percent: int) -> DataFrame:
                     grams = shingles(t.as_py() or "", k)
                     n.append(len(grams))
                     digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                    keys.append(keys_of(grams, percent).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                    keys.append(keys_of(grams, percent, exact).view(np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "keys"])
@@ -483,14 +520,20 @@ def sets_of(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, data binary")
 
 
-def sized(clusters: DataFrame) -> DataFrame:
-    """cluster, rep and the cluster's number of members; it goes back to them by salts, as one cluster may hold very many."""
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = clusters.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(sizes.hint("merge"), ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "members")
+def weight() -> Column:
+    """What a member counts in a job: 1, or its thousands of n-grams."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n") / 1000)).cast("long")
+
+
+def sized(clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """cluster, rep, n and the weight of the whole cluster; that goes back to the members by salts, as one cluster may hold very many."""
+    known = clusters.join(classes.select(F.col("rep").alias("v"), "n").hint("merge"), "v").groupBy("root", "v").agg(F.max("n").alias("n"))
+    sizes = known.groupBy("root").agg(F.sum(weight()).alias("members")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = known.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(sizes.hint("merge"), ["root", "_salt"]).select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "n", "members")
 
 
-def dealt_again(sets: DataFrame, rows: DataFrame, percent: int, level: int) -> DataFrame:
+def dealt_again(sets: DataFrame, rows: DataFrame, percent: int, exact: bool, level: int) -> DataFrame:
     """(bucket, rep) of the next level from rows (bucket, rep): only members of one bucket can share a new one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,22 +541,22 @@ def dealt_again(sets: DataFrame, rows: DataFrame, percent: int, level: int) -> D
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 own = mixed(part.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
-                keys = [mixed(keys_of(from_bytes(d), percent, level) ^ c).view(np.int64) for d, c in zip(part.column(1), own, strict=True)]
+                keys = [mixed(keys_of(from_bytes(d), percent, exact, level) ^ c).view(np.int64) for d, c in zip(part.column(1), own, strict=True)]
                 reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(reps)], ["bucket", "rep"])
 
     return sets.join(rows.select("rep", "bucket").hint("merge"), "rep").select("rep", "data", "bucket").mapInArrow(run, "bucket long, rep long")
 
 
-def linked(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(df: DataFrame, k: int, percent: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id, n, digest of every row; digest and component of every class."""
-    rows = staged(signatures(df, k, percent), "grams")
+    rows = staged(signatures(df, k, percent, exact), "grams")
     classes = rows.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = staged(classes, "gram_classes")
     # keys of the representatives only
     reps = classes.where("n > 0").select(F.col("rep").alias("_rep"), F.col("digest").alias("_digest"))
     keyed = rows.join(reps.hint("merge"), (rows["doc_id"] == reps["_rep"]) & (rows["digest"] == reps["_digest"]), "left_semi").select(F.col("doc_id").alias("rep"), "keys")
-    placed = staged(sized(staged(components(candidate_edges(keyed), "clusters"), "clusters")), "placed")
+    placed = staged(sized(staged(components(candidate_edges(keyed), "clusters"), "clusters"), classes), "placed")
     texts = df.select(F.col("doc_id").alias("rep"), text_of().alias("data"))
     whole = lambda p: p.where(F.col("members") <= CHUNK).select(F.col("cluster").cast("string").alias("job"), "rep", F.col("rep").alias("label"))
     # a small cluster is one job, whose links are stars already: (member, smallest member)
@@ -521,7 +564,7 @@ def linked(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     large = placed.where(F.col("members") > CHUNK)
     if not large.isEmpty():
         sets = staged(sets_of(texts.join(large.select("rep").hint("merge"), "rep", "left_semi"), k), "large_sets")
-        links = join_large(sets, large.select("cluster", "rep").join(classes.select("rep", "n").hint("merge"), "rep"), percent)
+        links = join_large(sets, large.select("cluster", "rep", "n"), percent, exact)
         roots = roots.union(components(links, "parts").where("v <> root").select(F.col("v").alias("rep"), "root"))
     # a repeated row stands twice in its job
     roots = roots.groupBy("rep").agg(F.min("root").alias("root"))
@@ -531,9 +574,9 @@ def linked(df: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
 def chunked(rows: DataFrame, size: int) -> DataFrame:
     """rows (bucket, rep, n, ...) with their chunk of ``size`` in order of n in the bucket. Ranks come from counts by size and a hash, so that no window holds a bucket."""
     cut = rows.withColumn("_b", F.pmod(F.xxhash64("rep"), F.lit(64)))
-    counts = cut.groupBy("bucket", "n", "_b").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut.groupBy("bucket", "n", "_b").agg(F.sum(weight()).alias("c"))
     before = counts.withColumn("before", F.sum("c").over(W.partitionBy("bucket").orderBy("n", "_b")) - F.col("c"))
-    ranked = cut.join(before, ["bucket", "n", "_b"]).withColumn("r", F.col("before") + F.row_number().over(W.partitionBy("bucket", "n", "_b").orderBy("rep")) - 1)
+    ranked = cut.join(before, ["bucket", "n", "_b"]).withColumn("r", F.col("before") + (F.row_number().over(W.partitionBy("bucket", "n", "_b").orderBy("rep")) - 1) * weight())
     return ranked.withColumn("chunk", F.floor(F.col("r") / size)).drop("_b", "c", "before", "r")
 
 
@@ -542,7 +585,7 @@ def far_jobs(rows: DataFrame, percent: int) -> DataFrame:
     cut = staged(chunked(rows, CHUNK // 2), "far_chunks")
     rest = cut.where("label <> main")
     # blocks of what lies outside, in order of size: whole chunks' outsiders until there are REST
-    outside = rest.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    outside = rest.groupBy("bucket", "chunk").agg(F.sum(weight()).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
     at = F.floor((F.sum("c").over(W.partitionBy("bucket").orderBy("chunk")) - F.col("c")) / REST)
     blocks = staged(outside.withColumn("block", at), "far_blocks")
     of = blocks.groupBy("bucket", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -555,7 +598,7 @@ def far_jobs(rows: DataFrame, percent: int) -> DataFrame:
     return far.union(pairs.join(cut.withColumnRenamed("chunk", "with"), ["bucket", "with"]).select(name, "rep", "label")).distinct()
 
 
-def join_large(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+def join_large(sets: DataFrame, large: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Links that connect clusters over CHUNK (cluster, rep, n)."""
     rows = large.select(F.col("cluster").alias("bucket"), "rep", "n")
     # neighbouring chunks: job i holds chunks i and i + 1
@@ -566,27 +609,28 @@ def join_large(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     labels = staged(rows.select("rep", "n").join(parts.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "near_labels")
     for level in range(LEVELS + 1):
         if level:
-            rows = dealt_again(sets, rows, percent, level)
+            rows = dealt_again(sets, rows, percent, exact, level)
         met = staged(rows.select("bucket", "rep").join(labels.hint("merge"), "rep").withColumn("s", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")), f"dealt{level}")
         # counts by component first: a bucket with one of them has nothing to join
-        tally = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        tally = met.groupBy("bucket", "label").agg(F.sum(weight()).alias("c")).groupBy("bucket").agg(F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
         # they go to each salt of a bucket before they meet its members
         spread = met.select("bucket", "s").distinct().join(tally.where("labels > 1").hint("merge"), "bucket")
         found = staged(met.join(spread.hint("merge"), ["bucket", "s"]).select("bucket", "rep", "n", "label", "members", "most", "main"), f"buckets{level}")
         jobs = found.where(F.col("members") <= CHUNK).select(F.col("bucket").cast("string").alias("job"), "rep", "label")
         many = found.where(F.col("members") > CHUNK)
         filled = many if level == LEVELS else many.where(2 * F.col("most") >= F.col("members"))
-        if not filled.isEmpty():
+        if some := not filled.isEmpty():
             jobs = jobs.union(far_jobs(filled.select("bucket", "rep", "n", "label", "main"), percent))
-        links = links.union(staged(run_jobs(sets, jobs, percent, from_bytes), f"links{level}"))
+        if level or some:  # clusters are all over CHUNK
+            links = links.union(staged(run_jobs(sets, jobs, percent, from_bytes), f"links{level}"))
         rows = many.where(2 * F.col("most") < F.col("members"))
         if level == LEVELS or rows.isEmpty():
             return links
 
 
-def with_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    rows, classes = linked(df, k, percent)
+def with_components(df: DataFrame, k: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row. With exact no link can be missed, at the cost of three to five times as many keys."""
+    rows, classes = linked(df, k, percent, exact)
     salted = rows.select("doc_id", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt"))
     # a class goes to each of its salts before it meets the rows, so that a hot class is spread
     own = classes.withColumnRenamed("digest", "_digest")

@@ -44,9 +44,9 @@ def brute(rows, k, percent):
     return {d: (len(g), find(d) if d is not None else None) for d, g in s.items()}
 
 
-def check(df, k, percent):
+def check(df, k, percent, exact=False):
     rows = df.select("doc_id", "text").collect()
-    got = N.with_components(df, k, percent).collect()
+    got = N.with_components(df, k, percent, exact).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, percent)
 
@@ -71,8 +71,9 @@ def copies(spark):
 
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_copies(copies, k, percent):
-    check(copies, k, percent)
+@pytest.mark.parametrize("exact", [False, True])
+def test_copies(copies, k, percent, exact):
+    check(copies, k, percent, exact)
 
 
 def test_real(real):
@@ -85,7 +86,7 @@ def test_large_clusters(copies, monkeypatch):
         monkeypatch.setattr(N, name, value)
     check(copies, 4, 85)
     monkeypatch.setattr(N, "LEVELS", 1)
-    check(copies, 5, 80)
+    check(copies, 5, 80, exact=True)
 
 
 def test_odd(odd, none):
@@ -129,17 +130,31 @@ def test_linked_sets_share_a_key(percent):
             continue
         met += 1
         for level in range(N.LEVELS + 1):
-            assert len(np.intersect1d(N.keys_of(a, percent, level), N.keys_of(b, percent, level)))
+            assert len(np.intersect1d(N.part_keys(a, percent, level), N.part_keys(b, percent, level)))
     assert met > 60
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95, 100])
+def test_bands_miss_no_pair_at_the_threshold(percent):
+    """The bound, and 300 pairs of sets that are just linked."""
+    count, rows = N.bands(percent)
+    assert (1 - (percent / 100) ** rows) ** count <= N.MISS and count * rows <= 4096
+    rng = np.random.default_rng(percent)
+    for n in [7, 20, 100] * 100:
+        both = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        o = -(-percent * 2 * n // (100 + percent))  # the least overlap of two sets of n
+        a, b = np.sort(both[:n]), np.sort(both[n - o : 2 * n - o])
+        for level in range(2):
+            assert len(np.intersect1d(N.band_keys(a, percent, level), N.band_keys(b, percent, level)))
+
+
 def test_badly_dealt_sets_share_a_key(monkeypatch):
     """Without spare parts nearly every set is dealt again, some by every hash."""
     monkeypatch.setattr(N, "dealt", lambda low, percent: (40, 0))
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 1 << 62, 30).astype(np.uint64))
     b = a[1:]
-    assert len(np.intersect1d(N.keys_of(a, 85), N.keys_of(b, 85)))
+    assert len(np.intersect1d(N.part_keys(a, 85), N.part_keys(b, 85)))
 
 
 def test_pages_of_one_template(spark, monkeypatch):
