@@ -101,8 +101,10 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n): the histograms; base-failed documents do not count."""
-    long = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_s.{name}").alias("bucket")) for name in LOGS]))
-    return stats.where(~F.col("_s.base_failed")).select("lang", "source", long.alias("x")).groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+    # no filter before the explode: it would be moved to where texts are counted, and count them twice
+    buckets = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_s.{name}").alias("bucket")) for name in LOGS])
+    long = F.explode(F.when(F.col("_s.base_failed"), F.slice(buckets, 1, 0)).otherwise(buckets))
+    return stats.select("lang", "source", long.alias("x")).groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantile(sketch: DataFrame, keys: list[str], shares: tuple[float, ...]) -> DataFrame:
@@ -177,7 +179,9 @@ def judge(stats: DataFrame, bounds: DataFrame) -> DataFrame:
     within = F.lit(True)
     for name in LOGS:
         within = within & (F.col(f"_s.{name}") <= F.coalesce(F.col(f"max_{name}"), F.lit(1 << 40)))
-    return both.select("_row", "_s", (~F.col("_s.base_failed") & within).alias("kept"), F.coalesce("n_own", F.lit(0)).alias("n_own"))
+    # the least of both, not their conjunction: half of a filter on it would go below the join and count every text again
+    kept = F.least(~F.col("_s.base_failed"), within)
+    return both.select("_row", "_s", kept.alias("kept"), F.coalesce("n_own", F.lit(0)).alias("n_own"))
 
 
 def fences_of(stats: DataFrame, min_rows: int = 200) -> DataFrame:
@@ -225,7 +229,9 @@ l{i} AS (SELECT q{i}.*, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE gr
     over = " OR ".join(f"{n} > max_{n}" for n in LOGS)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
 g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM c WHERE c > 1) GROUP BY doc_id),
