@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, a local one on a local master (tests) and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints/panelweave"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
