@@ -249,19 +249,34 @@ def basis_rows(basis: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def assignment(gain: np.ndarray) -> list[int]:
-    """The column of each row so that the sum of gains is largest: exact dynamic programming over subsets (up to 16 columns)."""
+    """The column of each row of a square matrix so that the sum of gains is largest: shortest augmenting paths with potentials, cubic in the size."""
     n = len(gain)
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for i in range(n):
-        new: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (score, picks) in best.items():
-            for j in range(n):
-                if not used >> j & 1:
-                    cand = (score + gain[i, j], (*picks, j))
-                    if used | 1 << j not in new or cand[0] > new[used | 1 << j][0]:
-                        new[used | 1 << j] = cand
-        best = new
-    return list(best[(1 << n) - 1][1]) if n else []
+    cost = -np.asarray(gain, float)
+    row_of = np.full(n + 1, -1)  # the row that holds a column; column n is the start
+    left, right = np.zeros(n), np.zeros(n + 1)
+    for row in range(n):
+        row_of[n], at = row, n
+        least, before, seen = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while row_of[at] >= 0:
+            seen[at] = True
+            i, open_ = row_of[at], ~seen[:n]
+            slack = cost[i] - left[i] - right[:n]
+            better = open_ & (slack < least)
+            least[better], before[better] = slack[better], at
+            nearest = int(np.where(open_, least, np.inf).argmin())
+            step = least[nearest]
+            left[row_of[seen]] += step
+            right[seen] -= step
+            least[open_] -= step
+            at = nearest
+        while at != n:
+            row_of[at] = row_of[before[at]]
+            at = before[at]
+        row_of[n] = -1
+    out = [0] * n
+    for column in range(n):
+        out[row_of[column]] = column
+    return out
 
 
 def aligned(basis: np.ndarray, reference: np.ndarray, common: int, least: int = 25) -> tuple[np.ndarray, float, float]:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.geography import with_geography
 from ..functions.measures import STRATA_5, albers, ape, outcome, stratum, symmetric_ratio
-from .relational import one_to_one, pearson
+from .relational import many_to_one, one_to_one, pearson
 
 TOLERANCE = 1e-9
 
@@ -83,7 +83,7 @@ def year_safety(trajectory: DataFrame, anchor: int, last: int, **bounds: float)
 
 def metrics_table(errors: DataFrame, scales: DataFrame) -> DataFrame:
     """Per model: errors, and correlations guarded against constant sides, with predictions pulled to the baseline by the fold's scale (fold, model, scale)."""
-    both = errors.join(F.broadcast(scales), ["fold", "model"], "left").withColumn("_s", F.coalesce("scale", F.lit(1.0)))
+    both = many_to_one(errors, scales.select("fold", "model", "scale"), ["fold", "model"]).withColumn("_s", F.coalesce("scale", F.lit(1.0)))
     both = both.withColumn("adjusted_correction", (F.col("pred_log") - F.col("pep_log")) * F.col("_s"))
     c = F.col
     return both.groupBy("model").agg(

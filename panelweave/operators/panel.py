@@ -121,7 +121,7 @@ def listing_months(raw: DataFrame, metrics: dict[str, list[str]], optional: set[
 
 
 def housing_features(inventory: DataFrame, hotness: DataFrame, yoy_offset: int = 1, fill: bool = True) -> DataFrame:
-    """Yearly features from monthly inventory (fips, date, INVENTORY, demand) and hotness (fips, date, demand)."""
+    """Yearly features from monthly inventory (fips, date, INVENTORY, demand) and hotness (fips, date, demand). Prices are compared December with December."""
     hot = hotness.groupBy("fips", "date").agg(F.avg("demand").alias("_hot"))
     both = inventory.join(hot, ["fips", "date"], "left")
     both = both.withColumns({"year": F.year("date"), "month": F.month("date"), "demand": F.coalesce("_hot", F.col("demand") if "demand" in inventory.columns else F.lit(None).cast("double"))})
@@ -129,15 +129,15 @@ def housing_features(inventory: DataFrame, hotness: DataFrame, yoy_offset: int =
     year = both.groupBy("fips", "year").agg(
         F.avg("active").alias("housing_active_inv"), F.coalesce(F.sum("new"), F.lit(0.0)).alias("housing_new_listings"), F.coalesce(F.sum("pending"), F.lit(0.0)).alias("housing_pending"),
         F.avg("dom").alias("housing_dom"), F.avg("price").alias("housing_med_list_price"), F.avg("demand").alias("housing_demand_score"),
-        (divide(dec("price", 12), floored(dec("price", 11), 1.0)) - 1).alias("housing_price_mom"), (dec("dom", 12) - dec("dom", 11)).alias("housing_dom_mom"),
+        (divide(dec("price", 12), floored(dec("price", 11), 1.0)) - 1).alias("housing_price_mom"), (dec("dom", 12) - dec("dom", 11)).alias("housing_dom_mom"), dec("price", 12).alias("_december"),
     )
-    p = previous_year(year, ["fips"], ["housing_med_list_price"], yoy_offset)
+    p = previous_year(year, ["fips"], ["_december"], yoy_offset)
     inv = floored(F.col("housing_active_inv"), 1.0)
     out = p.withColumns({
-        "housing_price_yoy": divide(F.col("housing_med_list_price"), floored(F.col("housing_med_list_price_prev"), 1.0)) - 1,
+        "housing_price_yoy": divide(F.col("_december"), floored(F.col("_december_prev"), 1.0)) - 1,
         "housing_turnover": divide(F.col("housing_new_listings") + F.col("housing_pending"), inv),
         "housing_absorption": divide(F.col("housing_pending"), inv),
-    }).drop("housing_med_list_price_prev")
+    }).drop("_december", "_december_prev")
     names = [c for c in out.columns if c.startswith("housing_")]
     out = out.withColumns({c: finite(F.col(c)) for c in names})
     return impute_all(out, names) if fill else out

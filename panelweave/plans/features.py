@@ -49,15 +49,16 @@ def address_feature_table(s, d):
 
 
 @query("WITH " + B.ORDERS + """, i AS (SELECT fips, CAST(date_trunc('month', orderdate) AS DATE) AS date, year, month, CAST(count(*) AS DOUBLE) AS active, CAST(sum(cents) FILTER (code = '1') AS DOUBLE) AS new, CAST(sum(cents) FILTER (code = '2') AS DOUBLE) AS pending, CAST(max(cents) AS DOUBLE) AS dom, CAST(min(cents) AS DOUBLE) AS price FROM orders_ GROUP BY ALL),
- y AS (SELECT fips, year, avg(active) AS inv, coalesce(sum(new), 0) AS nw, coalesce(sum(pending), 0) AS pd, avg(dom) AS dom, avg(price) AS price, max(CASE WHEN month = 12 THEN price END) AS p12, max(CASE WHEN month = 11 THEN price END) AS p11, max(CASE WHEN month = 12 THEN dom END) - max(CASE WHEN month = 11 THEN dom END) AS dmom FROM i GROUP BY ALL)
- SELECT a.fips, a.year, round(a.inv, 6) AS inv, a.nw, a.pd, round(a.dom, 2) AS dom, round(a.price, 2) AS price, round(a.p12 / greatest(a.p11, 1) - 1, 6) * CASE WHEN a.p11 IS NULL THEN NULL ELSE 1 END AS price_mom, a.dmom, round(a.price / greatest(b.price, 1) - 1, 6) * CASE WHEN b.price IS NULL THEN NULL ELSE 1 END AS price_yoy, round((a.nw + a.pd) / greatest(a.inv, 1), 4) AS turnover, round(a.pd / greatest(a.inv, 1), 4) AS absorption FROM y a LEFT JOIN y b ON a.fips = b.fips AND a.year = b.year + 1""")
+ hot AS (SELECT fips, CAST(date_trunc('month', orderdate) AS DATE) AS date, avg(CAST(cents AS DOUBLE)) AS demand FROM orders_ WHERE code IN ('3', '4') GROUP BY ALL),
+ y AS (SELECT i.fips, year, avg(hot.demand) AS demand, avg(active) AS inv, coalesce(sum(new), 0) AS nw, coalesce(sum(pending), 0) AS pd, avg(dom) AS dom, avg(price) AS price, max(CASE WHEN month = 12 THEN price END) AS p12, max(CASE WHEN month = 11 THEN price END) AS p11, max(CASE WHEN month = 12 THEN dom END) - max(CASE WHEN month = 11 THEN dom END) AS dmom FROM i LEFT JOIN hot ON i.fips = hot.fips AND i.date = hot.date GROUP BY ALL)
+ SELECT a.fips, a.year, round(a.inv, 6) AS inv, a.nw, a.pd, round(a.dom, 2) AS dom, round(a.price, 2) AS price, round(a.p12 / greatest(a.p11, 1) - 1, 6) * CASE WHEN a.p11 IS NULL THEN NULL ELSE 1 END AS price_mom, a.dmom, round(a.p12 / CASE WHEN b.p12 IS NOT NULL THEN greatest(b.p12, 1) END - 1, 6) AS price_yoy, round(a.demand, 4) AS demand, round((a.nw + a.pd) / greatest(a.inv, 1), 4) AS turnover, round(a.pd / greatest(a.inv, 1), 4) AS absorption FROM y a LEFT JOIN y b ON a.fips = b.fips AND a.year = b.year + 1""")
 def housing_feature_table(s, d):
     o = B.orders(s, d)
     of = lambda c: F.sum(F.when(F.col("code") == c, F.col("cents"))).cast("double")
     inv = o.groupBy("fips", F.trunc("orderdate", "month").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("active"), of("1").alias("new"), of("2").alias("pending"), F.max("cents").cast("double").alias("dom"), F.min("cents").cast("double").alias("price"))
-    hot = s.createDataFrame([], "fips string, date date, demand double")
+    hot = o.where(F.col("code").isin("3", "4")).select("fips", F.trunc("orderdate", "month").alias("date"), F.col("cents").cast("double").alias("demand"))
     f = P.housing_features(inv, hot, fill=False)
-    return f.select("fips", "year", r("housing_active_inv").alias("inv"), F.col("housing_new_listings").alias("nw"), F.col("housing_pending").alias("pd"), r("housing_dom", 2).alias("dom"), r("housing_med_list_price", 2).alias("price"), r("housing_price_mom").alias("price_mom"), F.col("housing_dom_mom").alias("dmom"), r("housing_price_yoy").alias("price_yoy"), r("housing_turnover", 4).alias("turnover"), r("housing_absorption", 4).alias("absorption"))
+    return f.select("fips", "year", r("housing_active_inv").alias("inv"), F.col("housing_new_listings").alias("nw"), F.col("housing_pending").alias("pd"), r("housing_dom", 2).alias("dom"), r("housing_med_list_price", 2).alias("price"), r("housing_price_mom").alias("price_mom"), F.col("housing_dom_mom").alias("dmom"), r("housing_price_yoy").alias("price_yoy"), r("housing_demand_score", 4).alias("demand"), r("housing_turnover", 4).alias("turnover"), r("housing_absorption", 4).alias("absorption"))
 
 
 @query("WITH " + B.YEARLY + """, base AS (SELECT fips, year FROM yearly), x AS (SELECT fips, year, level / n AS x FROM yearly WHERE n > 1), j AS (SELECT base.fips, base.year, x FROM base LEFT JOIN x ON base.fips = x.fips AND base.year = x.year), m AS (SELECT year, median(x) AS m FROM j GROUP BY year)

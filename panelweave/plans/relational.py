@@ -70,7 +70,7 @@ def yoy_self_join_prev_year(s, d):
     return _yoy_frame(s, d, 1)
 
 
-@query("WITH " + B.MONTHLY + """ SELECT state, year, december, november, round(december / greatest(november, 1) - 1, 6) AS mom FROM (SELECT state, year, max(CASE WHEN month = 12 THEN level END) AS december,
+@query("WITH " + B.MONTHLY + """ SELECT state, year, december, november, round(december / CASE WHEN november IS NOT NULL THEN greatest(november, 1) END - 1, 6) AS mom FROM (SELECT state, year, max(CASE WHEN month = 12 THEN level END) AS december,
  max(CASE WHEN month = 11 THEN level END) AS november FROM monthly GROUP BY state, year)""")
 def mom_dec_vs_nov(s, d):
     at = lambda m: F.max(F.when(F.col("month") == m, F.col("level")))
@@ -327,9 +327,9 @@ def spearman_by_group(s, d):
     return k.groupBy("division").agg(F.count(F.lit(1)).alias("n"), r(R.pearson(F.col("a"), F.col("b"))).alias("rho"))
 
 
-@query("WITH " + B.PANEL + " SELECT state, year, count(*) AS n, round(covar_pop(truth, base) / nullif(stddev_pop(truth) * stddev_pop(base), 0), 6) AS r FROM panel GROUP BY state, year HAVING count(*) > 2 OR count(*) = 1")
+@query("WITH " + B.PANEL + " SELECT state, year, count(*) AS n, round(covar_pop(truth, base) / nullif(stddev_pop(truth) * stddev_pop(base), 0), 6) AS r FROM panel GROUP BY state, year")
 def pearson_guarded(s, d):
-    return B.panel(s, d).groupBy("state", "year").agg(F.count(F.lit(1)).alias("n"), r(R.pearson(F.col("truth"), F.col("base"))).alias("r")).where("n > 2 OR n = 1")
+    return B.panel(s, d).groupBy("state", "year").agg(F.count(F.lit(1)).alias("n"), r(R.pearson(F.col("truth"), F.col("base"))).alias("r"))
 
 
 @query("WITH " + B.PANEL + """, q AS (SELECT division, truth - base AS x FROM panel), m AS (SELECT division, median(x) AS m, stddev_pop(x) AS s FROM q GROUP BY division), v AS (SELECT q.division, median(abs(x - m)) AS mad, max(s) AS std FROM q JOIN m ON q.division = m.division GROUP BY q.division)

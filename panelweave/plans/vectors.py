@@ -51,18 +51,13 @@ def county_name_normalise(s, d):
     return B.table(s, d, "part").select("p_partkey", T.county_name(F.concat_ws(" ", "p_name", "p_brand", F.lit("county"))).alias("name"))
 
 
-@query(r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents WHERE lang IN ('fr', 'de', 'es')")
-def ascii_fold_names(s, d):
-    return B.table(s, d, "documents").where(F.col("lang").isin("fr", "de", "es")).select("doc_id", T.ascii_fold("text").alias("folded"))
-
-
-@query()
+@query(r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS folded FROM documents")
 def ascii_fold_documents(s, d):
-    """Every document, of whatever language or none; ascii_fold_names has three languages, as its SQL does."""
     return B.table(s, d, "documents").select("doc_id", T.ascii_fold("text").alias("folded"))
 
 
-@query("""SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_trunc('month', o_orderdate) AS DATE) AS b, CAST(date_trunc('month', o_orderdate) AS DATE) AS c, CAST(NULL AS DATE) AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders""")
+@query("""SELECT o_orderkey, CAST(try_strptime(strftime(o_orderdate, '%Y%m'), '%Y%m') AS DATE) AS a, CAST(try_strptime(strftime(o_orderdate, '%Y-%m'), '%Y-%m') AS DATE) AS b, CAST(date_trunc('month', try_strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS DATE) AS c,
+ CAST(try_strptime(year(o_orderdate) || '13', '%Y%m') AS DATE) AS d, CAST(substr(strftime(o_orderdate, '%Y%m'), 1, 4) AS INT) AS y, CAST(substr(strftime(o_orderdate, '%Y%m'), 5, 2) AS INT) AS m FROM orders""")
 def month_parse_fallback(s, d):
     o = B.table(s, d, "orders")
     f = lambda p: month_start(F.date_format("o_orderdate", p))
@@ -260,16 +255,9 @@ def binomial_tail(s, d):
     return s.createDataFrame([(n, k, round(binom_upper(k, n, q), 9)) for n, k, q in ((10, 7, 0.5), (47, 30, 0.5), (100, 97, 0.95), (500, 480, 0.95))], "n int, k int, tail double")
 
 
-@query("WITH " + PAIRS + """, s AS (SELECT state, avg(adjusted_delta) AS x, row_number() OVER (ORDER BY state) - 1 AS i FROM pa GROUP BY state QUALIFY i < 10), c AS (SELECT count(*) AS n, sum(x) AS t FROM s), b AS (SELECT range AS b FROM range(0, (SELECT CAST(pow(2, n) AS BIGINT) FROM c))),
- f AS (SELECT b, sum(CASE WHEN (b >> CAST(i AS INT)) & 1 = 1 THEN x ELSE -x END) AS t FROM b, s GROUP BY b) SELECT count(*) AS n_flips, round((1 + CAST(sum(CASE WHEN f.t >= c.t - 1e-9 THEN 1 ELSE 0 END) AS DOUBLE)) / (count(*) + 1), 9) AS p FROM f, c""")
-def signflip_exact_small(s, d):
-    rows = pair_frame(s, d).groupBy("state").agg(F.avg("adjusted_delta").alias("x")).orderBy("state").limit(10).collect()
-    return s.createDataFrame([(1 << len(rows), round(H.sign_flip(np.array([x.x for x in rows])), 9))], "n_flips long, p double")
-
-
 @query()
 def signflip_exact_states(s, d):
-    """Every state and all of their signs; signflip_exact_small has ten states, as its SQL enumerates them."""
+    """Every state and all of their signs; too many to enumerate in SQL."""
     rows = pair_frame(s, d).groupBy("state").agg(F.avg("adjusted_delta").alias("x")).orderBy("state").collect()  # one row per state
     return s.createDataFrame([(len(rows), 1 << len(rows), H.sign_flip_all(np.array([x.x for x in rows])))], "n_states int, n_flips long, p double")
 

@@ -83,11 +83,23 @@ def coordinates(df: DataFrame) -> DataFrame:
     return rows.where("lat IS NOT NULL AND lon IS NOT NULL").dropDuplicates(["fips"])
 
 
+def _at(path: str):
+    """A path and its file system as Spark sees them, wherever the driver runs."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def matching(folder: str, pattern: str) -> list[str]:
+    fs, p = _at(f"{folder.rstrip('/')}/{pattern}")
+    return sorted(s.getPath().toString().removeprefix("file:") for s in fs.globStatus(p) or [])
+
+
 def discover(folder: str, patterns: list[str]) -> str | None:
     """The first file, by name, of the first pattern that has one."""
     for p in patterns:
-        if found := sorted(Path(folder).glob(p)):
-            return str(found[0])
+        if found := matching(folder, p):
+            return found[0]
     return None
 
 
@@ -97,16 +109,23 @@ def for_year(names: list[str], year: int) -> list[str]:
 
 
 def read_json(path: str, required: bool = True) -> dict:
-    p = Path(path)
-    if not p.exists() and not required:
+    fs, p = _at(path)
+    if not fs.exists(p) and not required:
         return {}
-    out = json.loads(p.read_text())
+    out = json.loads(SparkSession.active().read.text(path, wholetext=True).first().value)
     if not isinstance(out, dict):
         raise ValueError(f"not a mapping: {path}")
     return out
 
 
+def write_text(text: str, path: str) -> None:
+    fs, p = _at(path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_runs(folder: str, required: list[str], **wanted: object) -> list[dict]:
     """JSON payloads of a folder that have all required fields and the wanted values."""
-    runs = [read_json(str(p)) for p in sorted(Path(folder).glob("*.json"))]
+    runs = [read_json(p) for p in matching(folder, "*.json")]
     return [r for r in runs if all(k in r for k in required) and all(r.get(k) == v for k, v in wanted.items())]

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..operators.relational import not_done, partly_done
-from .files import exists
+from .files import exists, write_text
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, from spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/panelweave").rstrip("/")
+    """The folder all machines share, from spark.checkpoint.dir; where that is unset, a local one on a local master and an error on a cluster."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file:///tmp/checkpoints/panelweave").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,9 +67,7 @@ def sorted_inside(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def write_json(payload: dict, path: str) -> None:
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(json.dumps(payload, indent=2, sort_keys=True, default=str))
+    write_text(json.dumps(payload, indent=2, sort_keys=True, default=str), path)
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

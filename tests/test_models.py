@@ -230,3 +230,20 @@ def test_tuning(spark):
         tuning.overlaid({"x": {}}, {"x.y": 2})
     with pytest.raises(ValueError):
         tuning.validated({"old": {}}, {"a"}, {"old"})
+
+
+def test_assignment_like_brute_force():
+    from itertools import permutations
+
+    from panelweave.operators.graph import assignment
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 5, 7):
+        for kind in range(8):
+            gain = rng.random((n, n)) if kind % 2 else rng.integers(-2, 3, (n, n)).astype(float)
+            got = assignment(gain)
+            assert sorted(got) == list(range(n))
+            best = max((sum(gain[i, p[i]] for i in range(n)) for p in permutations(range(n))), default=0.0)
+            assert abs(sum(gain[i, j] for i, j in enumerate(got)) - best) < 1e-9
+    big = rng.random((60, 60))
+    assert sorted(assignment(big)) == list(range(60))

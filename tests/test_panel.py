@@ -60,6 +60,15 @@ def test_housing(spark):
         P.listing_months(raw.drop("county_fips"), cols)
 
 
+def test_housing_prices_of_two_years(spark):
+    """December is compared with December, whatever the other months' prices; without one of them, or with a price under 1, by the rules."""
+    months = [("a", "2020-06-01", 900.0), ("a", "2020-12-01", 200.0), ("a", "2021-01-01", 1000.0), ("a", "2021-12-01", 300.0), ("b", "2020-11-01", 50.0), ("b", "2021-12-01", 60.0), ("c", "2020-12-01", 0.5), ("c", "2021-12-01", 3.0)]
+    inv = spark.createDataFrame(months, "fips string, d string, price double").select("fips", F.to_date("d").alias("date"), *[F.lit(1.0).alias(n) for n in ("active", "new", "pending", "dom")], "price")
+    hot = spark.createDataFrame([], "fips string, date date, demand double")
+    got = {(r.fips, r.year): r.housing_price_yoy for r in P.housing_features(inv, hot, fill=False).collect()}
+    assert got == {("a", 2020): None, ("a", 2021): pytest.approx(0.5), ("b", 2020): None, ("b", 2021): None, ("c", 2020): None, ("c", 2021): pytest.approx(2.0)}
+
+
 def test_addresses(spark):
     base = "geoid string, ams_res string, ams_bus string, ams_oth string, res_vac string, bus_vac string, oth_vac string, nostat_res string, nostat_bus string, nostat_oth string"
     raw = spark.createDataFrame([("1001000100", "80", "10", "0", "5", "0", "0", "5", "0", "0"), ("1001000200", "100", "0", "0", "0", "0", "0", "0", "0", "0"), ("1001000300", *[None] * 9), ("1001000400", *["0"] * 9)], base)
