@@ -11,6 +11,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.distributions import binom_upper, clopper_pearson, t_cdf, t_quantile
 
@@ -136,18 +137,20 @@ def _binomial(k: int, n: int, share: float, alpha: float, name: str, n_obs: int)
     return {"test_name": name, "estimate": k / n, "p_value": p, "ci_low": low, "ci_high": high, "n_obs": n_obs, "n_groups": n, "threshold": share, "passed": bool(k / n > share and p < alpha)}
 
 
+def drawn_clusters(sums: DataFrame, cluster: str, stratum: str, draws: int, seed: int = 0) -> DataFrame:
+    """sums of every drawn cluster with its draw: as many clusters as a stratum has, with replacement, in each draw. A hash picks them, so that a repeated task draws the same."""
+    numbered = sums.withColumn("_j", F.row_number().over(W.partitionBy(stratum).orderBy(cluster)))
+    size = F.count(F.lit(1)).over(W.partitionBy(stratum))
+    slots = numbered.select(F.col(stratum).alias("_stratum"), "_j", size.alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = F.pmod(F.xxhash64("_stratum", "draw", "_j", F.lit(seed)), F.col("_n")) + 1
+    picked = slots.select("_stratum", "draw", pick.alias("_pick"))
+    return picked.join(numbered, F.col("_stratum").eqNullSafe(F.col(stratum)) & (F.col("_pick") == F.col("_j"))).drop("_stratum", "_pick", "_j")
+
+
 def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, stratum: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """(draw, mean): clusters drawn with replacement inside each stratum. A draw is decided by Poisson(1) weights of a hash, so that it spreads over any number of clusters."""
+    """(draw, mean): in each stratum as many clusters as it has, drawn with replacement; the mean over all their rows."""
     sums = rows.groupBy(stratum, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    # inverse Poisson(1) distribution function at a uniform number made of (cluster, draw, seed)
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(F.col(stratum), F.col(cluster), "draw", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    weight, total = F.lit(0), 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u >= total).cast("int")
-    drawn = drawn.withColumn("w", weight)
-    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return drawn_clusters(sums, cluster, stratum, draws, seed).groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
 
 
 def bootstrap_test(rows: DataFrame, value: str, cluster: str, stratum: str, threshold: float = 0.0, alpha: float = 0.05, draws: int = 2000, seed: int = 0) -> dict:
@@ -171,9 +174,12 @@ def result_rows(spark: SparkSession, found: list[tuple[str, str, str, dict]]) ->
 
 def suite(pairs: DataFrame, states: DataFrame, safety: DataFrame, bandwidth_km: float = 500.0, hard_quantile: float = 0.9, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """County, hard cases, weighted states, state majority, strata, worst tail and both safety bounds."""
+    from ..sources.sinks import written
     from .relational import tail
 
     spark, out = pairs.sparkSession, []
+    # every test reads them again: written once, they are not computed for each
+    pairs, states = written(pairs, "pairs"), written(states, "states")
     hac = lambda rows: hac_test(rows, "adjusted_delta", "baseline_ape", 0.0, bandwidth_km, alpha, seed=seed)
     out.append(("county", "all", "adjusted_improvement_pct", hac(pairs)))
     out.append(("hard_cases", f"q{hard_quantile:g}", "adjusted_improvement_pct", hac(tail(pairs, "baseline_ape", hard_quantile, True))))

@@ -247,3 +247,15 @@ def test_assignment_like_brute_force():
             assert abs(sum(gain[i, j] for i, j in enumerate(got)) - best) < 1e-9
     big = rng.random((60, 60))
     assert sorted(assignment(big)) == list(range(60))
+
+
+def test_bootstrap_draws_as_many_clusters_as_there_are(spark):
+    from panelweave.operators import hypothesis as H
+
+    sums = spark.createDataFrame([(st, f"{st}{i}", float(i), 1) for st, n in (("a", 5), ("b", 12), (None, 2)) for i in range(n)], "stratum string, state string, s double, n long")
+    drawn = H.drawn_clusters(sums, "state", "stratum", 300).groupBy("draw", "stratum").count().collect()
+    assert {(r.stratum, r["count"]) for r in drawn} == {("a", 5), ("b", 12), (None, 2)} and len(drawn) == 900
+    rows = spark.createDataFrame([("a", f"s{i}", float(i)) for i in range(20) for _ in range(3)], "stratum string, state string, x double")
+    means = [r.mean for r in H.cluster_bootstrap(rows, "x", "state", "stratum", 2000).collect()]
+    # mean and deviation of the mean of 20 draws from 0 to 19
+    assert abs(np.mean(means) - 9.5) < 0.15 and abs(np.std(means) - (sum((i - 9.5) ** 2 for i in range(20)) / 20 / 20) ** 0.5) < 0.1
