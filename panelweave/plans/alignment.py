@@ -75,10 +75,10 @@ def geography_colours(s, d):
     return A.geography_colour(places(s, d)).select(F.col("fips").cast("long").alias("id"), *[r(c).alias(c) for c in ("red", "green", "blue")])
 
 
-@query("WITH " + B.PANEL + """, t AS (SELECT fips, year, CASE WHEN year % 2 = 0 THEN truth END AS t, base AS p, (truth + base) / 2 AS c FROM panel)
+@query("WITH " + B.PANEL + """, t AS (SELECT fips, year, CASE WHEN year % 2 = 0 THEN truth END AS t, base AS p, (truth + 2 * base) / 3 AS c FROM panel)
  SELECT fips, year, round(ln(t) - ln(p), 6) AS resid_true, round(ln(c) - ln(p), 6) AS resid_pred, round(abs(p - t) / t * 100, 5) AS pep_ape, round(abs(c - t) / t * 100, 5) AS corrected_ape, round((abs(c - t) - abs(p - t)) / t * 100, 5) AS delta FROM t""")
 def trajectory_errors(s, d):
-    p = B.panel(s, d).select("fips", "year", F.when(F.col("year") % 2 == 0, F.log("truth")).alias("y_log"), F.log("base").alias("pep_log"), F.log((F.col("truth") + F.col("base")) / 2).alias("corrected_log"))
+    p = B.panel(s, d).select("fips", "year", F.when(F.col("year") % 2 == 0, F.log("truth")).alias("y_log"), F.log("base").alias("pep_log"), F.log((F.col("truth") + 2 * F.col("base")) / 3).alias("corrected_log"))
     t = A.trajectory_rows(p)
     return t.select("fips", "year", r("resid_true").alias("resid_true"), r("resid_pred").alias("resid_pred"), r("pep_ape_pct", 5).alias("pep_ape"), r("corrected_ape_pct", 5).alias("corrected_ape"), r("delta_ape_pct", 5).alias("delta"))
 
