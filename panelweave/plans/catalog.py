@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, features, relational, vectors  # noqa: F401  (their queries register on import)
+from . import alignment, features, relational, storage, vectors  # noqa: F401  (their queries register on import)
 from .registry import ORACLE, QUERIES, Query
 
 
