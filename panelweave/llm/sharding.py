@@ -13,8 +13,10 @@ later one at most 256 for each of the few blocks around each cut, whatever the
 size of the table.
 
 Null text counts as empty (0 bytes, size 8, one group with ''). Repeated rows
-are rows of one group. An empty table gives an empty result. With fewer groups
-than shards some shards are empty.
+are rows of one group; ties in digest go by doc_id. Texts of any length are
+sized and hashed whole; a group is never cut, so one larger than an equal share
+sets the capacity. Extra columns, whatever their names, are not read. An empty
+table gives an empty result. With fewer groups than shards some are empty.
 """
 
 from __future__ import annotations
