@@ -10,7 +10,7 @@ r"""Near duplicates: documents whose sets of word n-grams have a Jaccard similar
    they are part keys instead, which linked sets always share: ranges of sizes,
    and for each pair of ranges more parts of the n-grams than two linked sets
    can differ in (see ``part_keys``). There are some 0.4 of those for each
-   n-gram, three to five times as many as bands, and sets that share half of
+   n-gram, on the check tables two to three times as many as bands, and sets that share half of
    their n-grams meet far more often by them, which is why bands are the default.
    Sets that share a key are connected into clusters.
 3. Below, in a cluster, a signature tree holds the classes by size: every node
@@ -629,7 +629,7 @@ def join_large(sets: DataFrame, large: DataFrame, percent: int, exact: bool) ->
 
 
 def with_components(df: DataFrame, k: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row. With exact no link can be missed, at the cost of three to five times as many keys."""
+    """doc_id, n_shingles and component_id of every row. With exact no link can be missed, at the cost of more keys, some 0.4 for each n-gram."""
     rows, classes = linked(df, k, percent, exact)
     salted = rows.select("doc_id", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt"))
     # a class goes to each of its salts before it meets the rows, so that a hot class is spread
