@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, ngram_join, packing, pii, quality, sharding, token_counts, toxicity, warc
+from . import bpe, dedup, ngram_join, packing, pii, quality, sharding, token_counts, toxicity, warc, whitening
 from .common import documents
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": lambda s, d: warc.report(s.read.parquet(f"{d}/pages.parquet")),
         "op9_ngram_join": lambda s, d: ngram_join.with_components(documents(s, d), 4, 85),
         "op10_packing": lambda s, d: packing.pack(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
+        "op11_whitening": lambda s, d: whitening.report(s.read.parquet(f"{d}/embeddings.parquet")),
     }
 
 
