@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str) -> tuple[FileSystem, str]:
+    """What opens files below the shared folder inside a task: Arrow's file system of the address and the path in it."""
+    return FileSystem.from_uri(uri)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, whatever body refers to."""
     return F.element_at(F.transform(F.array(value), body), 1)
