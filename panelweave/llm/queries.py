@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, ngram_join, packing, pii, quality, sharding, token_counts, token_files, toxicity, warc, whitening
+from . import bpe, cobucket, dedup, ngram_join, packing, pii, quality, sharding, token_counts, token_files, toxicity, warc, whitening
 from .common import documents
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": lambda s, d: packing.pack(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
         "op11_whitening": lambda s, d: whitening.report(s.read.parquet(f"{d}/embeddings.parquet")),
         "op12_token_files": lambda s, d: token_files.report(documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
+        "op13_cobucket": lambda s, d: cobucket.report(s.read.parquet(f"{d}/sales.parquet"), s.read.parquet(f"{d}/sale_lines.parquet")),
     }
 
 
