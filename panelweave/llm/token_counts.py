@@ -96,21 +96,26 @@ class Rollup:
         self._mark(folder)
         return True
 
+    def _listing(self) -> tuple[list[str], set[str]]:
+        """The folders that make up the totals at one moment, and the batches they stand for. The base is read first: what it does not list is added from its own folder."""
+        base, inside = self._base()
+        rest = {batch: p for batch, p in sorted(self._marked("batch").items()) if batch not in inside}
+        return [*rest.values(), *([base] if base else [])], inside | set(rest)
+
     def compact(self) -> None:
-        """Sums up all committed batches. Their folders may be removed by whoever knows that no reader is left; they count no more."""
-        done = self.committed()
+        """Sums up the batches of one listing; one that commits meanwhile keeps its own folder and counts beside the new base. Folders of the others may be removed by whoever knows that no reader is left; they count no more."""
+        paths, done = self._listing()
         folder = f"{self.folder}/base={max(map(int, self._marked('base')), default=0) + 1}.{uuid.uuid4().hex}"
-        self._sums().write.parquet(f"{folder}/sums")
+        self._sums(paths).write.parquet(f"{folder}/sums")
         self.spark.createDataFrame([(b,) for b in sorted(done)], "batch string").write.parquet(f"{folder}/batches")
         self._mark(folder)
 
-    def deltas(self) -> DataFrame:
-        base, inside = self._base()
-        paths = [p for batch, p in sorted(self._marked("batch").items()) if batch not in inside] + ([base] if base else [])
+    def deltas(self, paths: list[str] | None = None) -> DataFrame:
+        paths = self._listing()[0] if paths is None else paths
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
-    def _sums(self) -> DataFrame:
-        return self.deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    def _sums(self, paths: list[str] | None = None) -> DataFrame:
+        return self.deltas(paths).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         return self._sums().where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))

@@ -68,6 +68,26 @@ def test_compaction(spark):
     assert len(book.deltas().inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("when", ["before the sums", "after the sums"])
+def test_a_commit_during_compaction_counts_once(spark, when):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s")], "doc_id long, text string, lang string, source string")
+    folder = new_folder(spark, "book")
+    Rollup(spark, folder).commit("first", changes(docs, "words_v1", 1))
+
+    class Slow(Rollup):
+        def _sums(self, *paths):
+            made = None if when == "before the sums" else super()._sums(*paths)
+            assert Rollup(spark, folder).commit("late", changes(docs, "words_v1", 1))
+            return made or super()._sums(*paths)
+
+    Slow(spark, folder).compact()
+    book = Rollup(spark, folder)
+    assert rows(book.totals()) == {("s", "en", "words_v1"): (2, 6)} and book.committed() == {"first", "late"}
+    assert not book.commit("late", changes(docs, "words_v1", 1))
+    book.compact()
+    assert rows(book.totals()) == {("s", "en", "words_v1"): (2, 6)}
+
+
 def plain(df):
     """Totals of the first row of each text, by smallest id, null last."""
     import re
