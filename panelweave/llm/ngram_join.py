@@ -74,8 +74,6 @@ _BLANK[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 _PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _DEAL = _rng.integers(0, 1 << 63, SEEDS * (LEVELS + 1), np.uint64)
-_MIN_XOR = _rng.integers(0, 1 << 32, (LEVELS + 1, 4096), np.uint32)
-_MIN_MUL = _rng.integers(0, 1 << 31, (LEVELS + 1, 4096), np.uint32) * np.uint32(2) + np.uint32(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -193,10 +191,16 @@ def bands(percent: int) -> tuple[int, int]:
     return (math.ceil(math.log(MISS) / math.log1p(-agree)) if agree < 1 else 1), rows
 
 
+@cache
+def min_hashes(n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n min-hashes of a level are made of: a number to combine by xor and an odd factor for each."""
+    made = np.random.Generator(np.random.PCG64([20240101, level])).integers(0, 1 << 32, (n, 2), np.uint32)
+    return made[:, 0].copy(), made[:, 1] | np.uint32(1)
+
+
 def band_keys(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
     count, rows = bands(percent)
-    of = slice(0, count * rows)
-    xor, mul = _MIN_XOR[level][of], _MIN_MUL[level][of]
+    xor, mul = min_hashes(count * rows, level)
     x = (grams >> np.uint64(32)).astype(np.uint32)
     low, room = np.full(count * rows, 0xFFFFFFFF, np.uint32), np.empty((64, count * rows), np.uint32)
     for at in range(0, len(x), 64):
