@@ -1,8 +1,8 @@
 r"""Best-fit packing of token pieces into sequences by a grouping genetic algorithm.
 
 Texts become ids, each document's ids end with one separator, and only what is
-longer than a sequence is cut. Pieces are dealt by hash into groups of bounded
-size; every group is packed by several islands. An island keeps a population
+longer than a sequence is cut. Pieces are dealt by a hash of their place in the
+table into groups of bounded size; every group is packed by several islands. An island keeps a population
 of packings, begins with best-fit decreasing and shuffled variants, and breeds:
 crossover injects whole well-filled bins of one parent into the other, bins
 that hold one of the injected pieces are taken apart, and displaced pieces
@@ -310,7 +310,8 @@ def _epoch(capacity: int, first: bool):
 def pack_round(pieces: DataFrame, n: int, name: str, capacity: int, group: int) -> DataFrame:
     """Packs pieces in groups: two epochs on every island with migration between them, then each group's best island."""
     groups = max(1, -(-n // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
+    # by the row's number in the written table, so that equal rows are spread too
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     islands = dealt.withColumn("_island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     one = staged(islands.groupBy("_group", "_island").applyInArrow(_epoch(capacity, True), PACKED), f"{name}_epoch1")
     # a ring: island i also gets the elite of island i + 1

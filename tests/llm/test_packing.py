@@ -119,3 +119,19 @@ def test_migration_gives_the_better_elite():
     own, other = (P.best_fit(rng.sample(range(200), 200), sizes, 100) for _ in range(2))
     best, broods = P.evolve(sizes, 3, [own, other], 100)
     assert broods > 0 and len(best.bins) < min(len(own.bins), len(other.bins))
+
+
+def test_equal_rows_are_spread_over_groups(spark, plain, monkeypatch):
+    """Very many equal rows without an id do not meet in one group."""
+    most = []
+    real_round = P.pack_round
+
+    def watched(pieces, n, name, capacity, group):
+        out = real_round(pieces, n, name, capacity, group)
+        most.append(max([r["count"] for r in out.groupBy("_group").count().collect()], default=0))
+        return out
+
+    monkeypatch.setattr(P, "pack_round", watched)
+    df = spark.createDataFrame([(None, "one and the same text")] * 6000, "doc_id long, text string").repartition(4)
+    n, least = check(df, plain, group=300)
+    assert max(most) < 600 and n <= least + 20
