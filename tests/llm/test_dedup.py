@@ -60,3 +60,16 @@ def test_clashing_names(spark, odd):
     df = odd.selectExpr("*", "1 AS _digest", "2 AS _salt", "3 AS _norm", "4 AS _row", "5 AS _rank", "6 AS `a.b`")
     assert dedup.with_classes(df).count() == df.count()
     assert dedup.kept_rows(df).columns == df.columns
+
+
+def test_copies_without_an_id_are_spread(spark):
+    """20,000 equal rows, no ids: no group by digest and salt holds more than a few hundredths of them."""
+    df = spark.createDataFrame([(None, "the same text")] * 20_000, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in dedup.report(df).collect()} == {(None, None, 20_000, True, dedup.report(df).first().text_sha256)}
+    salts = dedup.salted(df, "text", dedup.F.pmod(dedup.F.xxhash64(dedup.F.monotonically_increasing_id()), dedup.F.lit(dedup.SALTS)), ["doc_id"]).groupBy("_salt").count().collect()
+    assert len(salts) == dedup.SALTS and max(r["count"] for r in salts) < 1000
+
+
+def test_columns_that_cannot_be_ordered(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "ab "), (2, "c")], "doc_id long, text string").selectExpr("*", "map('k', doc_id) AS m", "array(map(1, 2)) AS n")
+    assert sorted((r.doc_id, r.text, r.m) for r in dedup.kept_rows(df).collect()) == [(1, "a b", {"k": 1}), (2, "c", {"k": 2})]
