@@ -14,8 +14,10 @@ become blanks, so that no value can add a header.
 A response without an HTTP head is all payload, its status null. Chunked and
 gzip or deflate bodies are decoded; one that cannot be decoded, or would grow
 beyond ``MOST_DECODED`` bytes, is kept as it came. A charset that is not one of
-``CHARSETS`` is read as UTF-8; what a charset cannot read becomes U+FFFD. Where
-the HTML parser gives up, the rest of the page counts as text. Only HTML and
+``CHARSETS`` is read as UTF-8; what a charset cannot read becomes U+FFFD. Marked
+sections in a page ("<![" to the next ">") are skipped like comments, as browsers
+do; where the HTML parser gives up for any other reason, what it has not read
+yet counts as text, once. Only HTML and
 plain text get a conversion; an empty or null body gives an empty one. Pages of
 any length are converted whole. Null URIs and dates stay null. Every row is
 independent, repeated rows give repeated records. Extra columns, whatever their
@@ -86,6 +88,18 @@ class Page(HTMLParser):
         elif not self.hidden:
             self.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section that the parser would refuse, or read as another markup language's, is a comment to browsers."""
+        return self.parse_bogus_comment(i)
+
+    def unread(self, text: str) -> str:
+        """What follows the place that the parser has come to."""
+        line, column = self.getpos()
+        at = 0
+        for _ in range(line - 1):
+            at = text.index("\n", at) + 1
+        return text[at + column :]
+
     def text(self) -> str:
         lines = (SPACES.sub(" ", x).strip() for x in "".join(self.parts).split("\n"))
         return "\n".join(x for x in lines if x)
@@ -161,14 +175,14 @@ def decoded(body: bytes, kind: str) -> str:
 
 
 def read_page(text: str) -> Page:
-    """The page as far as the parser comes; from there on, what is left is text."""
+    """The page as far as the parser comes; what is left from there on is text."""
     page = Page()
     try:
         page.feed(text)
         page.close()
     except (AssertionError, ValueError):
         page.hidden, page.in_title = 0, False
-        page.handle_data(page.rawdata)
+        page.handle_data(page.unread(text))
     return page
 
 

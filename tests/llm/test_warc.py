@@ -4,6 +4,8 @@ import re
 import zlib
 from html import unescape
 
+import pytest
+
 from panelweave.llm import warc
 
 HTML = b"<html lang='de'><head><title>A &amp; B</title><style>x{}</style></head><body><p>One<br>two&nbsp;&copy; <a href='/x'>three</a><script>no()</script><!-- no --><p>four</body></html>"
@@ -41,8 +43,10 @@ def test_encodings():
 def test_bad_input_is_no_error():
     page = b"Content-Type: text/html"
     text = lambda block: warc.derivatives(record(block))[1]["block"].decode()
-    assert text(http(b"<p>one<![foo[x]]><p>two", page)).startswith("one")
-    assert "two" in text(http(b"<p>one<![foo[x]]><p>two", page))
+    assert text(http(b"<p>one<![foo[x]]><p>two", page)) == "one\ntwo"
+    assert text(http(b"<p>hello</p><script>var x=1</script><![foo[x]]> tail<script>y</script>", page)) == "hello\ntail"
+    assert text(http(b"<p>a<![CDATA[b]]>c<![if IE]>d<![endif]>e<![ [f]]>g<![", page)).replace("b]]>", "") in ("acdeg", "acdeg<![")
+    assert text(http(b"<p>x</p>" + b"<![foo[y]]>z" * 20_000, page)) == "x\n" + "z" * 20_000
     for name in ("idna", "undefined", "utf-7", "unicode_escape", "raw_unicode_escape", "punycode", "rot13", "utf-8-sig", "base64", "\x00"):
         assert text(http(b"<p>one +2AA- \\ud800", page + b"; charset=" + name.encode())).startswith("one")
     assert text(http("<p>é".encode("utf-16"), page + b"; charset=utf-16")) == "é"
@@ -117,3 +121,13 @@ def test_odd_pages(spark):
     assert len(made) == 14 and {r.content_length for r in made if r.page_id == 1 and r.warc_type == "conversion"} == {0}
     assert warc.report(pages.limit(0)).count() == 0
     assert all(r.block_sha256 == hashlib.sha256(b"").hexdigest() for r in made if r.page_id == 2 and r.warc_type == "conversion")
+
+
+@pytest.mark.parametrize("before", ["", "<p>one</p>\n<script>s</script>\n", "a\nb<b>c\n\n"])
+def test_a_parser_that_gives_up_leaves_the_rest_once(monkeypatch, before):
+    def refuse(self, i, report=1):
+        raise AssertionError("refused")
+
+    monkeypatch.setattr(warc.Page, "parse_marked_section", refuse)
+    want = warc.read_page(before).text() + "\n" + "<![x]> rest <i>of</i> it"
+    assert warc.read_page(before + "\n<![x]> rest <i>of</i> it").text() == want.strip()
