@@ -43,6 +43,7 @@ CAPACITY = 2048
 GROUP = 3000  # pieces that one island packs
 ISLANDS, POPULATION, BROODS = 2, 4, 8
 KEEP = 500_000
+PORTION = 8 << 20  # bytes of text that are encoded at a time
 LONG = 48
 JOINED = 1000  # words that the tokenizer gets in one string
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
@@ -107,20 +108,37 @@ class Words(dict):
         if len(self) >= KEEP:
             self.older = {w: ids for w, ids in self.items() if len(w) <= LONG}
             self.clear()
-        split: list[list[str] | None] = []
-        met: set[str] = set()
-        for t in texts:
+        out: list[bytes | None] = [None] * len(texts)
+        plain, lowered = [], []
+        for i, t in enumerate(texts):
             if any(x in t for x in self.added) or not t.isascii() and (ODD.search(t) or not unicodedata.is_normalized("NFC", t)):
-                split.append(None)
+                out[i] = self.by_tokenizer([t], True)[0]
                 continue
             t = t.lower()
             for blank in "\n\t\r":
                 t = t.replace(blank, " ")
-            split.append(t.split(" "))
-            met.update(split[-1])
-        self.learn(met.difference(self))
-        get = self.__getitem__
-        return [self.by_tokenizer([t], True)[0] if words is None else b"".join(map(get, words)) for words, t in zip(split, texts, strict=True)]
+            plain.append(i)
+            lowered.append(t)
+        # each word of the batch is looked up once; its places take the ids all together
+        words = pc.split_pattern(pa.array(lowered, pa.large_string()), " ")
+        met = words.flatten().dictionary_encode()
+        names = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.get, names))
+        if new := [k for k, found in enumerate(ids) if found is None]:
+            self.learn({names[k] for k in new})
+            for k in new:
+                ids[k] = self[names[k]]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = met.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat((np.cumsum(size) - size)[at] - ends[:-1], n)
+        place += np.arange(len(place))
+        data = np.frombuffer(b"".join(ids), np.uint32)[place].tobytes()
+        cuts = (4 * ends[words.offsets.to_numpy()]).tolist()
+        for i, (a, b) in zip(plain, pairwise(cuts), strict=True):
+            out[i] = data[a:b]
+        return out
 
 
 _WORDS: dict[str, Words] = {}
@@ -133,6 +151,16 @@ def words_of(path: str) -> Words:
     return _WORDS[path]
 
 
+def portions(b: pa.RecordBatch, column: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose texts have at most so many bytes together; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")), at + 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def pieces_of(df: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     end = np.array([separator], "<u4").tobytes()
@@ -140,8 +168,7 @@ def pieces_of(df: DataFrame, path: str, text: str = "text", capacity: int = CAPA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                rows = b.slice(at, 512)
+            for rows in portions(b, 1):
                 out: list[list[int | None]] = [[], [], [], [], []]
                 for doc, ids in zip(rows.column(0).to_pylist(), words.encode([t.as_py() or "" for t in rows.column(1)]), strict=True):
                     ids += end

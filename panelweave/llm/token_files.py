@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import filesystem, new_folder
-from .packing import words_of
+from .packing import portions, words_of
 
 MAGIC = b"TOKBITS1"
 BLOCK = 1 << 16
@@ -194,8 +194,7 @@ def write(df: DataFrame, tokenizer: str, folder: str, text: str = "text", end: i
             done.append((part, len(done), path, out.n_ids, len(out.ids)))
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for some in portions(b, 1):
                 for doc, ids in zip(some.column(0).to_pylist(), words.encode([t.as_py() or "" for t in some.column(1)]), strict=True):
                     if out is None:
                         path = f"{folder}/part-{part:05d}-{len(done):05d}-{uuid.uuid4().hex}.ids"
