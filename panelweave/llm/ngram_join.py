@@ -212,7 +212,7 @@ def band_keys(grams: np.ndarray, percent: int, level: int = 0) -> np.ndarray:
     lows = low.reshape(count, rows).astype(np.uint64)
     total = np.arange(count, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(level)
     for i in range(rows):
-        total = mixed(total * _PLACE[i] + lows[:, i])
+        total = mixed(total * _PLACE[i % len(_PLACE)] + lows[:, i])
     return total
 
 
