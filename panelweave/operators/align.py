@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import nulls
 from ..functions.text import zfill
 from ..sources.sinks import append_checked
 
@@ -60,11 +64,28 @@ def hard_rank(value: str, group: str, tie: str, descending: bool = False) -> Col
     return F.row_number().over(W.partitionBy(group).orderBy(v.desc() if descending else v.asc(), tie))
 
 
-def weighted_deviation(x: Column, w: Column) -> Column:
-    """Population standard deviation under weights, 0 for at most one value; an aggregate."""
-    mean = F.sum(w * x) / F.sum(w)
-    square = F.sum(w * x * x) / F.sum(w) - mean * mean
-    return F.when(F.count(x) <= 1, 0.0).otherwise(F.sqrt(F.greatest(square, F.lit(0.0))))
+def weighted_deviations(df: DataFrame, keys: list[str], x: Column, w: Column) -> DataFrame:
+    """keys and deviation: population standard deviation of x under weights w, 0 for at most one value; 0 too where all weights are 0.
+
+    Rows whose x or weight is not finite do not count, nor do their weights; weights under 0 count as 0. Means come first,
+    of distances to the group's least value, then squares of what is left: large means do not cancel. The rows meet their
+    group's least value and mean by key, which are one row a group.
+    """
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    known = df.select(*own, nulls.finite(x).alias("_x"), F.when(nulls.finite(w).isNotNull(), F.greatest(nulls.finite(w), F.lit(0.0))).alias("_w"))
+    known = known.withColumn("_w", F.when(F.col("_x").isNotNull(), F.col("_w"))).withColumn("_x", F.when(F.col("_w").isNotNull(), F.col("_x")))
+    names = [f"_k{i}" for i in range(len(keys))]
+
+    def met(rows: DataFrame, of: DataFrame) -> DataFrame:
+        of = of.withColumnsRenamed({n: f"{n}_" for n in names})
+        return rows.join(of, reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names], F.lit(True))).drop(*[f"{n}_" for n in names])
+
+    least = known.groupBy(*names).agg(F.min("_x").alias("_least"))
+    near = met(known, least).withColumn("_x", F.col("_x") - F.col("_least")).drop("_least")
+    means = near.groupBy(*names).agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("_m"))
+    square = F.try_divide(F.sum(F.col("_w") * F.pow(F.col("_x") - F.col("_m"), 2)), F.sum("_w"))
+    out = met(near, means).groupBy(*names).agg(F.when(F.count("_x") <= 1, 0.0).otherwise(F.coalesce(F.sqrt(square), F.lit(0.0))).alias("deviation"))
+    return out.withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def geography_colour(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -80,7 +80,8 @@ def tile_statistics(tiles: DataFrame, tile: str = "tile") -> DataFrame:
     v = doubles(F.col(tile))
     n = F.size(v)
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
+    # squares of what is left of the mean, so that a large one does not cancel; the mean is worked out once a tile
+    var = F.element_at(F.transform(F.array(mean), lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n), 1)
     active = F.size(F.filter(v, lambda x: x > 0)) / n
     return tiles.withColumn("stats", F.array(mean, F.sqrt(F.greatest(var, F.lit(0.0))), *[quantile_of(v, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)], active))
 

@@ -53,11 +53,15 @@ def hard_ranks(s, d):
     return o.select("o_custkey", "o_orderkey", A.hard_rank("o_totalprice", "o_custkey", "o_orderkey", True).alias("down"), A.hard_rank("o_totalprice", "o_custkey", "o_orderkey").alias("up"))
 
 
-@query("""WITH x AS (SELECT c_nationkey, c_acctbal / 100 AS x, (c_custkey % 7 + 1)::DOUBLE AS w FROM customer), m AS (SELECT c_nationkey, sum(w * x) / sum(w) AS m, count(*) AS n FROM x GROUP BY ALL)
- SELECT x.c_nationkey, round(CASE WHEN max(n) <= 1 THEN 0 ELSE sqrt(sum(w * pow(x - m, 2)) / sum(w)) END, 5) AS deviation FROM x JOIN m ON x.c_nationkey = m.c_nationkey GROUP BY x.c_nationkey""")
+@query("""WITH x AS (SELECT c_nationkey, CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE c_acctbal / 100 + CASE WHEN c_nationkey % 2 = 0 THEN 1e9 ELSE 0 END END AS x, (c_custkey % 7 + 1)::DOUBLE AS w FROM customer),
+ m AS (SELECT c_nationkey, sum(w * (x - 1e9 * (1 - c_nationkey % 2))) / sum(w) + 1e9 * (1 - c_nationkey % 2) AS m, count(x) AS n FROM x WHERE x IS NOT NULL GROUP BY c_nationkey)
+ SELECT x.c_nationkey, round(CASE WHEN max(n) <= 1 THEN 0 ELSE sqrt(sum(w * pow(x - m, 2)) / sum(w)) END, 4) AS deviation FROM x JOIN m ON x.c_nationkey = m.c_nationkey WHERE x IS NOT NULL GROUP BY x.c_nationkey""")
 def weighted_deviation(s, d):
-    c = B.table(s, d, "customer")
-    return c.groupBy("c_nationkey").agg(r(A.weighted_deviation(F.col("c_acctbal") / 100, (F.col("c_custkey") % 7 + 1).cast("double")), 5).alias("deviation"))
+    """Some values are missing, half of the nations have means of 1e9."""
+    k = F.col("c_nationkey")
+    x = F.when(F.col("c_custkey") % 11 != 3, F.col("c_acctbal") / 100 + F.when(k % 2 == 0, 1e9).otherwise(0.0))
+    out = A.weighted_deviations(B.table(s, d, "customer"), ["c_nationkey"], x, F.col("c_custkey") % 7 + 1)
+    return out.select("c_nationkey", r("deviation", 4).alias("deviation"))
 
 
 @query(f"""WITH p AS (SELECT {PLACES}, s_acctbal AS x FROM supplier), m AS (SELECT max(abs(lat)) AS lat, max(abs(lon)) AS lon, max(abs(x)) AS x FROM p), o AS (SELECT 'lat,lon' AS pair, lat AS a, lon AS b FROM m UNION ALL SELECT 'lon,lat', lon, lat FROM m UNION ALL SELECT 'x,lat', x, lat FROM m)

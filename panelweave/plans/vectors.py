@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions.dates import month_start
@@ -16,6 +17,7 @@ from ..operators import hypothesis as H
 from ..operators import models as M
 from ..operators import panel as P
 from ..operators import spatial as S
+from ..operators import spectral as SP
 from . import base as B
 from .registry import query
 from .relational import PAIRS, pair_frame, r
@@ -292,8 +294,30 @@ def huber_fit_by_fold(s, d):
 
 @query()
 def moran_basis_topk(s, d):
-    e = weighted(s, d).withColumn("graph", F.lit("g"))
-    return G.moran_bases(e, "graph", 8, 32)
+    """The basis itself; moran_basis_checks holds it against its equation."""
+    return SP.moran_basis_of(weighted(s, d), 8, 32).select("node", "basis_index", "basis_value", "eigenvalue")
+
+
+@query("""WITH e AS (SELECT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+ SELECT CAST(i AS INT) AS basis_index, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS n, 1.0::DOUBLE AS length, 0.0::DOUBLE AS mean, true AS solves, true AS falls FROM range(3) AS t(i)""")
+def moran_basis_checks(s, d):
+    """Which nations trade with which: every vector of the block iteration has length 1 and mean 0 and satisfies the equation, by a product of its own with the edges; eigenvalues fall."""
+    from ..sources.sinks import written
+
+    line, o, c, u = (B.table(s, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    met = line.join(o, line.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(u, F.col("l_suppkey") == u.s_suppkey)
+    e = written(met.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg((F.count(F.lit(1)) / 100.0).alias("weight")), "trade")
+    b = written(SP.moran_basis_of(e, 3, 4, small=0), "moran_basis")
+    v = b.select(F.col("node").alias("dst"), "basis_index", F.col("basis_value").alias("v"))
+    y = SP.symmetric_top(e, 4).join(v, "dst").groupBy(F.col("src").alias("node"), "basis_index").agg(F.sum(F.col("weight") * F.col("v")).alias("y"))
+    both = b.join(y, ["node", "basis_index"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    mean = both.groupBy("basis_index").agg(F.avg("y").alias("m"))
+    off = F.abs(F.col("y") - F.col("m") - F.col("eigenvalue") * F.col("basis_value"))
+    out = both.join(mean, "basis_index").groupBy("basis_index").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum(F.col("basis_value") ** 2)).alias("length"), F.abs(r(F.avg("basis_value"))).alias("mean"), (F.max(off) < 1e-8).alias("solves"), F.max("eigenvalue").alias("e"),
+    )
+    before = F.lag("e").over(W.partitionBy().orderBy("basis_index"))  # three rows
+    return out.withColumn("falls", F.coalesce(before >= F.col("e"), F.lit(True))).drop("e")
 
 
 @query()

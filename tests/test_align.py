@@ -14,9 +14,13 @@ def test_masks_and_missing_rows(spark):
 
 
 def test_weighted_deviation(spark):
-    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 3.0, 3.0), ("b", 5.0, 2.0)], "k string, x double, w double")
-    got = dict(map(tuple, df.groupBy("k").agg(A.weighted_deviation(F.col("x"), F.col("w"))).collect()))
-    assert got == {"a": pytest.approx((0.25 * 1.5**2 + 0.75 * 0.5**2) ** 0.5), "b": 0.0}
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", 1.0, 1.0), ("a", 3.0, 3.0), ("b", 5.0, 2.0), ("large", 1e9, 1.0), ("large", 1e9 + 1, 1.0), ("large", 1e9 + 2, 1.0), ("null", 10.0, 1.0), ("null", 12.0, 1.0), ("null", None, 1.0)]
+    rows += [("odd", 1.0, 1.0), ("odd", 5.0, 1.0), ("odd", nan, 9.0), ("odd", inf, 9.0), ("odd", 7.0, None), ("odd", 7.0, nan), ("odd", 100.0, -3.0), (None, 2.0, 1.0), (None, 4.0, 1.0), ("none", None, 1.0), ("zero", 1.0, 0.0), ("zero", 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double")
+    got = dict(map(tuple, A.weighted_deviations(df, ["k"], F.col("x"), F.col("w")).collect()))
+    assert got == {"a": pytest.approx((0.25 * 1.5**2 + 0.75 * 0.5**2) ** 0.5), "b": 0.0, "large": pytest.approx((2 / 3) ** 0.5), "null": 1.0, "odd": 2.0, None: 1.0, "none": 0.0, "zero": 0.0}
+    assert A.weighted_deviations(df.where("k = 'a'"), [], F.col("x"), F.col("w")).first().deviation == got["a"]
 
 
 def test_runs_are_kept_apart(spark, tmp_path):
