@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from ..functions.measures import adjusted_improvement, attributable, crps, log_a
 from ..functions.vectors import all_finite
 from ..sources.sinks import written
 from .models import Linear, capped_delta, fit, fits, predicted
+from .moments import fold_fits, model_rows
 from .relational import pearson
 
 #: Feature sets of the strict evaluation: name -> (blocks, whether the target is the residual to the baseline).
@@ -41,11 +43,37 @@ def work_list(panel: DataFrame, folds: list[int], specs: list[str]) -> DataFrame
     return out.withColumns({"item": F.concat_ws("|", "k", "model"), "test": F.col("fold") == F.col("k")})
 
 
-def strict_errors(panel: DataFrame, folds: list[int], specs: list[str], kind: str = "huber", **options) -> DataFrame:
-    """Out-of-fold predictions of every spec and the baseline: fips, state, fold, model, logs, sigma and errors."""
-    items = work_list(panel, folds, specs)
-    models = fits(items.where(~F.col("test")), "item", "x", "target", kind, **options)
-    scored = items.where("test").join(F.broadcast(models), "item")  # folds x specs rows
+def spec_rows(panel: DataFrame, specs: list[str], residual: dict[str, bool]) -> DataFrame:
+    """A row of the panel for each spec that has features: spec (its place in the list), x padded with zeros to one length, y. Nothing is copied by fold."""
+    blocks = sorted({b for s in specs for b in SPECS[s][0]})
+    widths = panel.select(*[F.max(F.size(b)).alias(b) for b in blocks]).first()
+    length = {s: sum(widths[b] or 0 for b in SPECS[s][0]) for s in specs}
+    parts = []
+    for i, s in enumerate(specs):
+        x = F.concat(*[F.col(b).cast("array<double>") for b in SPECS[s][0]])
+        pad = F.array_repeat(F.lit(0.0), max(length.values()) - length[s])
+        y = F.col("y_log") - F.col("pep_log") if residual[s] else F.col("y_log")
+        sound = panel.where(all_finite(x) & F.col("y_log").isNotNull() & F.col("pep_log").isNotNull() & (F.size(x) == length[s]))
+        parts.append(sound.select("fips", "state", F.col("fold").cast("int").alias("fold"), "y_log", "pep_log", F.lit(i).alias("spec"), F.concat(x, pad).alias("x"), y.alias("y")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def strict_errors(panel: DataFrame, folds: list[int], specs: list[str], kind: str = "huber", grouped: bool = False, **options) -> DataFrame:
+    """Out-of-fold predictions of every spec and the baseline: fips, state, fold, model, logs, sigma and errors.
+
+    Ridge and Huber fits (options: alpha, epsilon, n_components) come from merged moments of all folds and specs, so that
+    no task holds a training set. Other kinds and options, or grouped, fit each (fold, spec) in one task of its own.
+    """
+    if grouped or kind not in ("huber", "ridge") or set(options) - {"alpha", "epsilon", "n_components"}:
+        items = work_list(panel, folds, specs)
+        models = fits(items.where(~F.col("test")), "item", "x", "target", kind, **options)
+        scored = items.where("test").join(F.broadcast(models), "item")  # folds x specs rows
+    else:
+        named = [s for s in specs if SPECS[s][0]]
+        rows = spec_rows(panel, named, {s: SPECS[s][1] for s in named})
+        found = model_rows(fold_fits(rows.where(F.col("fold").isNotNull()), folds, kind, **options), panel.sparkSession)
+        told = found.select("*", F.element_at(F.array(*map(F.lit, named)), F.col("spec") + 1).alias("model"), F.element_at(F.array(*[F.lit(SPECS[s][1]) for s in named]), F.col("spec") + 1).alias("residual"))
+        scored = rows.join(F.broadcast(told.withColumnRenamed("k", "fold")), ["spec", "fold"])  # folds x specs rows
     raw = predicted(F.col("x"))
     pred = F.when(F.col("residual"), F.col("pep_log") + raw).otherwise(raw)
     own = scored.select("fips", "state", "fold", "model", "y_log", "pep_log", pred.alias("pred_log"), "sigma")

@@ -11,6 +11,7 @@ from ..functions.vectors import column_moments
 from ..operators import graph as G
 from ..sources import files as S
 from ..sources import sinks as K
+from ..sources.ledger import Ledger
 from ..streaming import live
 from . import base as B
 from .registry import query
@@ -73,12 +74,33 @@ def daily_event_totals(s, d):
 @query("SELECT event_id, user_id, event_type FROM events")
 def streamed_append(s, d):
     """events as a stream, two times over with new checkpoints: the second run finds every key."""
-    schema = B.table(s, d, "events").schema
-    path = folder(s, "events")
+    whole = B.table(s, d, "events")
+    table = Ledger(s, folder(s, "events"), ["event_id"])
     for i in range(2):
-        rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type")
-        live.append_stream(rows, path, ["event_id"], folder(s, f"checkpoint{i}")).awaitTermination()
-    return s.read.parquet(path)
+        rows = s.readStream.schema(whole.schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type")
+        live.append_stream(rows, table, folder(s, f"checkpoint{i}"), f"run{i}").awaitTermination()
+    return table.read(whole.select("event_id", "user_id", "event_type").schema)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS VARCHAR)[:10] AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def streamed_daily_totals(s, d):
+    """events in several files, a micro batch each, windowed under a watermark wide enough that nothing is late; the last state of every window."""
+    events, source, out = B.table(s, d, "events").select("event_id", "ts", "event_type", "value"), folder(s, "event_files"), folder(s, "totals")
+    events.repartition(3, "event_id").write.parquet(source)
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.totals_stream(stream, out, folder(s, "totals_checkpoint"), "4000 days").awaitTermination()
+    t = live.latest_totals(s.read.parquet(out))
+    return t.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", r("total", 3).alias("total"))
+
+
+@query("SELECT o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY o_orderkey")
+def ledger_appends(s, d):
+    """Batches that overlap, one of them twice, an empty one: each key once."""
+    o = B.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    table = Ledger(s, folder(s, "ledger"), ["o_orderkey"])
+    for batch, rows in (("a", o.where("o_orderkey % 2 = 0")), ("b", o.where("o_orderkey % 3 = 0")), ("a", o), ("none", o.where("false")), ("c", o)):
+        table.append(batch, rows)
+    return table.read(o.schema)
 
 
 @query("SELECT l_suppkey AS src, l_partkey % 100 AS dst, sum(l_linenumber)::DOUBLE AS weight FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 100 % 3 = 0 GROUP BY ALL")

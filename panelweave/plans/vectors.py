@@ -15,6 +15,7 @@ from ..operators import folds as FO
 from ..operators import graph as G
 from ..operators import hypothesis as H
 from ..operators import models as M
+from ..operators import moments as MO
 from ..operators import panel as P
 from ..operators import spatial as S
 from ..operators import spectral as SP
@@ -250,11 +251,23 @@ def sign_test_counts(s, d):
     return H.sign_counts(pair_frame(s, d), "adjusted_delta")
 
 
-@query("SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(sum(p), 9) AS tail FROM (SELECT t.n, t.k, exp(lgamma(t.n + 1) - lgamma(j + 1) - lgamma(t.n - j + 1) + j * ln(t.q) + (t.n - j) * ln(1 - t.q)) AS p FROM (VALUES (10, 7, 0.5::DOUBLE), (47, 30, 0.5::DOUBLE), (100, 97, 0.95::DOUBLE), (500, 480, 0.95::DOUBLE)) AS t(n, k, q), range(0, 501) AS r(j) WHERE j BETWEEN t.k AND t.n) GROUP BY n, k")
+@query("""WITH c AS (SELECT c_nationkey AS nation, count(*) AS n, count(*) FILTER (c_acctbal > 4500) AS k FROM customer GROUP BY ALL)
+ SELECT nation, n, k, round(sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + n * ln(0.5))), 8) AS tail FROM c, range(0, (SELECT max(n) + 1 FROM c)) AS r(j) WHERE j BETWEEN k AND n GROUP BY ALL""")
 def binomial_tail(s, d):
-    from ..functions.distributions import binom_upper
+    """For each nation, how likely so many or more of its customers' balances lie over 4500 by chance."""
+    c = B.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") > 4500).alias("k"))
+    return c.select("nation", "n", "k", r(H.binomial_tail(F.col("k"), F.col("n"), F.lit(0.5)), 8).alias("tail"))
 
-    return s.createDataFrame([(n, k, round(binom_upper(k, n, q), 9)) for n, k, q in ((10, 7, 0.5), (47, 30, 0.5), (100, 97, 0.95), (500, 480, 0.95))], "n int, k int, tail double")
+
+@query("""WITH c AS (SELECT c_nationkey AS nation, count(*) AS n, count(*) FILTER (c_acctbal > 4500) AS k FROM customer GROUP BY ALL)
+ SELECT nation, true AS low_holds, true AS high_holds FROM c""")
+def binomial_interval(s, d):
+    """The exact interval of each nation's share: at its ends the tails are half of alpha (0 and 1 where nothing or all was seen)."""
+    c = B.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") > 4500).alias("k"))
+    x = c.withColumn("x", H.binomial_interval(F.col("k"), F.col("n"), F.lit(0.05)))
+    low = F.when(F.col("k") == 0, F.col("x.low") == 0).otherwise(F.abs(H.binomial_tail(F.col("k"), F.col("n"), F.col("x.low")) - 0.025) < 1e-6)
+    high = F.when(F.col("k") == F.col("n"), F.col("x.high") == 1).otherwise(F.abs(1 - H.binomial_tail(F.col("k") + 1, F.col("n"), F.col("x.high")) - 0.025) < 1e-6)
+    return x.select("nation", low.alias("low_holds"), high.alias("high_holds"))
 
 
 @query()
@@ -287,6 +300,15 @@ def ridge_closed_form(s, d):
     return M.fits(t, "fold", "x", "y", "ridge", alpha=1.0).select("fold", "n_train", r(F.col("coef")[0]).alias("coef"), r("intercept").alias("intercept"))
 
 
+@query("WITH " + B.PANEL + """, t AS (SELECT fold, ln(base) AS x, ln(truth) AS y FROM panel WHERE year = 2000), u AS (SELECT k, x, y FROM t, range(1, 6) AS f(k) WHERE fold <> k), m AS (SELECT k, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n FROM u GROUP BY k),
+ z AS (SELECT u.k, (x - mx) / sx AS z, y - my AS y, n, my FROM u JOIN m USING (k)) SELECT CAST(k AS INT) AS k, n AS n_train, round(sum(z * y) / (sum(z * z) + 1.0), 6) AS coef, round(max(my), 6) AS intercept FROM z GROUP BY k, n""")
+def ridge_left_out_folds(s, d):
+    """The model that each fold is scored by, trained on all other folds, from one pass of merged moments."""
+    t = training(s, d).select(F.lit(0).alias("spec"), F.col("fold").cast("int").alias("fold"), F.slice("x", 1, 1).alias("x"), "y")
+    m = MO.model_rows(MO.fold_fits(t, [1, 2, 3, 4, 5], "ridge", 1.0), s)
+    return m.select("k", "n_train", r(F.col("coef")[0]).alias("coef"), r("intercept").alias("intercept"))
+
+
 @query()
 def huber_fit_by_fold(s, d):
     return M.fits(training(s, d), "fold", "x", "y", "huber", alpha=1e-4).select("fold", "n_train", F.col("coef"), "intercept", "sigma")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sinks import append_new
+from ..sources.ledger import Ledger
 
 
 def daily_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -22,9 +22,21 @@ def daily_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
     return g.select(F.col("w.start").alias("day"), "event_type", "n", "total")
 
 
-def append_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Writes each micro batch's new keys; a batch that comes again adds nothing."""
-    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df.dropDuplicates(keys), path, keys) and None).trigger(availableNow=True).start()
+def append_stream(rows: DataFrame, table: Ledger, checkpoint: str, name: str) -> StreamingQuery:
+    """Commits each micro batch's new keys to a table under the stream's name and the batch's number; a batch that comes again adds nothing, keys are pruned by bucket."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: table.append(f"{name}-{n}", df) and None).trigger(availableNow=True).start()
+
+
+def totals_stream(events: DataFrame, path: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """Daily totals as they change: every batch writes the windows that it has changed to a folder of its own, which a repeat overwrites."""
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/changed={n}")
+    return daily_totals(events, late).writeStream.option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(write).trigger(availableNow=True).start()
+
+
+def latest_totals(changes: DataFrame) -> DataFrame:
+    """The last state of each window from what totals_stream has written."""
+    last = changes.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+    return last.select("day", "event_type", "x.n", "x.total")
 
 
 def carried_levels(flows: DataFrame) -> DataFrame:
