@@ -394,8 +394,36 @@ def hypothesis_suite(s, d):
     return H.suite(p, PA.state_pairs(p), PA.safety_rows(t, 1996, 2000))
 
 
-@query()
+@query("SELECT true AS near, 24::BIGINT AS trials, count(DISTINCT c_nationkey) AS nations FROM customer")
+def searched_balance(s, d):
+    """An adaptive search for the level from which all customers' balances lie least far (their median): within 4 per cent of the range after 24 trials."""
+    import uuid
+
+    from ..operators import search as SE
+    from ..sources.sinks import shared_folder
+
+    c = B.table(s, d, "customer").select(F.col("c_acctbal").alias("b"), "c_nationkey")
+
+    def objective(trials):
+        # trials are a round's few rows
+        x = F.get_json_object("params", "$.x").cast("double")
+        return c.crossJoin(F.broadcast(trials.select("trial", x.alias("x")))).groupBy("trial").agg((-F.avg(F.abs(F.col("b") - F.col("x")))).alias("score"))
+
+    found = SE.search(s, {"x": {"type": "float", "low": -1000.0, "high": 10000.0}}, objective, f"{shared_folder(s)}/panelweave/{uuid.uuid4().hex}/trials", 4, 6)
+    best = found.agg(F.max_by(F.get_json_object("params", "$.x").cast("double"), "score").alias("x"), F.count(F.lit(1)).alias("trials"))
+    true = c.agg(F.median("b").alias("m"), F.countDistinct("c_nationkey").alias("nations"))
+    both = best.crossJoin(F.broadcast(true))  # one row each
+    return both.select((F.abs(F.col("x") - F.col("m")) < 440).alias("near"), "trials", "nations")
+
+
+@query("WITH " + B.ORDERS + """, m AS (SELECT fips, year, month, translate(code, '12345', '34563') AS measure, CAST(sum(cents) AS DOUBLE) AS value FROM orders_ GROUP BY ALL),
+ w AS (SELECT fips, year, month, max(value) FILTER (measure = '3') AS rate, max(value) FILTER (measure = '4') AS un, max(value) FILTER (measure = '5') AS emp, max(value) FILTER (measure = '6') AS lf FROM m GROUP BY ALL),
+ a AS (SELECT fips, year, avg(rate) AS mean, stddev_samp(rate) AS std, avg(rate) FILTER (month >= 10) - avg(rate) FILTER (month <= 3) AS q4, max(rate) FILTER (month = 12) AS r12, max(un) FILTER (month = 12) AS u12, max(emp) FILTER (month = 12) AS e12, max(lf) FILTER (month = 12) AS l12 FROM w GROUP BY ALL)
+ SELECT a.fips, a.year, round(a.mean, 2) AS laus_urate_mean, round(a.std, 2) AS laus_urate_std, round(a.q4, 2) AS laus_urate_q4_minus_q1, a.r12 - b.r12 AS laus_urate_dec_yoy,
+  round((a.e12 - b.e12) / greatest(abs(b.e12), 1), 6) AS laus_emp_dec_yoy, round((a.l12 - b.l12) / greatest(abs(b.l12), 1), 6) AS laus_lf_dec_yoy, round(CASE WHEN a.l12 IS NOT NULL THEN a.u12 / greatest(a.l12, 1) END, 6) AS laus_unemp_to_lf_dec FROM a LEFT JOIN a b ON a.fips = b.fips AND a.year = b.year + 1""")
 def labour_features(s, d):
     o = B.orders(s, d)
     months = o.groupBy("fips", "year", "month", F.translate("code", "12345", "34563").alias("measure")).agg(F.sum("cents").cast("double").alias("value"))
-    return P.labour_features(months)
+    f = P.labour_features(months)
+    digits = dict.fromkeys(("laus_urate_mean", "laus_urate_std", "laus_urate_q4_minus_q1"), 2) | {"laus_urate_dec_yoy": 2}
+    return f.select("fips", "year", *[r(c, digits.get(c, 6)).alias(c) for c in f.columns[2:]])
