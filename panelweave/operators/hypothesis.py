@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.distributions import binom_upper, clopper_pearson, t_cdf, t_quantile
@@ -114,13 +115,13 @@ def hac_test(rows: DataFrame, numerator: str, denominator: str, threshold: float
         blocks.unpersist()
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, share: pd.Series) -> pd.Series:
     """P(X >= k) of n draws with a share each; null where one is null."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(q) else binom_upper(int(a), int(b), float(q)) for a, b, q in zip(k, n, share, strict=True)], dtype=float)
 
 
-@pandas_udf("low double, high double")
+@pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
 def binomial_interval(k: pd.Series, n: pd.Series, alpha: pd.Series) -> pd.DataFrame:
     """The exact interval of a share of which k of n have been seen; null where there are no draws."""
     pairs = [(None, None) if pd.isna(a) or pd.isna(b) or b < 1 else clopper_pearson(int(a), int(b), float(q)) for a, b, q in zip(k, n, alpha, strict=True)]
