@@ -78,7 +78,7 @@ def streamed_append(s, d):
     table = Ledger(s, folder(s, "events"), ["event_id"])
     for i in range(2):
         rows = s.readStream.schema(whole.schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type")
-        live.append_stream(rows, table, folder(s, f"checkpoint{i}"), f"run{i}").awaitTermination()
+        live.ledger_stream(rows, table, folder(s, f"checkpoint{i}"), f"run{i}").awaitTermination()
     return table.read(whole.select("event_id", "user_id", "event_type").schema)
 
 

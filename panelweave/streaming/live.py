@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.ledger import Ledger
+from ..sources.sinks import append_new
 
 
 def daily_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -22,7 +23,12 @@ def daily_totals(events: DataFrame, late: str = "1 day") -> DataFrame:
     return g.select(F.col("w.start").alias("day"), "event_type", "n", "total")
 
 
-def append_stream(rows: DataFrame, table: Ledger, checkpoint: str, name: str) -> StreamingQuery:
+def append_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Writes each micro batch's new keys to a plain folder of one writer; a batch that comes again adds nothing."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df.dropDuplicates(keys), path, keys) and None).trigger(availableNow=True).start()
+
+
+def ledger_stream(rows: DataFrame, table: Ledger, checkpoint: str, name: str) -> StreamingQuery:
     """Commits each micro batch's new keys to a table under the stream's name and the batch's number; a batch that comes again adds nothing, keys are pruned by bucket."""
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: table.append(f"{name}-{n}", df) and None).trigger(availableNow=True).start()
 
