@@ -4,6 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept. All but the last give the columns of documents; other columns
 are dropped. Null ids, texts, languages and sources are carried through; texts
 of any length are read whole; an empty table stays empty through all stages.
+Repeated rows are equal texts: one of them stays. Ties are broken by the
+smallest doc_id, then by the other columns.
 """
 
 from __future__ import annotations
