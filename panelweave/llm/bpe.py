@@ -12,8 +12,10 @@ it hold, and those behind it hold again once as many entries in a row as the
 longest token has bytes come out as before.
 
 A text is first split by a pattern; pieces are encoded separately. Null texts
-count as empty: no ids. Repeated rows and clashing extra columns need no care,
-an empty table gives an empty result. Rows are independent: memory is one Arrow
+count as empty: no ids. Texts of any length are encoded whole, in time linear in
+their length. There are no ties: an encoding is unique, rows of one id are
+encoded one by one. Repeated rows and clashing extra columns need no care, an
+empty table gives an empty result. Rows are independent: memory is one Arrow
 batch and a bounded cache of pieces in each worker.
 """
 
