@@ -25,7 +25,7 @@ from ..sources.sinks import written
 
 SPARE = 8  # vectors of a block beyond those asked for
 STEPS = 30
-SMALL = 1024  # nodes up to which the matrix (8 MB) is solved in one task
+SMALL = 5120  # nodes up to which the matrix (210 MB) is solved in one task; all counties of a country are fewer
 
 
 def symmetric_top(edges: DataFrame, row_topk: int) -> DataFrame:
@@ -103,8 +103,9 @@ def _dense(s: DataFrame, nodes: DataFrame, k: int, eps: float, schema: str) -> D
         w = np.zeros((n, n))
         known = rows.filter(pc.is_valid(rows["dst"]))
         w[pc.index_in(known["src"], names).to_numpy(), pc.index_in(known["dst"], names).to_numpy()] = known["weight"].to_numpy()
-        c = np.eye(n) - 1 / n
-        a = c @ w @ c
+        mean = w.mean(0)
+        a = w - mean - mean[:, None] + mean.mean()
+        del w
         values, vectors = np.linalg.eigh(a)
         top = [i for i in np.argsort(values)[::-1][:k] if values[i] > eps]
         x = vectors[:, top] * np.where(vectors[np.abs(vectors[:, top]).argmax(0), top] < 0, -1.0, 1.0)
