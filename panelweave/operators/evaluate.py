@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions.measures import adjusted_improvement, attributable, crps, log_ape, relative_improvement, stratum, stratum_rank
 from ..functions.vectors import all_finite
 from ..sources.sinks import written
+from .kernels import KINDS, held_out, kernel_ridge
 from .models import Linear, capped_delta, fit, fits, predicted
 from .moments import fold_fits, model_rows
 from .relational import pearson
@@ -62,9 +63,18 @@ def strict_errors(panel: DataFrame, folds: list[int], specs: list[str], kind: st
     """Out-of-fold predictions of every spec and the baseline: fips, state, fold, model, logs, sigma and errors.
 
     Ridge and Huber fits (options: alpha, epsilon, n_components) come from merged moments of all folds and specs, so that
-    no task holds a training set. Other kinds and options, or grouped, fit each (fold, spec) in one task of its own.
+    no task holds a training set; kernel_ridge and kernel_huber (options: name, alpha, epsilon, gamma, landmarks) from
+    merged moments of kernel columns, a spec at a time, for each has its own width.
+    Other kinds and options, or grouped, fit each (fold, spec) in one task of its own.
     """
-    if grouped or kind not in ("huber", "ridge") or set(options) - {"alpha", "epsilon", "n_components"}:
+    if kind in KINDS:
+        parts = []
+        for s in (s for s in specs if SPECS[s][0]):
+            rows = spec_rows(panel, [s], {s: SPECS[s][1]}).where(F.col("fold").isNotNull())
+            found = held_out(rows.select("fips", "state", "fold", "y_log", "pep_log", "spec", "x", "y"), folds, kind, **options)
+            parts.append(found.select("*", F.lit(s).alias("model"), F.lit(SPECS[s][1]).alias("residual")))
+        scored = reduce(DataFrame.unionByName, parts)
+    elif grouped or kind not in ("huber", "ridge") or set(options) - {"alpha", "epsilon", "n_components"}:
         items = work_list(panel, folds, specs)
         models = fits(items.where(~F.col("test")), "item", "x", "target", kind, **options)
         scored = items.where("test").join(F.broadcast(models), "item")  # folds x specs rows
@@ -74,7 +84,7 @@ def strict_errors(panel: DataFrame, folds: list[int], specs: list[str], kind: st
         found = model_rows(fold_fits(rows.where(F.col("fold").isNotNull()), folds, kind, **options), panel.sparkSession)
         told = found.select("*", F.element_at(F.array(*map(F.lit, named)), F.col("spec") + 1).alias("model"), F.element_at(F.array(*[F.lit(SPECS[s][1]) for s in named]), F.col("spec") + 1).alias("residual"))
         scored = rows.join(F.broadcast(told.withColumnRenamed("k", "fold")), ["spec", "fold"])  # folds x specs rows
-    raw = predicted(F.col("x"))
+    raw = F.col("raw") if kind in KINDS else predicted(F.col("x"))
     pred = F.when(F.col("residual"), F.col("pep_log") + raw).otherwise(raw)
     own = scored.select("fips", "state", "fold", "model", "y_log", "pep_log", pred.alias("pred_log"), "sigma")
     known = panel.where("y_log IS NOT NULL AND pep_log IS NOT NULL")
@@ -185,9 +195,6 @@ def county_rollup(trajectory: DataFrame) -> DataFrame:
 def fitted(kind: str, x: np.ndarray, y: np.ndarray, new: np.ndarray, **options) -> tuple[np.ndarray, float]:
     """Prediction for new rows and sigma, for any of the models."""
     if kind == "kernel_ridge":
-        from .models import kernel_ridge
-
-        alpha = options.get("alpha", 1.0)
-        return kernel_ridge(x, y, new, **options), max(float((y - kernel_ridge(x, y, x, alpha)).std()), 1e-6)
+        return kernel_ridge(x, y, new, **options), max(float((y - kernel_ridge(x, y, x, **options)).std()), 1e-6)
     m = fit(kind, x, y, **options)
     return m.predict(new), m.sigma

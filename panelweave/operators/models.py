@@ -135,31 +135,6 @@ def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, l1_ratio: float, rou
     return b, float(my - mx @ b)
 
 
-def kernel(a: np.ndarray, b: np.ndarray, name: str, bandwidth: float) -> np.ndarray:
-    if name == "cosine":
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        return unit(a) @ unit(b).T
-    if name == "rbf":
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-        return np.exp(-np.maximum(d, 0) / (2 * bandwidth**2))
-    if name == "laplacian":
-        return np.exp(-np.abs(a[:, None] - b[None]).sum(2) / bandwidth)
-    raise ValueError(f"unknown kernel {name}")
-
-
-def knn_bandwidth(x: np.ndarray, k: int = 7) -> float:
-    """Median distance to the k-th neighbour; 1 where that is nothing."""
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
-    m = float(np.median(np.sort(d, 1)[:, min(k, len(x) - 1)]))
-    return m if np.isfinite(m) and m > 1e-9 else 1.0
-
-
-def kernel_ridge(x: np.ndarray, y: np.ndarray, new: np.ndarray, alpha: float, name: str = "rbf") -> np.ndarray:
-    bw = knn_bandwidth(x)
-    c = np.linalg.solve(kernel(x, x, name, bw) + alpha * np.eye(len(x)), y - y.mean())
-    return kernel(new, x, name, bw) @ c + y.mean()
-
-
 def fit(kind: str, x: np.ndarray, y: np.ndarray, **options) -> Linear:
     """Standardises on these rows and fits: huber, ridge or elastic_net."""
     mean, scale = standard(x)
@@ -169,14 +144,6 @@ def fit(kind: str, x: np.ndarray, y: np.ndarray, **options) -> Linear:
     return Linear(mean, scale, np.asarray(coef, float), float(intercept), sigma)
 
 
-def kernel_features(x: np.ndarray, new: np.ndarray, name: str = "rbf") -> tuple[np.ndarray, np.ndarray]:
-    """Kernel columns against the training rows, standardised on them, for a model on top."""
-    bw = knn_bandwidth(x)
-    a, b = kernel(x, x, name, bw), kernel(new, x, name, bw)
-    mean, scale = standard(a)
-    return (a - mean) / scale, (b - mean) / scale
-
-
 def capped_delta(base: Linear, x: np.ndarray, y: np.ndarray, alpha: float, multiplier: float = 50.0, fraction: float = 0.05) -> Linear:
     """A correction to a fitted model, on the base's scaling, no longer than a fraction of it."""
     z = (x - base.mean) / base.scale

@@ -37,7 +37,7 @@ class Fit:
     n: float
 
 
-def _features(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+def features_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     return np.concatenate([np.ones((len(x), 1)), x, batch.column(batch.schema.get_field_index("y")).to_numpy(zero_copy_only=False)[:, None]], 1)
 
@@ -52,7 +52,7 @@ def merged(rows: DataFrame, width: int, shifts: dict[int, np.ndarray], weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int, int], np.ndarray] = {}
         for b in batches:
-            z = _features(b, width)
+            z = features_of(b, width)
             spec, fold = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("spec", "fold"))
             for s, f in np.unique(np.stack([spec, fold], 1), axis=0).tolist():
                 own = z[(spec == s) & (fold == f)] - shifts[s]
@@ -112,6 +112,37 @@ def target_scale(rows: DataFrame, folds: list[int]) -> dict[tuple[int, int], flo
     return {(r.spec, r.k): max(r.d / MAD, r.s, 1e-6) for r in off.groupBy("spec", "k").agg(F.median(F.abs(F.col("y") - F.col("m"))).alias("d"), F.first("s").alias("s")).collect()}
 
 
+def huber_steps(fits: dict, scaling: dict, loadings: dict, counts: dict, sigma: dict[tuple[int, int], float], alpha: float, epsilon: float, tol: float, again: Callable[[Callable], dict]) -> dict:
+    """Huber fits from the least-squares ones, all at once: (coef, intercept, variance) by (spec, fold).
+
+    again(weights) makes a pass over the rows: sums of weighted moments by (spec, fold), where weights(spec, fold, z) gives
+    the weights of rows z = (1, features, target) and what is added to their targets' products beside them, or None.
+    """
+    fits = dict(fits)
+    for step in range(TIMES):
+        now, whole = {key: f[:2] for key, f in fits.items()}, NEWTON[0] <= step < NEWTON[1]
+
+        def weights(s: int, k: int, z: np.ndarray, now=now, whole=whole) -> tuple[np.ndarray, np.ndarray | None]:
+            coef, intercept = now[s, k]
+            u = (z[:, -1] - (z[:, 1:-1] - scaling[s, k][0]) / scaling[s, k][1] @ coef - intercept) / sigma[s, k]
+            far = np.abs(u) > epsilon
+            if whole:  # the minimum of the quadratic piece that holds this fit
+                return (~far).astype(float), np.where(far, np.sign(u) * epsilon * sigma[s, k], 0.0)
+            return np.where(far, epsilon / np.maximum(np.abs(u), 1e-300), 1.0), None
+
+        moved = 0.0
+        for key, m in again(weights).items():
+            if m[0, 0] < len(m) - 1:  # too few rows inside for a piece of their own
+                moved = 1.0
+                continue
+            new = solved(m, scaling[key], alpha * counts[key], loadings[key])
+            moved = max(moved, float(np.abs(np.append(new[0] - fits[key][0], new[1] - fits[key][1])).max()) / sigma[key])
+            fits[key] = new
+        if moved < tol:
+            break
+    return fits
+
+
 def fold_fits(rows: DataFrame, folds: list[int], kind: str = "ridge", alpha: float = 1.0, epsilon: float = 1.35, n_components: int | None = None, tol: float = 1e-8) -> dict[tuple[int, int], Fit]:
     """A model for each (spec, fold) from the rows of all other folds. rows: spec int, fold int, x array<double> (one length), y double; rows that are not finite, or of no fold, must be out.
 
@@ -138,33 +169,20 @@ def fold_fits(rows: DataFrame, folds: list[int], kind: str = "ridge", alpha: flo
         fits[key] = solved(m, scaling[key], alpha if kind == "ridge" else max(alpha * m[0, 0], 1e-8), loadings[key])
     if kind == "huber":
         rows = written(rows.select("spec", "fold", "x", "y"), "huber_rows")
-        sigma = target_scale(rows, folds)
-        for step in range(TIMES):
-            now, whole = {key: f[:2] for key, f in fits.items()}, NEWTON[0] <= step < NEWTON[1]
 
-            def weights(spec: int, fold: int, z: np.ndarray, now=now, whole=whole):
-                for (s, k), (coef, intercept) in now.items():
+        def again(weights: Callable) -> dict[tuple[int, int], np.ndarray]:
+            def of_others(spec: int, fold: int, z: np.ndarray):
+                for s, k in fits:
                     if s == spec and k != fold:
-                        u = (z[:, -1] - (z[:, 1:-1] - scaling[s, k][0]) / scaling[s, k][1] @ coef - intercept) / sigma[s, k]
-                        far = np.abs(u) > epsilon
-                        if whole:  # the minimum of the quadratic piece that holds this fit
-                            yield k, (~far).astype(float), np.where(far, np.sign(u) * epsilon * sigma[s, k], 0.0)
-                        else:
-                            yield k, np.where(far, epsilon / np.maximum(np.abs(u), 1e-300), 1.0), None
+                        yield k, *weights(s, k, z)
 
             sums: dict[tuple[int, int], np.ndarray] = {}
-            for (s, _, k), m in merged(rows, width, shifts, weights).items():
+            for (s, _, k), m in merged(rows, width, shifts, of_others).items():
                 sums[s, k] = sums.get((s, k), 0) + m
-            moved = 0.0
-            for key, m in sums.items():
-                if m[0, 0] < width + 1:  # too few rows inside for a piece of their own
-                    moved = 1.0
-                    continue
-                new = solved(m, scaling[key], alpha * train[key][0, 0], loadings[key])
-                moved = max(moved, float(np.abs(np.append(new[0] - fits[key][0], new[1] - fits[key][1])).max()) / sigma[key])
-                fits[key] = new
-            if moved < tol:
-                break
+            return sums
+
+        counts = {key: m[0, 0] for key, m in train.items()}
+        fits = huber_steps(fits, scaling, loadings, counts, target_scale(rows, folds), alpha, epsilon, tol, again)
         for key, m in train.items():  # what is left of the unweighted training rows
             _, mu, cov = centred(m)
             c = fits[key][0] / scaling[key][1]

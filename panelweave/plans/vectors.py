@@ -375,6 +375,15 @@ def strict_evaluation(s, d):
     return E.summary(m, ["mae_log", "mape_pop_pct", "crps", "residual_corr", "signal_corr", "adjusted_mape"])
 
 
+@query()
+def strict_kernels(s, d):
+    """Kernel ridge on the blocks of every spec, by landmarks, with the training mean taken off."""
+    from ..operators import evaluate as E
+
+    e = E.strict_errors(strict_panel(s, d), [1, 2, 3, 4, 5], ["embeddings", "mem", "embeddings_mem_only"], "kernel_ridge", alpha=0.5, centre=True)
+    return E.summary(E.fold_metrics(e, s.createDataFrame([(k, 0.05 * k) for k in range(1, 6)], "fold int, share double"), ["mem", "embeddings_mem_only"]), ["mae_log", "mape_pop_pct", "crps", "signal_corr", "adjusted_mape"])
+
+
 @query()
 def post_censal_trajectory(s, d):
     from ..operators import evaluate as E

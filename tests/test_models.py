@@ -47,8 +47,8 @@ def test_elastic_net(data):
 def test_kernel_ridge_interpolates(data):
     x, y = data
     for name in ("rbf", "laplacian"):
-        assert np.abs(M.kernel_ridge(x, y, x, 1e-8, name) - y).max() < 1e-2
-    assert M.kernel_features(x, x[:5])[1].shape == (5, 200)
+        assert np.abs(KE.kernel_ridge(x, y, x, 1e-8, name) - y).max() < 1e-2
+    assert KE.kernel_features(x, x[:5])[1].shape == (5, 200)
 
 
 def test_capped_delta(data):
