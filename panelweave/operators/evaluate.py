@@ -44,11 +44,15 @@ def work_list(panel: DataFrame, folds: list[int], specs: list[str]) -> DataFrame
     return out.withColumns({"item": F.concat_ws("|", "k", "model"), "test": F.col("fold") == F.col("k")})
 
 
-def spec_rows(panel: DataFrame, specs: list[str], residual: dict[str, bool]) -> DataFrame:
-    """A row of the panel for each spec that has features: spec (its place in the list), x padded with zeros to one length, y. Nothing is copied by fold."""
+def spec_lengths(panel: DataFrame, specs: list[str]) -> dict[str, int]:
+    """The number of features of each spec."""
     blocks = sorted({b for s in specs for b in SPECS[s][0]})
     widths = panel.select(*[F.max(F.size(b)).alias(b) for b in blocks]).first()
-    length = {s: sum(widths[b] or 0 for b in SPECS[s][0]) for s in specs}
+    return {s: sum(widths[b] or 0 for b in SPECS[s][0]) for s in specs}
+
+
+def spec_rows(panel: DataFrame, specs: list[str], residual: dict[str, bool], length: dict[str, int]) -> DataFrame:
+    """A row of the panel for each spec that has features: spec (its place in the list), x padded with zeros to one length, y. Nothing is copied by fold."""
     parts = []
     for i, s in enumerate(specs):
         x = F.concat(*[F.col(b).cast("array<double>") for b in SPECS[s][0]])
@@ -64,26 +68,24 @@ def strict_errors(panel: DataFrame, folds: list[int], specs: list[str], kind: st
 
     Ridge and Huber fits (options: alpha, epsilon, n_components) come from merged moments of all folds and specs, so that
     no task holds a training set; kernel_ridge and kernel_huber (options: name, alpha, epsilon, gamma, landmarks) from
-    merged moments of kernel columns, a spec at a time, for each has its own width.
+    merged moments of kernel columns.
     Other kinds and options, or grouped, fit each (fold, spec) in one task of its own.
     """
-    if kind in KINDS:
-        parts = []
-        for s in (s for s in specs if SPECS[s][0]):
-            rows = spec_rows(panel, [s], {s: SPECS[s][1]}).where(F.col("fold").isNotNull())
-            found = held_out(rows.select("fips", "state", "fold", "y_log", "pep_log", "spec", "x", "y"), folds, kind, **options)
-            parts.append(found.select("*", F.lit(s).alias("model"), F.lit(SPECS[s][1]).alias("residual")))
-        scored = reduce(DataFrame.unionByName, parts)
-    elif grouped or kind not in ("huber", "ridge") or set(options) - {"alpha", "epsilon", "n_components"}:
+    if kind not in KINDS and (grouped or kind not in ("huber", "ridge") or set(options) - {"alpha", "epsilon", "n_components"}):
         items = work_list(panel, folds, specs)
         models = fits(items.where(~F.col("test")), "item", "x", "target", kind, **options)
         scored = items.where("test").join(F.broadcast(models), "item")  # folds x specs rows
     else:
         named = [s for s in specs if SPECS[s][0]]
-        rows = spec_rows(panel, named, {s: SPECS[s][1] for s in named})
-        found = model_rows(fold_fits(rows.where(F.col("fold").isNotNull()), folds, kind, **options), panel.sparkSession)
-        told = found.select("*", F.element_at(F.array(*map(F.lit, named)), F.col("spec") + 1).alias("model"), F.element_at(F.array(*[F.lit(SPECS[s][1]) for s in named]), F.col("spec") + 1).alias("residual"))
-        scored = rows.join(F.broadcast(told.withColumnRenamed("k", "fold")), ["spec", "fold"])  # folds x specs rows
+        length = spec_lengths(panel, named)
+        rows = spec_rows(panel, named, {s: SPECS[s][1] for s in named}, length)
+        known_folds = rows.where(F.col("fold").isNotNull())
+        told = {"model": F.element_at(F.array(*map(F.lit, named)), F.col("spec") + 1), "residual": F.element_at(F.array(*[F.lit(SPECS[s][1]) for s in named]), F.col("spec") + 1)}
+        if kind in KINDS:
+            scored = held_out(known_folds, folds, kind, lengths=[length[s] for s in named], **options).withColumns(told)
+        else:
+            found = model_rows(fold_fits(known_folds, folds, kind, **options), panel.sparkSession).withColumns(told)
+            scored = rows.join(F.broadcast(found.withColumnRenamed("k", "fold")), ["spec", "fold"])  # folds x specs rows
     raw = F.col("raw") if kind in KINDS else predicted(F.col("x"))
     pred = F.when(F.col("residual"), F.col("pep_log") + raw).otherwise(raw)
     own = scored.select("fips", "state", "fold", "model", "y_log", "pep_log", pred.alias("pred_log"), "sigma")

@@ -3,7 +3,8 @@
 Each (spec, fold) has landmarks: the distinct training features with the smallest
 hashes, at most ``landmarks`` of them; they come from sketches of the smallest
 hashes that tasks keep and merge. A row is its kernel columns against them, which
-a task makes as it reads the row and never writes. Sums of products of those columns merge by matrix row as for linear fits.
+a task makes as it reads the row and never writes. Sums of products of those columns merge by
+blocks of matrix rows, first over groups of tasks.
 Ridge: f(x) = sum of c_j k(x, l_j), least sum of squares plus alpha times f's
 squared norm, without an intercept. With no more distinct training features than
 landmarks this is the exact kernel ridge regression. Huber: the columns are standardised
@@ -30,7 +31,7 @@ from ..sources.sinks import written
 from .models import standard
 from .moments import centred, features_of, huber_steps, merged, solved, target_scale
 
-NEAR, SAMPLE, LANDMARKS, MERGERS = 8, 1024, 256, 64
+NEAR, SAMPLE, LANDMARKS, MERGERS, BLOCK = 8, 1024, 256, 64, 32
 KINDS = {"kernel_ridge", "kernel_huber"}
 
 
@@ -91,7 +92,7 @@ class Site:
     gamma: float
 
     def columns(self, x: np.ndarray) -> np.ndarray:
-        return kernel((x - self.mean) / self.scale, self.points, self.name, self.gamma)
+        return kernel((x[:, : len(self.mean)] - self.mean) / self.scale, self.points, self.name, self.gamma)
 
 
 def smallest(rows: DataFrame, most: int) -> DataFrame:
@@ -118,7 +119,7 @@ def smallest(rows: DataFrame, most: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(W.partitionBy("spec", "fold").orderBy("h"))).where(F.col("n") <= most).drop("n")
 
 
-def sites_of(rows: DataFrame, folds: list[int], width: int, shifts: dict[int, np.ndarray], name: str, gamma: float | None, landmarks: int) -> dict[tuple[int, int], Site]:
+def sites_of(rows: DataFrame, folds: list[int], width: int, shifts: dict[int, np.ndarray], name: str, gamma: float | None, landmarks: int, lengths: list[int] | None = None) -> dict[tuple[int, int], Site]:
     """Scaling, landmarks and kernel width of each (spec, fold), all from the rows of other folds."""
     own = {key[:2]: m for key, m in merged(rows, width, shifts).items()}
     drawn: dict[tuple[int, int], list[tuple[int, list[float]]]] = {}
@@ -130,12 +131,13 @@ def sites_of(rows: DataFrame, folds: list[int], width: int, shifts: dict[int, np
             m = sum(m for (t, f), m in own.items() if t == s and f != k)
             if not isinstance(m, np.ndarray) or m[0, 0] < 0.5:
                 continue
+            d = lengths[s] if lengths else width
             _, mu, cov = centred(m)
-            scale = np.sqrt(np.maximum(np.diag(cov)[:width], 0))
+            scale = np.sqrt(np.maximum(np.diag(cov)[:d], 0))
             scale = np.where(scale < 1e-8, 1.0, scale)
-            mean = mu[:width] + shifts[s][1:-1]
+            mean = mu[:d] + shifts[s][1 : d + 1]
             points = dict(p for (t, f), ps in drawn.items() if t == s and f != k for p in ps)
-            sample = (np.array([points[h] for h in sorted(points)[: max(SAMPLE, landmarks)]], float).reshape(-1, width) - mean) / scale
+            sample = (np.array([points[h] for h in sorted(points)[: max(SAMPLE, landmarks)]], float).reshape(-1, width)[:, :d] - mean) / scale
             sites[s, k] = Site(mean, scale, sample[:landmarks], name, gamma or width_of(sample[:SAMPLE], name))
     return sites
 
@@ -161,8 +163,8 @@ def lifted(rows: DataFrame, width: int, sites: dict[tuple[int, int], Site], shif
                     total[s, k] = total.get((s, k), 0) + m
         part = TaskContext.get().partitionId() % MERGERS
         for (s, k), m in total.items():
-            n = len(m)
-            yield pa.RecordBatch.from_arrays([*[pa.array([v] * n, pa.int32()) for v in (s, k, part)], pa.array(range(n), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["spec", "k", "part", "i", "v"])
+            blocks = [m[i : i + BLOCK].ravel() for i in range(0, len(m), BLOCK)]
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(blocks), pa.int32()) for v in (s, k, part)], pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.list_(pa.float64()))], ["spec", "k", "part", "i", "v"])
 
     def added(t: pa.Table) -> pa.Table:
         v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1).sum(0)
@@ -173,7 +175,8 @@ def lifted(rows: DataFrame, width: int, sites: dict[tuple[int, int], Site], shif
     got = got.groupBy("spec", "k", "i", "part").applyInArrow(added, schema).groupBy("spec", "k", "i").applyInArrow(added, schema).collect()
     out: dict[tuple[int, int], np.ndarray] = {}
     for r in got:
-        out.setdefault((r.spec, r.k), np.zeros((len(r.v), len(r.v))))[r.i] = r.v
+        n = len(sites[r.spec, r.k].points) + 2
+        out.setdefault((r.spec, r.k), np.zeros((n, n)))[r.i * BLOCK : (r.i + 1) * BLOCK] = np.reshape(r.v, (-1, n))
     return out
 
 
@@ -193,14 +196,14 @@ def spread(m: np.ndarray, coef: np.ndarray) -> float:
     return max(float(max(c @ cov @ c, 0.0)) ** 0.5, 1e-6)
 
 
-def held_out(rows: DataFrame, folds: list[int], kind: str = "kernel_ridge", name: str = "rbf", alpha: float = 1.0, epsilon: float = 1.35, gamma: float | None = None, landmarks: int = LANDMARKS, centre: bool = False, tol: float = 1e-8) -> DataFrame:
+def held_out(rows: DataFrame, folds: list[int], kind: str = "kernel_ridge", name: str = "rbf", alpha: float = 1.0, epsilon: float = 1.35, gamma: float | None = None, landmarks: int = LANDMARKS, centre: bool = False, lengths: list[int] | None = None, tol: float = 1e-8) -> DataFrame:
     """rows with raw (the prediction for y by the model of all other folds) and sigma (deviation of that model's training residuals).
 
     rows: spec int, fold int, x array<double> (one length), y double, all finite, and any other columns but raw and sigma.
     Rows of other folds than ``folds`` train and get no prediction; a fold without training rows gets none either. Rows
     with equal features count as often as they stand there, and make one landmark. centre takes the training mean off
-    the targets of a ridge fit: without it predictions fall to 0 far from all landmarks, which matters where they are few
-    and the targets are not near 0.
+    the targets of a ridge fit. lengths: how many leading features count, by spec. Without centring
+    predictions fall to 0 far from all landmarks, which matters where they are few and the targets are not near 0.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
@@ -212,7 +215,7 @@ def held_out(rows: DataFrame, folds: list[int], kind: str = "kernel_ridge", name
     rows = written(rows, "kernel_rows")  # read by every pass
     means = rows.groupBy("spec").agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)], F.avg("y").alias("my")).collect()
     shifts = {r.spec: np.array([0.0, *r[1:]]) for r in means}
-    sites = sites_of(rows, folds, width, shifts, name, gamma, landmarks)
+    sites = sites_of(rows, folds, width, shifts, name, gamma, landmarks, lengths)
     sums = lifted(rows, width, sites, shifts)
     found: dict[tuple[int, int], tuple[np.ndarray, float, float]] = {}
     if kind == "kernel_ridge":

@@ -85,3 +85,19 @@ def test_empty_and_one_fold(data):
     assert K.held_out(df.where("fold = 1"), [1]).count() == 0
     with pytest.raises(ValueError):
         K.held_out(df, [1], "kernel_forest")
+
+
+def test_specs_of_different_lengths_together(spark, data):
+    """Specs fitted at once, the shorter padded with zeros, as if each were alone."""
+    from panelweave.operators import evaluate as E
+
+    x, y, fold, df = data
+    panel = df.selectExpr("CAST(id AS STRING) AS fips", "'00' AS state", "fold", "x AS embeddings", "slice(x, 1, 1) AS mem", "y AS y_log", "y - x[0] AS pep_log")
+    got = {(r.model, int(r.fips)): r.pred_log for r in E.strict_errors(panel, [1, 2, 3], ["pep", "mem", "embeddings_only"], "kernel_ridge", alpha=0.3).collect()}
+    for k in (1, 2, 3):
+        at, test = fold != k, fold == k
+        want = K.kernel_ridge(x[at], y[at], x[test], 0.3)
+        assert [got["embeddings_only", i] for i in np.flatnonzero(test)] == pytest.approx(want, abs=1e-6)
+        want = (y - x[:, 0])[test] + K.kernel_ridge(x[at, :1], x[at, 0], x[test, :1], 0.3)
+        assert [got["mem", i] for i in np.flatnonzero(test)] == pytest.approx(want, abs=1e-6)
+    assert len(got) == 450
