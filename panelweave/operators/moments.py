@@ -112,30 +112,33 @@ def target_scale(rows: DataFrame, folds: list[int]) -> dict[tuple[int, int], flo
     return {(r.spec, r.k): max(r.d / MAD, r.s, 1e-6) for r in off.groupBy("spec", "k").agg(F.median(F.abs(F.col("y") - F.col("m"))).alias("d"), F.first("s").alias("s")).collect()}
 
 
-def huber_steps(fits: dict, scaling: dict, loadings: dict, counts: dict, sigma: dict[tuple[int, int], float], alpha: float, epsilon: float, tol: float, again: Callable[[Callable], dict]) -> dict:
+def huber_steps(fits: dict, scaling: dict, loadings: dict, counts: dict, sigma: dict[tuple[int, int], float], alpha: float | dict, epsilon: float | dict, tol: float, again: Callable[[Callable], dict]) -> dict:
     """Huber fits from the least-squares ones, all at once: (coef, intercept, variance) by (spec, fold).
 
     again(weights) makes a pass over the rows: sums of weighted moments by (spec, fold), where weights(spec, fold, z) gives
     the weights of rows z = (1, features, target) and what is added to their targets' products beside them, or None.
+    alpha and epsilon may differ by (spec, fold).
     """
     fits = dict(fits)
+    alpha, epsilon = (v if isinstance(v, dict) else dict.fromkeys(fits, v) for v in (alpha, epsilon))
     for step in range(TIMES):
         now, whole = {key: f[:2] for key, f in fits.items()}, NEWTON[0] <= step < NEWTON[1]
 
         def weights(s: int, k: int, z: np.ndarray, now=now, whole=whole) -> tuple[np.ndarray, np.ndarray | None]:
             coef, intercept = now[s, k]
             u = (z[:, -1] - (z[:, 1:-1] - scaling[s, k][0]) / scaling[s, k][1] @ coef - intercept) / sigma[s, k]
-            far = np.abs(u) > epsilon
+            e = epsilon[s, k]
+            far = np.abs(u) > e
             if whole:  # the minimum of the quadratic piece that holds this fit
-                return (~far).astype(float), np.where(far, np.sign(u) * epsilon * sigma[s, k], 0.0)
-            return np.where(far, epsilon / np.maximum(np.abs(u), 1e-300), 1.0), None
+                return (~far).astype(float), np.where(far, np.sign(u) * e * sigma[s, k], 0.0)
+            return np.where(far, e / np.maximum(np.abs(u), 1e-300), 1.0), None
 
         moved = 0.0
         for key, m in again(weights).items():
             if m[0, 0] < len(m) - 1:  # too few rows inside for a piece of their own
                 moved = 1.0
                 continue
-            new = solved(m, scaling[key], alpha * counts[key], loadings[key])
+            new = solved(m, scaling[key], alpha[key] * counts[key], loadings[key])
             moved = max(moved, float(np.abs(np.append(new[0] - fits[key][0], new[1] - fits[key][1])).max()) / sigma[key])
             fits[key] = new
         if moved < tol:

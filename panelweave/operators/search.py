@@ -76,7 +76,7 @@ class Density:
 
 def ask(space: dict[str, dict], told: list[tuple[dict, float | None]], pending: list[dict], seed: int, largest: bool = True) -> dict:
     """The next set of parameters. told: parameters and scores of finished trials, None where one failed; pending: what has been asked for and not told."""
-    rng = random.Random(seed)
+    rng = random.Random(f"ask {seed}")  # mixed by a hash: neighbouring numbers give like first draws
     done = sorted(((p, s) for p, s in told if s is not None and math.isfinite(s)), key=lambda x: x[1], reverse=largest)
     if len(done) < STARTUP:
         return draw(space, rng)
