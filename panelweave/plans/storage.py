@@ -93,6 +93,30 @@ def streamed_daily_totals(s, d):
     return t.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", r("total", 3).alias("total"))
 
 
+_ONLINE = "WITH " + B.PANEL + """, p AS (SELECT (ln(base) - 12) / 2 AS z, ln(truth) - ln(base) - 0.5 * (ln(base) - 12) / 2 - 0.1 AS t FROM panel),
+ m AS (SELECT count(*)::DOUBLE AS n, covar_pop(z, t) / (var_pop(z) + 0.05) AS c, avg(t) AS mt, avg(z) AS mz FROM p), f AS (SELECT n, c, mt - c * mz AS i, sqrt(c * c + (mt - c * mz) * (mt - c * mz)) AS l, 0.05 * sqrt(0.26) AS most FROM m)
+ SELECT n, l > most AS shortened, round(c * least(1, most / l), 6) AS delta, round(i * least(1, most / l), 6) AS shift FROM f"""
+
+
+@query(_ONLINE)
+def streamed_model_updates(s, d):
+    """The panel in several files, a micro batch each: the last correction of a model with one feature, bounded."""
+    import numpy as np
+
+    from ..operators.models import Linear
+    from ..streaming import online
+
+    source, out = folder(s, "panel_files"), folder(s, "model_states")
+    rows = B.panel(s, d).select("fips", F.array(F.log("base")).alias("x"), (F.log("truth") - F.log("base")).alias("y"))
+    rows.repartition(3, "fips").write.parquet(source)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    base = Linear(np.array([12.0]), np.array([2.0]), np.array([0.5]), 0.1, 1.0)
+    online.update_stream(stream, base, out, folder(s, "model_checkpoint"), "panel", 0.05).awaitTermination()
+    last = online.states(s, out).read(online.STATE)
+    last = last.agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "shortened", "delta", "shift")])
+    return last.select("n", "shortened", r(F.col("delta")[0]).alias("delta"), r("shift").alias("shift"))
+
+
 @query("SELECT o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY o_orderkey")
 def ledger_appends(s, d):
     """Batches that overlap, one of them twice, an empty one: each key once."""
