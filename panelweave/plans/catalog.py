@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, features, geometry, relational, storage, tuners, vectors  # noqa: F401  (their queries register on import)
+from . import alignment, attached, features, geometry, relational, storage, tuners, vectors  # noqa: F401  (their queries register on import)
 from .registry import ORACLE, QUERIES, Query
 
 
