@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import zfill
 from ..operators import align as A
+from ..operators import epochs as E
 from ..sources.sinks import shared_folder
 from . import base as B
 from .registry import query
@@ -118,3 +119,20 @@ def json_encoded(s, d):
     n = B.table(s, d, "nation")
     cols = {"region": F.col("n_regionkey"), "name": F.col("n_name"), "key": F.col("n_nationkey")}
     return n.select("n_nationkey", F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)])).alias("payload"), F.to_json(F.array("n_nationkey", "n_regionkey", F.lit(1))).alias("affine"))
+
+
+@query("""WITH c AS (SELECT count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL INTERSECT SELECT vec_id FROM embeddings)) SELECT CAST(e AS INT) AS epoch, n, n AS n_positions, CAST(0 AS BIGINT) AS low, n - 1 AS high, n AS n_agree, CAST(ceil(n / 64.0) AS BIGINT) AS n_batches FROM c, range(3) AS t(e)""")
+def aligned_epochs(s, d):
+    """Documents and embeddings of the same number as two modalities, three epochs: every sample once, at the same place in both."""
+    texts = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang").dropDuplicates(["id"])
+    vectors = B.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    frames = {"texts": texts, "vectors": vectors}
+    index, n = E.numbered(E.common_samples(frames, ["id"]), ["id"])
+    out = None
+    for e in range(3):
+        a, b = (E.in_order(f, index, n, ["id"], e, 64) for f in frames.values())
+        both = a.join(b.select("id", F.col("position").alias("other")), "id")
+        agree = F.sum((F.col("position") == F.col("other")).cast("long"))
+        row = both.agg(F.lit(e).alias("epoch"), F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("n_positions"), F.min("position").alias("low"), F.max("position").alias("high"), agree.alias("n_agree"), F.countDistinct("batch").alias("n_batches"))
+        out = row if out is None else out.unionByName(row)
+    return out
