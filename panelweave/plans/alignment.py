@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import zfill
 from ..operators import align as A
 from ..operators import epochs as E
+from ..operators import losses as L
 from ..sources.sinks import shared_folder
 from . import base as B
 from .registry import query
@@ -136,3 +137,19 @@ def aligned_epochs(s, d):
         row = both.agg(F.lit(e).alias("epoch"), F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("n_positions"), F.min("position").alias("low"), F.max("position").alias("high"), agree.alias("n_agree"), F.countDistinct("batch").alias("n_batches"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), b AS (SELECT vec_id, 1 AS j, (vec_id % 7)::DOUBLE AS w FROM embeddings UNION ALL SELECT vec_id, 2, (vec_id % 11)::DOUBLE FROM embeddings),
+ c AS (SELECT i, j, count(*) AS n, covar_pop(v, w) / stddev_pop(v) / stddev_pop(w) * count(*) / (count(*) - 1) AS c FROM x JOIN b USING (vec_id) GROUP BY i, j) SELECT max(n) AS n, round(avg(c * c), 8) AS penalty FROM c""")
+def linear_dependence(s, d):
+    e = B.table(s, d, "embeddings").select("embedding", F.array(F.col("vec_id") % 7, F.col("vec_id") % 11).alias("other"))
+    return L.dependence(e, "embedding", "other").select("n", r("penalty", 8).alias("penalty"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS src, l_partkey AS dst, max(l_extendedprice) AS sim, l_partkey * 7919 % 10007 + l_partkey / 100000.0 AS dist FROM lineitem GROUP BY ALL),
+ k AS (SELECT src, count(*) OVER w AS n, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) - row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS off FROM p WINDOW w AS (PARTITION BY src)) SELECT src, n, round(avg(pow(off / (n - 1.0), 2)), 6) AS hard FROM k WHERE n >= 2 GROUP BY src, n""")
+def geo_rank_hard_losses(s, d):
+    """Parts as neighbours of their suppliers: how far the order by price is from the order by a made distance."""
+    i = B.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.max("l_extendedprice").alias("similarity"))
+    pairs = i.withColumn("distance", F.col("dst") * 7919 % 10007 + F.col("dst") / 100000.0)
+    return L.geo_rank_losses(pairs, 0.1).select("src", "n", r("hard").alias("hard"))
