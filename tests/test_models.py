@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import embed, evaluate as E, folds, graph as G, hypothesis as H, models as M, tuning
+from panelweave.operators import embed, evaluate as E, folds, graph as G, hypothesis as H, kernels as KE, models as M, tuning
 
 
 @pytest.fixture(scope="module")
