@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,7 +33,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-KEEP = 200_000  # new entries of each of a worker's caches after which older ones go
+KEEP = 500_000  # new entries of each of a worker's caches after which older ones go
+PAIRS = 800_000  # answers about pairs of tokens that are kept
+NOT_LATIN = "\u0250"
 TWO_BLANKS = re.compile(r"\s\s")
 LONG = 48  # characters of a piece from which it is not kept
 
@@ -57,6 +60,8 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.packed = [struct.pack("<I", i) for i in range(len(self.tokens))]
+        self.whole = {token.decode(): self.packed[rank] for token, rank in self.ranks.items() if token.isascii()}
         self.kept: dict[str, bytes] = _Kept(self.encode_piece)
         self.words: dict[str, bytes] = _Kept(self._encode_word)
 
@@ -89,7 +94,7 @@ class Codec:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * KEEP:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._stays(left, right)
         return known
@@ -153,16 +158,41 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else self.read(self.extend(data, []))
-        return np.array(ids, "<u4").tobytes()
+        if (whole := self.whole.get(piece)) is not None:
+            return whole
+        data = piece if piece.isascii() else piece.encode().decode("latin-1")
+        # extend() on an empty table
+        last, done, size, pairs = [], 0, self.size, self.pairs
+        for end, rank in self.automaton.iter(data):
+            if end < done:
+                continue
+            start = end + 1 - size[rank]
+            if start > 0:
+                stays = pairs.get(last[start - 1] << 20 | rank)
+                if not (self.stays(last[start - 1], rank) if stays is None else stays):
+                    continue
+            elif start < 0:
+                continue
+            last.append(rank)
+            done = end + 1
+        out, i, packed = [], done, self.packed
+        while i > 0:
+            rank = last[i - 1]
+            out.append(packed[rank])
+            i -= size[rank]
+        out.reverse()
+        return b"".join(out)
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def _encode_word(self, word: str) -> bytes:
-        """Ids of a word and the space before it."""
+        """Ids of a word and the space before it. Latin letters are one piece, a point or comma behind them another."""
+        if word and max(word) < NOT_LATIN:
+            if word.isalpha():
+                return self.encode_piece(" " + word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.kept[word[-1]]
         return b"".join(map(self.kept.__getitem__, self.split(" " + word)))
 
     def encode(self, text: str) -> bytes:

@@ -33,6 +33,23 @@ def test_like_the_library(codec, library):
         assert codec.encode(t) == library(t), repr(t[:40])
 
 
+def test_words_of_letters(codec, library):
+    rng = random.Random(7)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCéßñøƵɏɐªº¹'.,;!?ʼ1_") for _ in range(rng.randint(1, 12))) + rng.choice([".", ",", "", "!", "?:", "'s", "'s."])
+        assert codec.encode(f"x {word} y") == library(f"x {word} y"), word
+
+
+def test_many_words_stay_known(codec):
+    """A corpus of half a million words is encoded once a word, not once an occurrence."""
+    made = []
+    kept = bpe._Kept(lambda w: made.append(w) or b"")
+    for _ in range(2):
+        for i in range(480_000):
+            kept[f"w{i}"]
+    assert len(made) == 480_000
+
+
 def test_round_trip(codec):
     for t in texts(2000, 1):
         assert codec.decode(codec.encode(t)) == t.encode()
