@@ -11,12 +11,13 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
 
+ENTRIES = 50_000  # neighbours that a task works on at a time, or one node's
 LOSS = "n long, soft double, hard double, dst array<{0}>, gradient array<double>"
 
 
@@ -75,13 +76,22 @@ def geo_rank_losses(pairs: DataFrame, strength: float = 1.0, normalised: bool =
     lists = lists.where(F.size("_l") >= 2).select("src", F.col("_l.dst").alias("dst"), F.col("_l.d").alias("d"), F.col("_l.s").alias("s"))
     least = max(strength, 1e-6)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            found = [rank_loss(np.asarray(s, float), np.asarray(d, float), least, normalised) for s, d in zip(p["s"], p["d"], strict=True)]
-            yield pd.DataFrame({"src": p["src"], "n": [len(s) for s in p["s"]], "soft": [f[0] for f in found], "hard": [f[1] for f in found], "dst": p["dst"], "gradient": [f[2].tolist() for f in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, begin = b.column(1).value_lengths().to_numpy().cumsum(), 0
+            while begin < b.num_rows:
+                so_far = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, so_far + ENTRIES, side="right")))
+                rows = b.slice(begin, end - begin)
+                at = np.r_[0, ends[begin:end] - so_far]
+                d, s = (rows.column(i).flatten().to_numpy() for i in (2, 3))
+                found = [rank_loss(s[i:j], d[i:j], least, normalised) for i, j in zip(at, at[1:])]
+                gradient = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([f[2] for f in found])))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(at), pa.int64()), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), rows.column(1), gradient], ["src", "n", "soft", "hard", "dst", "gradient"])
+                begin = end
 
     kinds = dict(pairs.dtypes)
-    return lists.mapInPandas(run, f"src {kinds['src']}, {LOSS.format(kinds['dst'])}")
+    return lists.mapInArrow(run, f"src {kinds['src']}, {LOSS.format(kinds['dst'])}")
 
 
 def dependence(rows: DataFrame, a: str, b: str, eps: float = 1e-6) -> DataFrame:

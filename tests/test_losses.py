@@ -1,7 +1,9 @@
 """Soft ranks against the definition, gradients against differences, the penalty against NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from panelweave.operators import losses as L
 
@@ -51,3 +53,22 @@ def test_dependence(spark):
     r = L.dependence(df, "a", "b").first()
     assert r.n == 40 and r.penalty == pytest.approx((((za.T @ zb) / 39) ** 2).mean())
     assert L.dependence(df.limit(1), "a", "b").first().penalty == 0 and L.dependence(df.where("false"), "a", "b").first() == (0, 0.0)
+
+
+def test_losses_in_small_batches(spark, monkeypatch):
+    """A task gives its nodes in batches of few neighbours, whatever it holds: memory follows from that bound."""
+    made = {}
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, **k: made.setdefault("f", f) and self)
+    L.geo_rank_losses(spark.range(1).selectExpr("id AS src", "id AS dst", "1D AS distance", "1D AS similarity"), 0.1)
+    rng = np.random.default_rng(4)
+    n, k = 400, 600
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(x.ravel()))
+    dst, d, s = np.tile(np.arange(k), (n, 1)), rng.random((n, k)), rng.random((n, k))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists(dst), lists(d), lists(s)], ["src", "dst", "d", "s"])
+    parts = list(made["f"]([batch.slice(0, 0), batch.slice(3)]))
+    assert max(sum(p["n"].to_pylist()) for p in parts) <= L.ENTRIES
+    got = pa.Table.from_batches(parts).to_pylist()
+    assert [r["src"] for r in got] == list(range(3, n))
+    for i in (3, 200, 399):
+        soft, hard, gradient = L.rank_loss(s[i], d[i], 0.1, True)
+        assert (got[i - 3]["soft"], got[i - 3]["hard"], got[i - 3]["gradient"], got[i - 3]["dst"]) == (soft, hard, gradient.tolist(), list(range(k)))
