@@ -8,6 +8,11 @@ tasks sum up for their own rows. What reaches the driver is the projected
 matrix, whose size follows from the number of vectors alone; a task holds a
 batch of rows. Every block is a written table, so a lost executor costs no more
 than one step.
+
+The basis has a bounded number of vectors for each node: when it is full, the
+best Ritz vectors take its place and the iteration goes on from them (a thick
+restart). A table goes as soon as the next one is written, and what a step has
+shuffled goes with the step, so that disk does not grow with the steps.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..sources.sinks import written
+from ..sources.files import removed
+from ..sources.sinks import new_path, shuffles_removed, written
 
 SPARE = 8  # vectors of a block beyond those asked for
-STEPS = 30
+STEPS = 300
+BLOCKS, KEPT = 8, 4  # blocks of a basis at most, and how many blocks' worth of Ritz vectors a restart keeps
 SMALL = 5120  # nodes up to which the matrix (210 MB) is solved in one task; all counties of a country are fewer
 
 
@@ -71,8 +78,8 @@ def product(edges: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return nodes.join(met, "node", "left").withColumn("w", F.coalesce("w", F.array_repeat(F.lit(0.0), width)))
 
 
-def orthonormal(rows: DataFrame, n: int, q: int, w: int, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """rows (node, q, w) -> (node, q with the new columns), the coefficients Q'W and the factor R with which W - mean - Q Q'W = new R."""
+def orthonormal(rows: DataFrame, n: int, q: int, w: int) -> tuple[Callable[..., DataFrame], np.ndarray, np.ndarray]:
+    """From rows (node, q, w): the coefficients Q'W and the factor R with which W - mean - Q Q'W = new R, after what writes (node, q with the new columns) to a path; ``turn`` puts Q turn in Q's place there."""
     h1, _, sums = inner_products(rows, q, w)
     mean = sums / n
     step = lambda x, y: y - mean - x @ h1
@@ -84,14 +91,17 @@ def orthonormal(rows: DataFrame, n: int, q: int, w: int, name: str) -> tuple[Dat
     again = rest / n
     both = h1 + h2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = _array(b, "q", q), _array(b, "w", w)
-            new = (y - mean - again - x @ both) @ scale
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), _lists(np.concatenate([x, new], 1))], ["node", "q"])
+    def extended(path: str, turn: np.ndarray | None = None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = _array(b, "q", q), _array(b, "w", w)
+                new = (y - mean - again - x @ both) @ scale
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), _lists(np.concatenate([x if turn is None else x @ turn, new], 1))], ["node", "q"])
+
+        kind = rows.schema["node"].dataType.simpleString()
+        return written(rows.select("node", "q", "w").mapInArrow(run, f"node {kind}, q array<double>"), "basis", path)
 
-    kind = rows.schema["node"].dataType.simpleString()
-    return written(rows.select("node", "q", "w").mapInArrow(run, f"node {kind}, q array<double>"), name), both, (vectors[:, kept] * np.sqrt(values[kept])).T
+    return extended, both, (vectors[:, kept] * np.sqrt(values[kept])).T
 
 
 def _dense(s: DataFrame, nodes: DataFrame, k: int, eps: float, schema: str) -> DataFrame:
@@ -118,33 +128,45 @@ def _dense(s: DataFrame, nodes: DataFrame, k: int, eps: float, schema: str) -> D
     return rows.groupBy("_g").applyInArrow(lambda t: one(t.drop(["_g"])), schema)
 
 
-def moran_basis_of(edges: DataFrame, k: int, row_topk: int, eps: float = 1e-9, tol: float = 1e-8, steps: int = STEPS, seed: int = 0, small: int = SMALL) -> DataFrame:
+def moran_basis_of(
+    edges: DataFrame, k: int, row_topk: int, eps: float = 1e-9, tol: float = 1e-8, steps: int = STEPS, seed: int = 0, small: int = SMALL, blocks: int = BLOCKS, kept: int = KEPT
+) -> DataFrame:
     """(node, basis_index, basis_value, eigenvalue, residual): the k largest eigenpairs over eps of the doubly centred matrix of an edge table.
 
     Vectors have unit length, their largest entry is positive. residual is the length of
     what the matrix makes of a vector less eigenvalue times the vector; the iteration ends when it is under tol times the
-    largest eigenvalue for all k, when the vectors span all that the matrix reaches, or after ``steps`` blocks. A graph of
+    largest eigenvalue for all k, when the vectors span all that the matrix reaches, or after ``steps`` blocks. A basis of
+    ``blocks`` blocks is brought down to ``kept`` blocks' worth of its best vectors. A graph of
     at most ``small`` nodes (they are counted) is solved as a dense matrix in one task.
     """
+    spark = edges.sparkSession
     s = written(symmetric_top(edges, row_topk), "symmetric")
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    ends = written(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct(), "nodes")
     kind = ends.schema["node"].dataType.simpleString()
     schema = f"node {kind}, basis_index int, basis_value double, eigenvalue double, residual double"
     n = ends.count()
     width = min(k + SPARE, max(n - 1, 0))
     if not width:
-        return edges.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     if n <= small:
         return _dense(s, ends, k, eps, schema)
+    with shuffles_removed(spark):
+        return _lanczos(s, ends, n, width, k, eps, tol, steps, seed, max(blocks, kept + 2) * width, kept * width)
+
+
+def _lanczos(s: DataFrame, nodes: DataFrame, n: int, width: int, k: int, eps: float, tol: float, steps: int, seed: int, most: int, kept: int) -> DataFrame:
+    """The same from a basis of at most ``most`` vectors, of which a restart keeps ``kept``."""
+    spark, kind = s.sparkSession, nodes.schema["node"].dataType.simpleString()
+    at = new_path(spark, "lanczos")
     start = F.array(*[F.xxhash64("node", F.lit(seed), F.lit(j)) / float(1 << 63) for j in range(width)])
-    rows, _, first = orthonormal(ends.select("node", F.array().cast("array<double>").alias("q"), start.alias("w")), n, 0, width, "lanczos0")
+    extended, _, first = orthonormal(nodes.select("node", F.array().cast("array<double>").alias("q"), start.alias("w")), n, 0, width)
+    rows = extended(f"{at}/basis0")
     total = width = len(first)
     t = np.zeros((0, 0))
     for step in range(1, steps + 1):
-        if not width:
-            break
-        made = written(product(s, rows, width), f"product{step}")
-        rows, h, r = orthonormal(made, n, total, width, f"lanczos{step}")
+        made = written(product(s, rows, width), "product", f"{at}/product{step}")
+        removed(spark, f"{at}/basis{step - 1}")
+        extended, h, r = orthonormal(made, n, total, width)
         grown = np.zeros((total, total))
         grown[: len(t), : len(t)] = t
         grown[:, total - width :] = h
@@ -152,25 +174,31 @@ def moran_basis_of(edges: DataFrame, k: int, row_topk: int, eps: float = 1e-9, t
         grown[total - width :, total - width :] = (h[total - width :] + h[total - width :].T) / 2
         t = grown
         values, y = np.linalg.eigh(t)
-        top = np.argsort(values)[::-1][:k]
+        order = np.argsort(values)[::-1]
+        top = order[:k]
         residual = np.linalg.norm(r @ y[total - width :, top], axis=0) if len(r) else np.zeros(len(top))
-        width = len(r)
-        if (residual <= tol * max(abs(values).max(initial=0.0), eps)).all() and len(top) == min(k, n - 1):
+        if not len(r) or step == steps or (residual <= tol * max(abs(values).max(initial=0.0), eps)).all() and len(top) == min(k, n - 1):
             break
-        total += width
-    values, y = np.linalg.eigh(t)
-    top = [i for i in np.argsort(values)[::-1][:k] if values[i] > eps]
-    residual = np.linalg.norm(r @ y[-r.shape[1] :, top], axis=0) if len(r) else np.zeros(len(top))
-    ritz, m = y[:, top], len(t)
+        turn = None
+        if total + len(r) > most:
+            turn, t = y[:, order[:kept]], np.diag(values[order[:kept]])
+        rows = extended(f"{at}/basis{step}", turn)
+        removed(spark, f"{at}/product{step}")
+        width = len(r)
+        total = len(t) + width
+    held = values[top] > eps
+    top, residual = top[held], residual[held]
+    ritz = y[:, top]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(b.schema.get_field_index("q"))
-            q = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :m] if b.num_rows else np.zeros((0, m))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), _lists(q @ ritz)], ["node", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), _lists(_array(b, "q", len(ritz)) @ ritz)], ["node", "v"])
 
-    vectors = written(rows.mapInArrow(run, f"node {kind}, v array<double>"), "moran")
+    vectors = written(made.select("node", "q").mapInArrow(run, f"node {kind}, v array<double>"), "moran")
+    removed(spark, at)
+    if not len(top):
+        return spark.createDataFrame([], f"node {kind}, basis_index int, basis_value double, eigenvalue double, residual double")
     size = [F.max_by(F.sign(F.col("v")[j]), F.round(F.abs(F.col("v")[j]), 12)).alias(f"s{j}") for j in range(len(top))]
-    signs = vectors.agg(*size).first() if top else []
+    signs = vectors.agg(*size).first()
     about = F.array(*[F.struct(F.lit(j).alias("basis_index"), (F.col("v")[j] * F.lit(float(signs[j] or 1.0))).alias("basis_value"), F.lit(float(values[i])).alias("eigenvalue"), F.lit(float(residual[j])).alias("residual")) for j, i in enumerate(top)])
-    return vectors.select("node", F.explode(about).alias("x")).select("node", "x.*") if top else edges.sparkSession.createDataFrame([], schema)
+    return vectors.select("node", F.explode(about).alias("x")).select("node", "x.*")

@@ -56,6 +56,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or a folder with what is in it; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def read_optional(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A table, or an empty one of a schema where there is none."""
     return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -20,13 +22,29 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints/panelweave").rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a table in the shared folder: a cut of lineage that survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/panelweave/{uuid.uuid4().hex}/{name}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/panelweave/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df by way of a table in the shared folder, at a path of its own: a cut of lineage that survives lost executors."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, what an execution has shuffled is deleted when it ends, not when the driver happens to collect its garbage: for iterations over written tables."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 

@@ -1,5 +1,7 @@
 """The block iteration against a dense eigen-solve."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,39 @@ def test_small_and_odd_graphs(spark):
     compare(spark, two, 4, 6)
     assert S.moran_basis_of(spark.createDataFrame([], "src long, dst long, weight double"), 3, 4).collect() == []
     assert S.moran_basis_of(spark.createDataFrame([(1, 1, 2.0)], "src long, dst long, weight double"), 3, 4).collect() == []
+
+
+def test_disk_of_a_long_iteration_is_bounded(spark, monkeypatch):
+    """A graph without structure needs many blocks: rows stay short, tables of past steps go, what was shuffled goes, and the result is that of the dense solve."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((400, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    d = 1 - v @ v.T
+    np.fill_diagonal(d, np.inf)
+    w = np.where(d <= np.sort(d, axis=1)[:, 5:6], np.exp(-(d**2)), 0)
+    shared = Path(spark.conf.get("spark.checkpoint.dir", None).removeprefix("file://")) / "panelweave"
+    before, seen, longest, real = set(shared.rglob("*")), [], [], S.written
+
+    def watched(df, name, *path):
+        out = real(df, name, *path)
+        tables = {x.parent for x in set(shared.rglob("_SUCCESS")) - before}
+        seen.append(len(tables))
+        if "q" in out.columns:
+            longest.append(max(len(r.q) + (len(r.w) if "w" in out.columns else 0) for r in out.limit(1).collect()))
+        return out
+
+    monkeypatch.setattr(S, "written", watched)
+    values, _ = G.moran_basis(w, 4, 12)
+    rows = S.moran_basis_of(table(spark, w), 4, 12, small=0).collect()
+    assert sorted({r.eigenvalue for r in rows}, reverse=True) == pytest.approx(values, rel=1e-9)
+    assert max(r.residual for r in rows) <= 1e-8 * values[0]
+    got = np.zeros((400, 4))
+    for r in rows:
+        got[r.node, r.basis_index] = r.basis_value
+    a = (w + w.T) / 2
+    a = a - a.mean(0) - a.mean(0)[:, None] + a.mean()
+    assert np.linalg.norm(a @ got - got * values, axis=0).max() < 1e-7
+    assert np.abs(got.T @ got - np.eye(4)).max() < 1e-9
+    assert len(longest) > 20 and max(longest) <= 9 * 12
+    assert max(seen) <= 4
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
