@@ -194,7 +194,7 @@ def points(s, d):
 
 @query(f"WITH {POINTS} SELECT a.id AS src, b.id AS dst, round({HAV}, 4) AS km FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.lat - b.lat) < 2 WHERE {HAV} <= 60")
 def haversine_range_join(s, d):
-    return G.distances_within(points(s, d), 60.0).select("src", "dst", r("dist", 4).alias("km"))
+    return G.distances_within(points(s, d), 60.0, digits=4).withColumnRenamed("dist", "km")
 
 
 @query(f"WITH {POINTS} SELECT id, CAST(floor(lon * 85 / 250) AS BIGINT)::VARCHAR || ':' || CAST(floor(lat * 111 / 250) AS BIGINT)::VARCHAR AS cell, round({HAV.replace('b.lat', '40.0').replace('b.lon', '(-100.0)')}, 4) AS km FROM pts a")
